@@ -1,0 +1,3 @@
+"""SQL for DuckDB that gives the same rows as the queries."""
+
+ORACLE_SQL: dict[str, str] = {}

@@ -24,9 +24,15 @@ def canonical_value(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
+#: a-z and 0-9 as they are, A-Z in lower case, any other byte as a blank.
+_COMPARED = bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(256)).lower()
+
+
 def comparison_value(text: str) -> str:
     """The canonical text with everything but a-z and 0-9 turned into single blanks."""
-    return re.sub(r"[^a-z0-9]+", " ", canonical_value(text)).strip()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).casefold()
+    return b" ".join(text.encode("ascii", "replace").translate(_COMPARED).split()).decode()
 
 
 def category_value(category: str) -> str:

@@ -1,3 +1,37 @@
-"""SQL for DuckDB that gives the same rows as the queries."""
+"""SQL for DuckDB that gives the same rows as the queries.
 
-ORACLE_SQL: dict[str, str] = {}
+The others have none: SQL has neither NFKC nor a tokenizer, and pairs of similar records or the strict
+reading of payloads are too slow or too loose in it. They are tested against brute force.
+"""
+
+_WORDS = """
+words AS (
+  SELECT record_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM records
+),
+texts AS (SELECT count(text) AS n FROM records),
+terms AS (
+  SELECT term, count(*) AS occurrences, count(DISTINCT record_id) AS records FROM words GROUP BY term
+),
+marked AS (
+  SELECT term, occurrences, records,
+         CASE WHEN records <= 2 THEN 'rare' WHEN records * 10 > n THEN 'common' END AS mark
+  FROM terms CROSS JOIN texts
+)"""
+
+_TARGETS = """
+counts AS (
+  SELECT source_split, trim(regexp_replace(lower(category), '[^a-z0-9]+', '_', 'g'), '_') AS category, count(*) AS n
+  FROM records WHERE category IS NOT NULL GROUP BY ALL
+),
+targets AS (
+  SELECT t.plan_id, t.source_split, t.category, t.target_bp,
+         greatest(t.min_rows::BIGINT, t.sample_size::BIGINT * t.target_bp // 10000) AS needed,
+         coalesce(c.n, 0)::BIGINT AS available
+  FROM sample_targets t LEFT JOIN counts c USING (source_split, category)
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p2_found": f"WITH {_WORDS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
+    "p2_terms": f"WITH {_WORDS} SELECT term, occurrences, records, mark FROM marked",
+    "p4_found": f"WITH {_TARGETS} SELECT DISTINCT plan_id, category FROM targets WHERE available < needed",
+}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievelight.operators.metrics import confusion, per_class
+
 
 def _pair(predictions: DataFrame, left: str, right: str, *columns: str) -> tuple[DataFrame, DataFrame]:
     def side(name: str, mark: str) -> DataFrame:
@@ -82,3 +84,34 @@ def class_comparison(classes: DataFrame, left: str, right: str, tolerance: float
 def ranking(scores: DataFrame) -> DataFrame:
     """Approaches by macro F1, the best first; ties by name."""
     return scores.withColumn("rank", F.row_number().over(W.orderBy(F.desc("macro_f1"), "approach")))
+
+
+def largest_advantages(compared: DataFrame, count: int = 10) -> DataFrame:
+    """The labels of largest advantage of each side: ``side, rank, category, difference``; ties have none."""
+    sides = {"left": F.desc("difference"), "right": F.asc("difference")}
+    parts = []
+    for side, order in sides.items():
+        rank = F.row_number().over(W.orderBy(order, "category"))
+        ranked = compared.where(F.col("better") == side).select("category", "difference").withColumn("rank", rank)
+        parts.append(ranked.where(F.col("rank") <= count).select(F.lit(side).alias("side"), "rank", "category", "difference"))
+    return parts[0].unionByName(parts[1])
+
+
+def report_consistency(predictions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Totals of each approach by three ways: rows, matrix and supports, and whether all agree on them.
+
+    ``fingerprint`` is a sum of hashes of what was predicted for, so it must be one for all approaches.
+    """
+    rows = predictions.groupBy("approach").agg(
+        F.count("*").alias("records"),
+        F.count_if("correct").alias("correct"),
+        F.sum(F.crc32(F.concat_ws(":", F.col("row_index").cast("string"), "actual"))).alias("fingerprint"),
+    )
+    matrix = confusion(predictions)
+    sums = matrix.groupBy("approach").agg(F.sum("n").alias("matrix_total"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("diagonal"))
+    supports = per_class(matrix, labels).groupBy("approach").agg(F.sum("support").alias("support_total"))
+    joined = rows.join(sums, "approach").join(supports, "approach")
+    every = W.partitionBy()
+    same = F.min("fingerprint").over(every) == F.max("fingerprint").over(every)
+    agree = (F.col("records") == F.col("matrix_total")) & (F.col("records") == F.col("support_total")) & (F.col("correct") == F.col("diagonal"))
+    return joined.select("approach", "records", "correct", "matrix_total", "diagonal", "support_total", agree.alias("consistent"), same.alias("same_rows"))

@@ -26,9 +26,9 @@ def duplicate_audit(records: DataFrame, text: str = "text", label: str = "label"
     )
     canonical = raw.groupBy(canonical_text("text").alias("key")).agg(
         F.sum("n").alias("n"),
-        F.count_if("n > 1").alias("raw_groups"),
+        F.count_if(F.col("n") > 1).alias("raw_groups"),
         F.sum(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0)).alias("raw_excess"),
-        F.count_if("n > 1 and s0 <> s1").alias("raw_crossing"),
+        F.count_if((F.col("n") > 1) & (F.col("s0") != F.col("s1"))).alias("raw_crossing"),
         F.bool_and(F.col("n") > 1).alias("all_raw"),
         F.min("s0").alias("s0"),
         F.max("s1").alias("s1"),

@@ -158,3 +158,20 @@ def nearest_rank_summary(rows: DataFrame, value: str, by: str) -> DataFrame:
         at(F.ceil(F.col("total") * 99 / 100)).alias("p99"),
         F.max(value).alias("max"),
     )
+
+
+def interpolated_percentiles(rows: DataFrame, value: str, by: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles with linear interpolation between neighbours: one column for each name of ``shares``.
+
+    Like :func:`nearest_rank_summary` it works on running counts of distinct values, so no group is ever held whole.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    order = W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(W.partitionBy(by))})
+
+    def point(share: float) -> Column:
+        place = F.lit(share) * (F.col("total") - 1)
+        low, high = (F.min(F.when(F.col("upto") > edge, F.col(value))).cast("double") for edge in (F.floor(place), F.ceil(place)))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return ranked.groupBy(by).agg(F.max("total").alias("rows"), *(point(share).alias(name) for name, share in shares.items()))

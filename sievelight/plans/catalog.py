@@ -5,5 +5,467 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from sievelight.functions.structured import parse_outputs
+from sievelight.functions.text import canonical_category, canonical_text, character_ngrams, comparison_text
+from sievelight.operators import bootstrap, compare, dedup, features, metrics, near_duplicates, probes, requests, scope, split
+from sievelight.sources.readers import file_manifest
+from sievelight.streaming.outputs import received_by_window
+
+LEFT, RIGHT = "tfidf_logreg", "tuned_adapter"
+REPLICATES, SEED = 200, 42
+#: Words as both SQL engines find them.
+PLAIN_WORDS = "[a-z0-9]{2,}"
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(function: Query) -> Query:
+    QUERIES[function.__name__] = function
+    return function
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(frame: DataFrame, *columns: str) -> DataFrame:
+    return frame.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "records").withColumn("category", canonical_category("category"))
+
+
+def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).where("source_split = 'train'")
+
+
+def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(table(spark, sf_dir, "predictions"))
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.per_class(_confusion(spark, sf_dir), table(spark, sf_dir, "routes"))
+
+
+@query
+def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each split and label, with the number of labels, the least and the most."""
+    return metrics.label_summary(_labelled(spark, sf_dir))
+
+
+@query
+def majority_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent labels of the train split."""
+    return metrics.majority_labels(_train(spark, sf_dir))
+
+
+@query
+def majority_baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The majority label of the train split, scored on the test split."""
+    tested = _labelled(spark, sf_dir).where("source_split = 'test' and category is not null")
+    predicted = features.majority_predictions(tested, metrics.majority_labels(_train(spark, sf_dir)))
+    matrix = metrics.confusion(predicted.withColumn("label_valid", F.lit(True)))
+    return rounded(metrics.macro(matrix, table(spark, sf_dir, "routes")), "macro_precision", "macro_recall", "macro_f1", "accuracy")
+
+
+@query
+def canonical_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored forms of each label and their records."""
+    stored = table(spark, sf_dir, "records").groupBy("category").agg(F.count("*").alias("records"))
+    return stored.select("category", canonical_category("category").alias("label"), "records")
+
+
+@query
+def canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical and comparison text of each record."""
+    return table(spark, sf_dir, "records").select("record_id", canonical_text("text").alias("canonical"), comparison_text("text").alias("comparison"))
+
+
+@query
+def character_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that hold each three-character piece of the comparison text."""
+    forms = table(spark, sf_dir, "records").select(comparison_text("text").alias("form"))
+    pieces = forms.select(F.explode(character_ngrams("form")).alias("piece"))
+    return pieces.groupBy("piece").agg(F.count("*").alias("records"))
+
+
+@query
+def duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven counters of raw and canonical duplicates in records."""
+    return dedup.duplicate_audit(_labelled(spark, sf_dir), label="category")
+
+
+@query
+def deduplicated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and test records, and whether each is kept."""
+    return dedup.deduplicate_preserving(table(spark, sf_dir, "records")).select("record_id", "source_split", "kept")
+
+
+@query
+def stratified_split_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train records of each label that become validation ones, at a share of 15 %."""
+    return split.split_allocation(_train(spark, sf_dir), 1500)
+
+
+@query
+def stratified_split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of each train record at a share of 15 %."""
+    return split.stratified_split(_train(spark, sf_dir), 1500)
+
+
+@query
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate records of different splits."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "records"))
+
+
+@query
+def near_duplicate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate pairs counted by pair of splits."""
+    records = _labelled(spark, sf_dir)
+    return near_duplicates.near_duplicate_rollup(near_duplicates.near_duplicates(records), records)
+
+
+@query
+def near_duplicate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each split that have a near-duplicate."""
+    return near_duplicates.flagged_records(near_duplicates.near_duplicates(table(spark, sf_dir, "records")))
+
+
+@query
+def confusion_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of actual and predicted labels."""
+    return _confusion(spark, sf_dir)
+
+
+@query
+def confusion_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column for each label of the routes and the invalid outputs; the label list is bounded."""
+    labels = [row.category for row in table(spark, sf_dir, "routes").select("category").distinct().orderBy("category").collect()]
+    return metrics.wide_confusion(_confusion(spark, sf_dir), labels)
+
+
+@query
+def per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall, F1 and support of each label and approach."""
+    return rounded(_classes(spark, sf_dir), "precision", "recall", "f1")
+
+
+@query
+def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and macro means of each approach."""
+    found = metrics.macro(_confusion(spark, sf_dir), table(spark, sf_dir, "routes"))
+    return rounded(found, "macro_precision", "macro_recall", "macro_f1", "accuracy")
+
+
+@query
+def top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 most frequent errors of each approach."""
+    return metrics.top_confusions(_confusion(spark, sf_dir), 20)
+
+
+@query
+def error_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three rows of each of the 15 most frequent errors."""
+    return metrics.error_examples(table(spark, sf_dir, "predictions"), metrics.top_confusions(_confusion(spark, sf_dir), 15))
+
+
+@query
+def lowest_f1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten labels of lowest F1 of each approach."""
+    exact = metrics.lowest_f1(rounded(_classes(spark, sf_dir), "f1"))
+    return exact.select("approach", "category", "f1", "support", "rank")
+
+
+@query
+def error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by kind of each approach."""
+    return metrics.error_totals(table(spark, sf_dir, "predictions"), _classes(spark, sf_dir))
+
+
+@query
+def structured_output_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid structured outputs of the approaches that have them."""
+    found = metrics.output_rates(table(spark, sf_dir, "predictions"))
+    return rounded(found, *(c for c in found.columns if c.endswith("_rate")))
+
+
+@query
+def structured_output_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stored raw output, read strictly."""
+    outputs = table(spark, sf_dir, "predictions").where("raw_output is not null").select("approach", "row_index", "raw_output")
+    return parse_outputs(outputs, "raw_output", table(spark, sf_dir, "routes")).select("approach", "row_index", "parsed.*")
+
+
+@query
+def prediction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each label is predicted."""
+    return metrics.prediction_counts(table(spark, sf_dir, "predictions"))
+
+
+@query
+def prediction_alignment_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in which the two prediction sets disagree on what they predict for."""
+    return compare.alignment_violations(table(spark, sf_dir, "predictions"), LEFT, RIGHT)
+
+
+@query
+def correctness_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that both, one or none of the approaches have right."""
+    return compare.correctness_overlap(table(spark, sf_dir, "predictions"), LEFT, RIGHT)
+
+
+@query
+def outcome_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each outcome and label."""
+    return compare.outcome_examples(table(spark, sf_dir, "predictions"), LEFT, RIGHT)
+
+
+@query
+def class_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 of both approaches for each label, and the ranks of the advantages."""
+    found = compare.class_comparison(rounded(_classes(spark, sf_dir), "f1"), LEFT, RIGHT, 5e-7)
+    return rounded(found.drop("left_rank", "right_rank"), "difference")
+
+
+@query
+def largest_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten labels of largest advantage each way, by the rounded difference."""
+    found = compare.class_comparison(_classes(spark, sf_dir), LEFT, RIGHT)
+    return compare.largest_advantages(rounded(found, "difference"), 10)
+
+
+@query
+def approach_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approaches by macro F1."""
+    return compare.ranking(macro_metrics(spark, sf_dir)).select("approach", "macro_f1", "accuracy", "rank")
+
+
+def _replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = bootstrap.outcome_cells(table(spark, sf_dir, "predictions"), [LEFT, RIGHT])
+    counts = bootstrap.replicate_counts(cells, [LEFT, RIGHT], REPLICATES, SEED)
+    return bootstrap.replicate_metrics(counts, table(spark, sf_dir, "routes"))
+
+
+@query
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """95 % intervals of accuracy and macro F1 by stratified bootstrap."""
+    return rounded(bootstrap.intervals(_replicates(spark, sf_dir)), "low", "high")
+
+
+@query
+def paired_difference_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """95 % intervals of the differences of the approaches on the same replicates."""
+    return rounded(bootstrap.paired_differences(_replicates(spark, sf_dir), LEFT, RIGHT), "low", "high")
+
+
+@query
+def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer of the service to each predicted row."""
+    found = requests.classify_requests(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "routes"))
+    return found.select("approach", "row_index", "status_code", "category", "priority", "team")
+
+
+@query
+def route_coverage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of records whose routes break a rule."""
+    return requests.route_violations(table(spark, sf_dir, "routes"), _labelled(spark, sf_dir).select("category").distinct())
+
+
+@query
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests accepted or refused by split; documents' texts reach the limit."""
+    records = table(spark, sf_dir, "records").select(F.lit("records").alias("origin"), "text")
+    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), "text")
+    status = requests.request_status(F.col("text")).alias("status")
+    return records.unionByName(documents).groupBy("origin", status).agg(F.count("*").alias("requests"))
+
+
+@query
+def agent_assist_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions by status for each approach."""
+    found = requests.suggestions(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "routes"))
+    return found.groupBy("approach", "suggestion_status").agg(F.count("*").alias("records"), F.count("suggested").alias("suggested"))
+
+
+@query
+def prompt_render_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instruction with all labels, and its SHA-256."""
+    return requests.instruction(_labelled(spark, sf_dir))
+
+
+@query
+def sequence_length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of the texts of each split."""
+    return metrics.nearest_rank_summary(table(spark, sf_dir, "records").withColumn("length", F.length("text")), "length", "source_split")
+
+
+@query
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole seconds from receipt to ingestion for each source, interpolated."""
+    seconds = F.expr("floor((unix_micros(ingested_at) - unix_micros(received_at)) / 1000000)")
+    rows = table(spark, sf_dir, "records").withColumn("seconds", seconds)
+    return rounded(metrics.interpolated_percentiles(rows, "seconds", "source", {"p50": 0.5, "p95": 0.95}), "p50", "p95")
+
+
+@query
+def received_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each day and source."""
+    return received_by_window(table(spark, sf_dir, "records"))
+
+
+@query
+def probe_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that the probes break."""
+    return probes.probe_violations(table(spark, sf_dir, "robustness_probes"), table(spark, sf_dir, "routes"), "project_made_synthetic")
+
+
+def _word_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each probe the label most words of whose name it holds; null without any."""
+    words = table(spark, sf_dir, "routes").select("category", F.explode(F.array_distinct(F.split("category", "_"))).alias("word"))
+    held = table(spark, sf_dir, "robustness_probes").select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(PLAIN_WORDS), F.lit(0)))).alias("word"))
+    votes = held.join(words, "word").groupBy("id", "category").agg(F.count("*").alias("n"))
+    best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "category")).alias("best"))
+    return table(spark, sf_dir, "robustness_probes").select("id").join(best, "id", "left").select("id", F.col("best.category").alias("predicted"))
+
+
+@query
+def robustness_group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the majority label and of votes by label words, for each group of probes."""
+    given = table(spark, sf_dir, "robustness_probes")
+    chosen = F.broadcast(metrics.majority_labels(_train(spark, sf_dir)).where("chosen").select(F.col("label").alias("predicted")))
+    majority = given.select("id", F.lit("majority").alias("approach")).crossJoin(chosen).withColumn("label_valid", F.lit(True))
+    voted = _word_votes(spark, sf_dir).select("id", F.lit("word_votes").alias("approach"), "predicted", F.col("predicted").isNotNull().alias("label_valid"))
+    scored = probes.scored_probes(given, majority.unionByName(voted))
+    return rounded(probes.probe_scores(scored), "success_rate")
+
+
+def _train_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    train = table(spark, sf_dir, "records").where("source_split = 'train'")
+    counts = features.term_frequencies(train, "record_id", pattern=PLAIN_WORDS, accents=True)
+    idf = features.inverse_frequencies(counts, train)
+    return features.tfidf_weights(counts, idf), idf
+
+
+@query
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF weights of words and pairs of words of the train records."""
+    return rounded(_train_weights(spark, sf_dir)[0], "weight")
+
+
+def _cosines(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str) -> DataFrame:
+    weights, idf = _train_weights(spark, sf_dir)
+    own = features.tfidf_weights(features.term_frequencies(rows, key, pattern=PLAIN_WORDS, accents=True), idf)
+    return features.nearest_cosine(own, weights)
+
+
+@query
+def nearest_training_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each probe the cosine with the nearest train record, 0 where none shares a term."""
+    given = table(spark, sf_dir, "robustness_probes")
+    found = given.select("id").join(_cosines(spark, sf_dir, given, "id"), "id", "left")
+    return found.select("id", F.round(F.coalesce("cosine", F.lit(0.0)), 6).alias("cosine"))
+
+
+def _scope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "robustness_probes").select("id", "probe_group")
+    scored = given.join(nearest_training_cosine(spark, sf_dir), "id").join(_word_votes(spark, sf_dir), "id")
+    rows = scored.select(
+        "id", "probe_group", F.when(F.col("probe_group") == scope.UNKNOWN, scope.UNKNOWN).otherwise(scope.KNOWN).alias("scope"),
+        F.round("cosine", 3).alias("score"), F.col("predicted").isNotNull().alias("label_valid"),
+    )
+    return split.first_positions(rows, "probe_group", ["id"], 100)
+
+
+def _calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _scope_rows(spark, sf_dir).persist()
+    return rows, scope.threshold_search(rows.where("part = 'calibration'"))
+
+
+@query
+def calibration_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred probes of each group are for calibration."""
+    rows = table(spark, sf_dir, "robustness_probes").select("id", "probe_group")
+    return split.first_positions(rows, "probe_group", ["id"], 100)
+
+
+@query
+def threshold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds of the cosine with what lies below them."""
+    rows = _scope_rows(spark, sf_dir).where("part = 'calibration'")
+    return rounded(scope.threshold_candidates(rows), "threshold")
+
+
+@query
+def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best threshold of the cosine on the calibration probes."""
+    rows = _scope_rows(spark, sf_dir).where("part = 'calibration'")
+    return rounded(scope.threshold_search(rows), "threshold", "balanced_accuracy")
+
+
+@query
+def decision_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the held-out probes under the frozen threshold, in all and by group."""
+    rows, found = _calibrated(spark, sf_dir)
+    return scope.decision_counts(scope.decisions(rows.where("part = 'held_out'"), found))
+
+
+@query
+def decision_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejection rates of the held-out probes."""
+    rows, found = _calibrated(spark, sf_dir)
+    return rounded(scope.decision_rates(scope.decisions(rows.where("part = 'held_out'"), found)), "unknown_rejection_rate", "known_false_rejection_rate")
+
+
+@query
+def external_scope_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted and rejected held-out probes of each group."""
+    rows, found = _calibrated(spark, sf_dir)
+    return scope.external_counts(scope.decisions(rows.where("part = 'held_out'"), found))
+
+
+@query
+def external_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two probes of each group."""
+    found = split.first_rows(table(spark, sf_dir, "robustness_probes"), ["probe_group"], ["id"], 2)
+    return found.select("probe_group", "id", "place")
+
+
+@query
+def rejection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frozen threshold on test rows: the stated queries are those whose record id is divisible by 100."""
+    found = _calibrated(spark, sf_dir)[1]
+    tested = table(spark, sf_dir, "predictions").where("record_id % 100 = 0")
+    cosines = _cosines(spark, sf_dir, tested.select("record_id", "text").dropDuplicates(["record_id"]), "record_id")
+    scored = tested.join(cosines.withColumnRenamed("id", "record_id"), "record_id", "left").withColumns(
+        {"score": F.round(F.coalesce("cosine", F.lit(0.0)), 3), "scope": F.lit(scope.KNOWN)}
+    )
+    return rounded(scope.rejection_audit(scope.decisions(scored, found)), "rejected_rate", "accepted_accuracy")
+
+
+@query
+def report_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recomputed totals of each approach, and whether they agree with each other."""
+    return compare.report_consistency(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "routes"))
+
+
+@query
+def logreg_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and probabilities of the test records by logistic regression on the TF-IDF of the train records."""
+    labelled = _labelled(spark, sf_dir)
+    train = labelled.where("source_split = 'train' and category is not null")
+    counts = features.term_frequencies(train, "record_id")
+    idf = features.inverse_frequencies(counts, train)
+    fitted = features.vectors(features.tfidf_weights(counts, idf), 1 << 13).join(train.select(F.col("record_id").alias("id"), "category"), "id")
+    tested = features.tfidf_weights(features.term_frequencies(labelled.where("source_split = 'test'"), "record_id"), idf)
+    return features.logistic_predictions(fitted, features.vectors(tested, 1 << 13), iterations=30)
+
+
+@query
+def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and SHA-256 of the files of the routes table."""
+    return file_manifest(spark, f"{sf_dir}/routes.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")

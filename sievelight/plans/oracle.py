@@ -1,3 +1,310 @@
-"""SQL for DuckDB that gives the same rows as the queries."""
+"""SQL for DuckDB that gives the same rows as the queries.
 
-ORACLE_SQL: dict[str, str] = {}
+Queries on canonical texts have none, as SQL has no NFKC; nor have near-duplicates, the logistic regression and
+file lists. These are tested against brute force.
+"""
+
+REPLICATES = 200
+
+_LABELLED = """
+labelled AS (
+  SELECT * EXCLUDE (category), trim(regexp_replace(lower(category), '[^a-z0-9]+', '_', 'g'), '_') AS category FROM records
+)"""
+
+_CONFUSION = """
+shown AS (
+  SELECT approach, row_index, text, actual, correct, label_valid,
+         CASE WHEN coalesce(label_valid, true) AND predicted IS NOT NULL THEN predicted ELSE '__invalid_output__' END AS predicted
+  FROM predictions
+),
+matrix AS (SELECT approach, actual, predicted, count(*) AS n FROM shown GROUP BY ALL)"""
+
+
+def _scores(matrix: str, by: str) -> str:
+    """Scores of each label of the routes from a long confusion table."""
+    return f"""
+support AS (SELECT {by}, actual AS category, sum(n)::BIGINT AS support FROM {matrix} GROUP BY ALL),
+claimed AS (
+  SELECT {by}, predicted AS category, sum(n)::BIGINT AS claimed, coalesce(sum(n) FILTER (actual = predicted), 0)::BIGINT AS hits
+  FROM {matrix} GROUP BY ALL
+),
+counted AS (
+  SELECT g.*, l.category, coalesce(support, 0)::BIGINT AS support, coalesce(claimed, 0)::BIGINT AS claimed, coalesce(hits, 0)::BIGINT AS hits
+  FROM (SELECT DISTINCT {by} FROM {matrix}) g CROSS JOIN (SELECT DISTINCT category FROM routes) l
+  LEFT JOIN support USING ({by}, category) LEFT JOIN claimed USING ({by}, category)
+),
+ratios AS (
+  SELECT *, coalesce(hits / nullif(claimed, 0)::DOUBLE, 0) AS precision, coalesce(hits / nullif(support, 0)::DOUBLE, 0) AS recall FROM counted
+),
+classes AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM ratios),
+macros AS (
+  SELECT {by}, total, correct, macro_precision, macro_recall, macro_f1, correct / total::DOUBLE AS accuracy
+  FROM (SELECT {by}, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (actual = predicted), 0)::BIGINT AS correct FROM {matrix} GROUP BY ALL)
+  JOIN (SELECT {by}, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM classes GROUP BY ALL) USING ({by})
+)"""
+
+
+_CLASSES = f"{_CONFUSION}, {_scores('matrix', 'approach')}"
+_MACRO_COLUMNS = """approach, total, correct, round(macro_precision, 6) AS macro_precision, round(macro_recall, 6) AS macro_recall,
+  round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy"""
+
+_MAJORITY = """
+counts AS (SELECT category AS label, count(*) AS records FROM labelled WHERE source_split = 'train' AND category IS NOT NULL GROUP BY ALL),
+tied AS (SELECT label, records, label = min(label) OVER () AS chosen FROM counts WHERE records = (SELECT max(records) FROM counts))"""
+
+_PAIRED = """
+one AS (SELECT * FROM predictions WHERE approach = 'tfidf_logreg'),
+two AS (SELECT * FROM predictions WHERE approach = 'tuned_adapter'),
+paired AS (
+  SELECT row_index, one.actual, coalesce(one.correct, false) AS a, coalesce(two.correct, false) AS b
+  FROM one JOIN two USING (row_index)
+)"""
+
+_COMPARED = """
+compared AS (
+  SELECT a.category, a.f1 AS left_f1, b.f1 AS right_f1, a.f1 - b.f1 AS difference
+  FROM classes a JOIN classes b ON a.category = b.category AND a.approach = 'tfidf_logreg' AND b.approach = 'tuned_adapter'
+)"""
+
+
+def _number(text: str) -> str:
+    return f"cast(concat('0x', substr(md5({text}), 1, 13)) AS BIGINT)"
+
+
+_SPLIT = f"""
+counts AS (SELECT category, count(*) AS records FROM labelled WHERE source_split = 'train' AND category IS NOT NULL GROUP BY ALL),
+parts AS (SELECT *, records * 1500 // 10000 AS low, records * 1500 % 10000 AS rest FROM counts),
+missing AS (SELECT round_even(sum(records) * 1500 / 10000.0, 0)::BIGINT - sum(low)::BIGINT AS missing FROM parts),
+quotas AS (
+  SELECT category, records,
+         (low + (row_number() OVER (ORDER BY rest DESC, {_number("concat('42:', category)")}, category) <= missing)::INT)::BIGINT AS quota
+  FROM parts, missing
+)"""
+
+_BOOTSTRAP = f"""
+{_CONFUSION},
+aligned AS (
+  SELECT actual, row_index, max(predicted) FILTER (approach = 'tfidf_logreg') AS p0, max(predicted) FILTER (approach = 'tuned_adapter') AS p1
+  FROM shown GROUP BY actual, row_index HAVING p0 IS NOT NULL AND p1 IS NOT NULL
+),
+slots AS (
+  SELECT *, row_number() OVER (PARTITION BY actual ORDER BY p0, p1, row_index) - 1 AS slot, count(*) OVER (PARTITION BY actual) AS support FROM aligned
+),
+draws AS (
+  SELECT r.replicate, s.actual, {_number("concat('42:', r.replicate, ':', s.actual, ':', s.slot)")} % s.support AS slot
+  FROM range({REPLICATES}) r(replicate) CROSS JOIN slots s
+),
+drawn AS (SELECT d.replicate, d.actual, s.p0, s.p1 FROM draws d JOIN slots s USING (actual, slot)),
+sampled AS (
+  SELECT replicate || '|tfidf_logreg' AS key, actual, p0 AS predicted, count(*) AS n FROM drawn GROUP BY ALL
+  UNION ALL SELECT replicate || '|tuned_adapter', actual, p1, count(*) FROM drawn GROUP BY ALL
+),
+{_scores("sampled", "key")},
+long AS (
+  SELECT split_part(key, '|', 1) AS replicate, split_part(key, '|', 2) AS approach, 'accuracy' AS metric, accuracy AS value FROM macros
+  UNION ALL SELECT split_part(key, '|', 1), split_part(key, '|', 2), 'macro_f1', macro_f1 FROM macros
+)"""
+
+_TERMS = """
+train AS (SELECT record_id AS id, text FROM records WHERE source_split = 'train'),
+train_words AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM train WHERE text IS NOT NULL),
+train_terms AS (
+  SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM train_words
+),
+train_tf AS (SELECT id, term, count(*) AS tf FROM train_terms GROUP BY ALL),
+idf AS (
+  SELECT term, ln((1.0 + (SELECT count(*) FROM train)) / (1.0 + count(*))) + 1.0 AS idf FROM train_tf GROUP BY term HAVING count(*) >= 2
+),
+raw AS (SELECT id, term, (1.0 + ln(tf)) * idf AS raw FROM train_tf JOIN idf USING (term)),
+weights AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM raw)"""
+
+
+def _cosines(rows: str) -> str:
+    return f"""
+own AS ({rows}),
+own_words AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') AS w FROM own WHERE text IS NOT NULL),
+own_terms AS (
+  SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM own_words
+),
+own_raw AS (
+  SELECT id, term, (1.0 + ln(tf)) * idf AS raw FROM (SELECT id, term, count(*) AS tf FROM own_terms GROUP BY ALL) JOIN idf USING (term)
+),
+own_weights AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM own_raw),
+dots AS (
+  SELECT o.id, t.id AS other, sum(o.weight * t.weight) AS dot FROM own_weights o JOIN weights t USING (term) GROUP BY ALL
+),
+nearest AS (SELECT own.id, round(coalesce(max(dot), 0.0), 6) AS cosine FROM own LEFT JOIN dots USING (id) GROUP BY own.id)"""
+
+
+_VOTES = """
+label_words AS (SELECT category, unnest(list_distinct(string_split(category, '_'))) AS word FROM routes),
+probe_words AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS word FROM robustness_probes),
+votes AS (SELECT id, category, count(*) AS n FROM probe_words JOIN label_words USING (word) GROUP BY ALL),
+voted AS (
+  SELECT p.id, v.category AS predicted FROM robustness_probes p
+  LEFT JOIN (SELECT id, category FROM votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, category) = 1) v USING (id)
+)"""
+
+_SCOPE = f"""
+{_TERMS}, {_cosines("SELECT id, text FROM robustness_probes")}, {_VOTES},
+scope_rows AS (
+  SELECT id, probe_group, CASE WHEN probe_group = 'out_of_scope' THEN 'out_of_scope' ELSE 'in_scope' END AS scope,
+         round(cosine, 3) AS score, predicted IS NOT NULL AS label_valid,
+         CASE WHEN row_number() OVER (PARTITION BY probe_group ORDER BY id) <= 100 THEN 'calibration' ELSE 'held_out' END AS part
+  FROM robustness_probes JOIN nearest USING (id) JOIN voted USING (id)
+),
+calibration AS (SELECT * FROM scope_rows WHERE part = 'calibration'),
+values_ AS (SELECT DISTINCT score AS value FROM calibration),
+thresholds AS (
+  SELECT min(value) - 1.0 AS threshold FROM values_
+  UNION ALL SELECT coalesce((value + lead(value) OVER (ORDER BY value)) / 2, value + 1.0) FROM values_
+),
+candidates AS (
+  SELECT threshold, count(*) FILTER (score < threshold AND label_valid AND scope = 'in_scope') AS known_below,
+         count(*) FILTER (score < threshold AND label_valid AND scope = 'out_of_scope') AS unknown_below,
+         count(*) FILTER (scope = 'in_scope') AS known, count(*) FILTER (scope = 'out_of_scope') AS unknown,
+         count(*) FILTER (scope = 'in_scope' AND (NOT label_valid OR score < threshold)) AS known_rejected,
+         count(*) FILTER (scope = 'out_of_scope' AND (NOT label_valid OR score < threshold)) AS unknown_rejected
+  FROM thresholds CROSS JOIN calibration GROUP BY threshold
+),
+ranked AS (SELECT *, (unknown_rejected / unknown::DOUBLE + (known - known_rejected) / known::DOUBLE) / 2 AS balanced_accuracy FROM candidates),
+best AS (SELECT * FROM ranked ORDER BY balanced_accuracy DESC, known_rejected, unknown_rejected DESC, threshold DESC LIMIT 1),
+decided AS (
+  SELECT s.*, (NOT s.label_valid OR s.score < b.threshold) AS rejected FROM scope_rows s CROSS JOIN best b WHERE s.part = 'held_out'
+),
+outcomes AS (
+  SELECT *, (CASE WHEN scope = 'out_of_scope' THEN 'unknown_' ELSE 'known_' END) || (CASE WHEN rejected THEN 'rejected' ELSE 'accepted' END) AS outcome
+  FROM decided
+)"""
+
+_STRICT = """
+read_ AS (
+  SELECT approach, row_index, raw_output, json_valid(raw_output) AS json_valid FROM predictions WHERE raw_output IS NOT NULL
+),
+shaped AS (
+  SELECT *, CASE WHEN json_valid THEN coalesce(json_keys(raw_output) = ['category'] AND json_type(raw_output, '$.category') = 'VARCHAR', false)
+            ELSE false END AS schema_valid
+  FROM read_
+),
+parsed AS (SELECT *, CASE WHEN schema_valid THEN raw_output ->> '$.category' END AS predicted_category FROM shaped)"""
+
+_RATES = ", ".join(f"count_if(coalesce({c}, false))::BIGINT AS {c}, round(1.0 - count_if(coalesce({c}, false)) / count(*)::DOUBLE, 6) AS {c}_invalid_rate" for c in ("json_valid", "schema_valid", "label_valid"))
+
+_STRIP = r"regexp_replace(text, '^[\s\p{Z}\x{85}\x{1c}-\x{1f}]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}]+$', '', 'g')"
+
+ORACLE_SQL: dict[str, str] = {
+    "class_summary": f"""WITH {_LABELLED}, counts AS (
+        SELECT source_split, category, count(*) AS records FROM labelled WHERE category IS NOT NULL AND source_split IS NOT NULL GROUP BY ALL)
+      SELECT source_split, category, records, count(*) OVER w AS classes, min(records) OVER w AS min_records, max(records) OVER w AS max_records
+      FROM counts WINDOW w AS (PARTITION BY source_split)""",
+    "majority_labels": f"WITH {_LABELLED}, {_MAJORITY} SELECT label, records, chosen FROM tied",
+    "majority_baseline_metrics": f"""WITH {_LABELLED}, {_MAJORITY}, matrix AS (
+        SELECT 'majority' AS approach, category AS actual, (SELECT label FROM tied WHERE chosen) AS predicted, count(*) AS n
+        FROM labelled WHERE source_split = 'test' AND category IS NOT NULL GROUP BY ALL), {_scores("matrix", "approach")}
+      SELECT {_MACRO_COLUMNS} FROM macros""",
+    "canonical_categories": """SELECT category, trim(regexp_replace(lower(category), '[^a-z0-9]+', '_', 'g'), '_') AS label, count(*) AS records
+      FROM records GROUP BY category""",
+    "stratified_split_allocation": f"WITH {_LABELLED}, {_SPLIT} SELECT category, records, quota FROM quotas",
+    "stratified_split_assign": f"""WITH {_LABELLED}, {_SPLIT}, ordered AS (
+        SELECT record_id, category, row_number() OVER (PARTITION BY category ORDER BY {_number("concat('42:', record_id)")}, record_id) AS place
+        FROM labelled WHERE source_split = 'train' AND category IS NOT NULL)
+      SELECT record_id, category, CASE WHEN place <= quota THEN 'validation' ELSE 'train' END AS part FROM ordered JOIN quotas USING (category)""",
+    "confusion_long": f"WITH {_CONFUSION} SELECT approach, actual, predicted, n FROM matrix",
+    "per_class_metrics": f"""WITH {_CLASSES} SELECT approach, category, round(precision, 6) AS precision, round(recall, 6) AS recall,
+      round(f1, 6) AS f1, support, claimed, hits FROM classes""",
+    "macro_metrics": f"WITH {_CLASSES} SELECT {_MACRO_COLUMNS} FROM macros",
+    "top_confusions": f"""WITH {_CONFUSION} SELECT approach, actual, predicted, n,
+      row_number() OVER (PARTITION BY approach ORDER BY n DESC, actual, predicted) AS rank FROM matrix WHERE actual <> predicted QUALIFY rank <= 20""",
+    "error_examples": f"""WITH {_CONFUSION}, top AS (
+        SELECT *, row_number() OVER (PARTITION BY approach ORDER BY n DESC, actual, predicted) AS rank FROM matrix WHERE actual <> predicted QUALIFY rank <= 15)
+      SELECT approach, actual, predicted, row_index, text, rank, n, row_number() OVER (PARTITION BY approach, rank ORDER BY row_index) AS example
+      FROM shown JOIN top USING (approach, actual, predicted) QUALIFY example <= 3""",
+    "lowest_f1_classes": f"""WITH {_CLASSES} SELECT approach, category, round(f1, 6) AS f1, support,
+      row_number() OVER (PARTITION BY approach ORDER BY round(f1, 6), category) AS rank FROM classes QUALIFY rank <= 10""",
+    "error_totals": f"""WITH {_CLASSES}, errors AS (
+        SELECT approach, count_if(NOT coalesce(correct, false))::BIGINT AS errors,
+               count_if(NOT coalesce(correct, false) AND NOT coalesce(label_valid, true))::BIGINT AS invalid,
+               count_if(NOT coalesce(correct, false) AND coalesce(label_valid, true))::BIGINT AS valid_label_errors FROM predictions GROUP BY approach),
+      low AS (SELECT approach, count_if(f1 = 0)::BIGINT AS zero_f1, count_if(f1 < 0.5)::BIGINT AS below_half_f1 FROM classes GROUP BY approach)
+      SELECT * FROM errors JOIN low USING (approach)""",
+    "structured_output_rates": f"SELECT approach, count(*) AS records, {_RATES} FROM predictions WHERE json_valid IS NOT NULL GROUP BY approach",
+    "structured_output_rows": f"""WITH {_STRICT} SELECT approach, row_index, json_valid, schema_valid,
+      coalesce(predicted_category IN (SELECT category FROM routes), false) AS label_valid, predicted_category FROM parsed""",
+    "prediction_counts": f"WITH {_CONFUSION} SELECT approach, predicted, count(*) AS n FROM shown GROUP BY ALL",
+    "correctness_overlap": f"""WITH {_PAIRED} SELECT count(*) AS records, count_if(a AND b)::BIGINT AS both_correct,
+      count_if(a AND NOT b)::BIGINT AS left_only_correct, count_if(NOT a AND b)::BIGINT AS right_only_correct,
+      count_if(NOT a AND NOT b)::BIGINT AS both_incorrect FROM paired""",
+    "outcome_examples": f"""WITH {_PAIRED} SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'left_only' WHEN b THEN 'right_only' ELSE 'neither' END AS outcome,
+      actual, min(row_index) AS row_index FROM paired GROUP BY ALL""",
+    "class_comparison": f"""WITH {_CLASSES}, {_COMPARED} SELECT category, round(left_f1, 6) AS left_f1, round(right_f1, 6) AS right_f1,
+      round(round(left_f1, 6) - round(right_f1, 6), 6) AS difference,
+      CASE WHEN round(left_f1, 6) - round(right_f1, 6) > 5e-7 THEN 'left' WHEN round(left_f1, 6) - round(right_f1, 6) < -5e-7 THEN 'right' ELSE 'tie' END AS better
+      FROM compared""",
+    "largest_advantages": f"""WITH {_CLASSES}, {_COMPARED}, sides AS (
+        SELECT 'left' AS side, category, round(difference, 6) AS difference, round(difference, 6) AS gain FROM compared WHERE difference > 1e-12
+        UNION ALL SELECT 'right', category, round(difference, 6), -round(difference, 6) FROM compared WHERE difference < -1e-12)
+      SELECT side, row_number() OVER (PARTITION BY side ORDER BY gain DESC, category) AS rank, category, difference FROM sides QUALIFY rank <= 10""",
+    "approach_ranking": f"""WITH {_CLASSES} SELECT approach, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy,
+      row_number() OVER (ORDER BY round(macro_f1, 6) DESC, approach) AS rank FROM macros""",
+    "bootstrap_ci": f"""WITH {_BOOTSTRAP} SELECT approach, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high
+      FROM long GROUP BY ALL""",
+    "paired_difference_ci": f"""WITH {_BOOTSTRAP}, sides AS (
+        SELECT replicate, metric, max(value) FILTER (approach = 'tfidf_logreg') - max(value) FILTER (approach = 'tuned_adapter') AS d FROM long GROUP BY ALL),
+      ends AS (SELECT metric, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM sides GROUP BY metric)
+      SELECT metric, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS excludes_zero FROM ends""",
+    "route_requests": f"""WITH answered AS (
+        SELECT p.approach, p.row_index, r.*, CASE WHEN length({_STRIP}) BETWEEN 1 AND 2000 AND r.category IS NOT NULL THEN 200 ELSE 422 END AS status_code
+        FROM predictions p LEFT JOIN routes r ON p.predicted = r.category)
+      SELECT approach, row_index, status_code, CASE WHEN status_code = 200 THEN category END AS category,
+        CASE WHEN status_code = 200 THEN priority END AS priority, CASE WHEN status_code = 200 THEN team END AS team FROM answered""",
+    "request_validation": f"""WITH asked AS (
+        SELECT 'records' AS origin, length({_STRIP}) AS n FROM records UNION ALL SELECT 'documents', length({_STRIP}) FROM documents)
+      SELECT origin, CASE WHEN coalesce(n, 0) = 0 THEN 'empty' WHEN n > 2000 THEN 'too_long' ELSE 'accepted' END AS status, count(*) AS requests
+      FROM asked GROUP BY ALL""",
+    "agent_assist_status": f"""WITH asked AS (
+        SELECT approach, length({_STRIP}) AS n, predicted IN (SELECT category FROM routes) AS known FROM predictions),
+      marked AS (SELECT approach, CASE WHEN n > 2000 THEN 'input_too_long' WHEN known THEN 'available' ELSE 'invalid_model_output' END AS suggestion_status FROM asked)
+      SELECT approach, suggestion_status, count(*) AS records, count_if(suggestion_status = 'available')::BIGINT AS suggested FROM marked GROUP BY ALL""",
+    "sequence_length_summary": """WITH ordered AS (
+        SELECT source_split, length(text) AS v, row_number() OVER (PARTITION BY source_split ORDER BY length(text)) AS k, count(*) OVER (PARTITION BY source_split) AS n
+        FROM records WHERE text IS NOT NULL)
+      SELECT source_split, max(n) AS rows, min(v)::INT AS min, (max(v) FILTER (k = n // 2 + 1))::INT AS median, (max(v) FILTER (k = ceil(n * 95 / 100.0)))::INT AS p95,
+        (max(v) FILTER (k = ceil(n * 99 / 100.0)))::INT AS p99, max(v)::INT AS max FROM ordered GROUP BY source_split""",
+    "latency_summary": """WITH delays AS (
+        SELECT source, floor((epoch_us(ingested_at) - epoch_us(received_at)) / 1000000)::BIGINT AS s FROM records WHERE received_at IS NOT NULL AND ingested_at IS NOT NULL)
+      SELECT source, count(*) AS rows, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.95), 6) AS p95 FROM delays GROUP BY source""",
+    "robustness_group_scores": f"""WITH {_LABELLED}, {_MAJORITY}, {_VOTES}, given AS (
+        SELECT p.*, 'majority' AS approach, (SELECT label FROM tied WHERE chosen) AS predicted, true AS label_valid FROM robustness_probes p
+        UNION ALL SELECT p.*, 'word_votes', v.predicted, v.predicted IS NOT NULL FROM robustness_probes p JOIN voted v USING (id)),
+      flags AS (
+        SELECT *, coalesce(lower(predicted) IN ('cannot_classify', 'out_of_scope', 'unknown', 'unsupported_request'), false) AS explicit_unknown,
+               CASE WHEN probe_group IN ('short', 'long') THEN label_valid AND coalesce(predicted = expected_category, false)
+                    WHEN probe_group = 'ambiguous' THEN label_valid AND coalesce(list_contains(acceptable_categories, predicted), false)
+                    ELSE coalesce(lower(predicted) IN ('cannot_classify', 'out_of_scope', 'unknown', 'unsupported_request'), false) END AS success
+        FROM given)
+      SELECT probe_group, approach, count(*) AS records, count_if(success)::BIGINT AS successes, count_if(label_valid)::BIGINT AS forced,
+        count_if(NOT label_valid)::BIGINT AS invalid, count_if(explicit_unknown)::BIGINT AS explicit_unknown,
+        round(count_if(success) / count(*)::DOUBLE, 6) AS success_rate FROM flags GROUP BY ALL""",
+    "tfidf_weights": f"WITH {_TERMS} SELECT id, term, round(weight, 6) AS weight FROM weights",
+    "nearest_training_cosine": f"WITH {_TERMS}, {_cosines('SELECT id, text FROM robustness_probes')} SELECT id, cosine FROM nearest",
+    "calibration_split": """SELECT id, probe_group, CASE WHEN row_number() OVER (PARTITION BY probe_group ORDER BY id) <= 100 THEN 'calibration' ELSE 'held_out' END AS part
+      FROM robustness_probes""",
+    "threshold_candidates": f"WITH {_SCOPE} SELECT round(threshold, 6) AS threshold, known_below, unknown_below FROM candidates",
+    "threshold_search": f"""WITH {_SCOPE} SELECT round(threshold, 6) AS threshold, round(balanced_accuracy, 6) AS balanced_accuracy, known_rejected, unknown_rejected
+      FROM best""",
+    "decision_scores": f"""WITH {_SCOPE} SELECT probe_group, outcome, count(*) AS records FROM outcomes GROUP BY GROUPING SETS ((outcome), (probe_group, outcome))""",
+    "decision_rates": f"""WITH {_SCOPE} SELECT round(count_if(outcome = 'unknown_rejected') / count_if(scope = 'out_of_scope')::DOUBLE, 6) AS unknown_rejection_rate,
+      round(count_if(outcome = 'known_rejected') / count_if(scope = 'in_scope')::DOUBLE, 6) AS known_false_rejection_rate FROM outcomes""",
+    "external_scope_by_group": f"""WITH {_SCOPE} SELECT probe_group, count_if(NOT rejected)::BIGINT AS accepted, count_if(rejected)::BIGINT AS rejected
+      FROM decided GROUP BY probe_group""",
+    "external_sample": "SELECT probe_group, id, row_number() OVER (PARTITION BY probe_group ORDER BY id) AS place FROM robustness_probes QUALIFY place <= 2",
+    "received_per_day": """SELECT date_trunc('day', received_at) AS window_start, source, count(*) AS records FROM records WHERE received_at IS NOT NULL GROUP BY ALL""",
+    "report_consistency": f"""WITH {_CONFUSION}, rows_ AS (
+        SELECT approach, count(*) AS records, count_if(coalesce(correct, false))::BIGINT AS correct,
+               count_if(actual IN (SELECT category FROM routes))::BIGINT AS support_total FROM predictions GROUP BY approach),
+      sums AS (SELECT approach, sum(n)::BIGINT AS matrix_total, coalesce(sum(n) FILTER (actual = predicted), 0)::BIGINT AS diagonal FROM matrix GROUP BY approach)
+      SELECT approach, records, correct, matrix_total, diagonal, support_total,
+        records = matrix_total AND records = support_total AND correct = diagonal AS consistent,
+        NOT EXISTS (SELECT row_index, actual FROM predictions GROUP BY ALL HAVING count(*) <> (SELECT count(DISTINCT approach) FROM predictions)) AS same_rows
+      FROM rows_ JOIN sums USING (approach)""",
+}

@@ -1,8 +1,9 @@
 """Near-duplicate records of different splits, by an exact prefix-filtered join of character trigrams.
 
 Two sets with a Dice similarity of at least t share more than a part of their pieces that the sizes fix, so
-they have a pair of pieces in common among their rarest ones. Distinct comparison texts are joined on such
-pairs of rare pieces within classes of similar size; copies come back at the end. No candidate is cut off.
+they have one in common among their rarest ones. Distinct comparison texts are joined on these within classes
+of similar size, and only pairs whose marks differ in few bits leave the join; copies come back at the end. No
+candidate is cut off: sizes, rare pieces and marks only rule out what cannot reach the threshold.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import character_ngrams, comparison_text
+from sievelight.session import cut_lineage
 
 
 def _texts(records: DataFrame, threshold: float) -> DataFrame:
@@ -22,7 +24,7 @@ def _texts(records: DataFrame, threshold: float) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """The rarest pieces of each text, one more than a partner at the threshold may lack, and one to pair them."""
+    """The rarest pieces of each text, one more than a partner at the threshold may lack."""
     loss = (2 - 2 * threshold) / (2 - threshold)
     counts = texts.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
     # At most 37 ** 3 pieces of three characters.
@@ -32,20 +34,27 @@ def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
         .groupBy("side", "form", "size", "band")
         .agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("ranked"))
     )
-    keep = F.floor(F.col("size") * loss + 1e-9).cast("int") + 2
-    return ordered.withColumn("prefix", F.slice(F.col("ranked.piece"), F.lit(1), F.least(keep, F.col("size"))))
+    keep = F.floor(F.col("size") * loss + 1e-9).cast("int") + 1
+    pieces = ordered.select("side", "form", "size", "band", F.col("ranked.piece").alias("pieces"))
+    return pieces.withColumn("prefix", F.slice("pieces", F.lit(1), F.least(keep, F.col("size"))))
 
 
-def _pair_keys(prefix: Column, size: Column, threshold: float) -> Column:
-    """Keys of all pairs of pieces of a prefix, each pair in one order.
+#: Words of 64 bits in which the pieces of a text are marked.
+MARKS = 2
 
-    Sets so small that they may have just one piece in common also have each piece as a key.
-    """
-    ordered = F.array_sort(prefix)
-    pairs = F.flatten(
-        F.transform(ordered, lambda x, i: F.transform(F.slice(ordered, i + 2, F.greatest(F.size(ordered) - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y)))
-    )
-    return F.when(size * threshold < 2, F.concat(pairs, F.transform(ordered, lambda x: F.xxhash64(x, x)))).otherwise(pairs)
+
+def _marks(pieces: Column) -> list[Column]:
+    """Bits that the pieces flip, one or none for each word: sets that differ in d pieces differ in at most d bits."""
+    zero = F.lit(0).cast("long")
+
+    def flipped(word: int) -> Column:
+        def step(bits: Column, piece: Column) -> Column:
+            place = F.pmod(F.xxhash64(piece), F.lit(64 * MARKS)).cast("int") - 64 * word
+            return bits.bitwiseXOR(F.when((place >= 0) & (place < 64), F.call_function("shiftleft", F.lit(1).cast("long"), place)).otherwise(zero))
+
+        return F.aggregate(pieces, zero, step)
+
+    return [flipped(word).alias(f"m{word}") for word in range(MARKS)]
 
 
 def near_duplicates(
@@ -68,14 +77,20 @@ def near_duplicates(
         raise ValueError("threshold must be in (0, 1]")
     number = F.array_position(F.array(*map(F.lit, splits)), F.col(split)).cast("int")
     rows = records.where(F.col(split).isin(*splits) & F.col(text).isNotNull()).select(F.col(key).alias("id"), number.alias("side"), comparison_text(text).alias("form"))
-    ranked = _prefixes(_texts(rows, threshold), threshold)
-    keyed = ranked.select("side", F.xxhash64("form").alias("h"), "size", "band", F.explode(_pair_keys(F.col("prefix"), F.col("size"), threshold)).alias("key"))
-    left = keyed.select(*(F.col(c).alias(f"l_{c}") for c in ("side", "h", "size", "key")), F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band"))
-    right = keyed.select(*(F.col(c).alias(f"r_{c}") for c in ("side", "h", "size", "key")), "band")
-    near = 2 * F.least("l_size", "r_size") >= threshold * (F.col("l_size") + F.col("r_size")) - 1e-9
+    plain = _prefixes(_texts(rows, threshold), threshold).withColumn("h", F.xxhash64("form"))
+    # Four branches read it; without the cut each would make it anew.
+    ranked = cut_lineage(plain.select("*", *_marks(F.col("pieces"))))
+    marked = ranked.select("side", "h", "size", "band", *(f"m{k}" for k in range(MARKS)), F.col("prefix").alias("keys"))
+    keyed = marked.select("*", F.explode("keys").alias("piece")).withColumn("key", F.xxhash64("piece"))
+    carried = ("side", "h", "size", "key", *(f"m{k}" for k in range(MARKS)))
+    left = keyed.select(*(F.col(c).alias(f"l_{c}") for c in carried), F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band"))
+    right = keyed.select(*(F.col(c).alias(f"r_{c}") for c in carried), "band")
+    both = F.col("l_size") + F.col("r_size")
+    apart = sum((F.bit_count(F.col(f"l_m{k}").bitwiseXOR(F.col(f"r_m{k}"))) for k in range(MARKS)), F.lit(0))
+    near = (2 * F.least("l_size", "r_size") >= threshold * both - 1e-9) & (apart <= (1 - threshold) * both + 1e-9)
     met = left.join(right, ["band"]).where((F.col("l_key") == F.col("r_key")) & (F.col("l_side") < F.col("r_side")) & near & (F.col("l_h") != F.col("r_h")))
     candidates = met.select("l_side", "l_h", "r_side", "r_h").distinct()
-    sets = ranked.select("side", F.xxhash64("form").alias("h"), "form", "size", F.col("ranked.piece").alias("pieces"))
+    sets = ranked.select("side", "h", "form", "size", "pieces")
     one = sets.select(*(F.col(c).alias(f"l_{c}") for c in sets.columns))
     two = sets.select(*(F.col(c).alias(f"r_{c}") for c in sets.columns))
     common = F.size(F.array_intersect("l_pieces", "r_pieces"))

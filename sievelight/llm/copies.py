@@ -50,7 +50,7 @@ def payload_key(payload: str | None, fields: tuple[str, ...], required: tuple[st
     parts = []
     for field in fields:
         value = named.get(field)
-        text = "" if value is None else value if isinstance(value, str) else json.dumps(value, sort_keys=True)
+        text = "" if value is None else value if isinstance(value, str) else json.dumps(value, sort_keys=True, ensure_ascii=False)
         parts.append(PART.join(WORD.findall(text.casefold())))
     return FIELD.join(parts) if parts[0] else None
 

@@ -93,11 +93,14 @@ def plan_cuts(tokens: Tokens, strengths: list[int], limit: int, overlap: int, pi
     for i in range(pieces - 1):
         target = overlap + (i + 1) * step
         # Far enough that the pieces still to come can hold the rest, near enough for this one's limit.
-        least = max(target - reach, tokens.count - (pieces - 1 - i) * (limit - overlap), numbers[begin] + overlap + 1)
-        most = min(target + reach, numbers[begin] + limit, tokens.count - 1)
-        first, last = bisect_left(numbers, least), bisect_right(numbers, most) - 1
-        if first > last:
-            return None
+        least = max(tokens.count - (pieces - 1 - i) * (limit - overlap), (numbers[found[-1][1]] if found else overlap) + 1)
+        most = min(numbers[begin] + limit, tokens.count - 1)
+        first, last = bisect_left(numbers, max(least, target - reach)), bisect_right(numbers, min(most, target + reach)) - 1
+        if first > last:  # nothing within reach: the nearest cut that the limits allow
+            first, last = bisect_left(numbers, least), bisect_right(numbers, most) - 1
+            if first > last:
+                return None
+            first = last = min(max(bisect_left(numbers, target), first), last)
         end = max(range(first, last + 1), key=lambda k: (strengths[k], -abs(numbers[k] - target)))
         found.append((begin, end))
         begin = bisect_right(numbers, numbers[end] - overlap) - 1

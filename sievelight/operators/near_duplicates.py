@@ -1,60 +1,92 @@
-"""Near-duplicate records of different splits, by an exact prefix-filtered join of character trigrams.
+"""Near-duplicate records of different splits, by an exact join on equal parts of the sets of character trigrams.
 
-Two sets with a Dice similarity of at least t share more than a part of their pieces that the sizes fix, so
-they have one in common among their rarest ones. Distinct comparison texts are joined on these within classes
-of similar size, and only pairs whose marks differ in few bits leave the join; copies come back at the end. No
-candidate is cut off: sizes, rare pieces and marks only rule out what cannot reach the threshold.
+Two sets with a Dice similarity of at least t differ in few pieces, so of some more parts several are
+equal. Distinct comparison texts are joined on their parts, and only pairs whose sizes and marks allow the
+threshold leave the join; copies come back at the end. No candidate is cut off: parts, sizes and marks only
+rule out what cannot reach the threshold.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import character_ngrams, comparison_text
 from sievelight.session import cut_lineage
 
-
-def _texts(records: DataFrame, threshold: float) -> DataFrame:
-    step = max(-math.log(threshold / (2 - threshold)), 1e-3)
-    texts = records.where("form <> ''").select("side", "form").distinct().withColumn("pieces", character_ngrams("form"))
-    return texts.withColumn("size", F.size("pieces")).withColumn("band", F.floor(F.log("size") / step))
-
-
-def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """The rarest pieces of each text, one more than a partner at the threshold may lack."""
-    loss = (2 - 2 * threshold) / (2 - threshold)
-    counts = texts.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    # At most 37 ** 3 pieces of three characters.
-    ordered = (
-        texts.select("side", "form", "size", "band", F.explode("pieces").alias("piece"))
-        .join(F.broadcast(counts), "piece")
-        .groupBy("side", "form", "size", "band")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("ranked"))
-    )
-    keep = F.floor(F.col("size") * loss + 1e-9).cast("int") + 1
-    pieces = ordered.select("side", "form", "size", "band", F.col("ranked.piece").alias("pieces"))
-    return pieces.withColumn("prefix", F.slice("pieces", F.lit(1), F.least(keep, F.col("size"))))
-
-
+#: Sets of three characters of a-z, 0-9 and the blank.
+MOST_PIECES = 37**3
+#: One spare part for so many needed ones.
+SPARE = 4
 #: Words of 64 bits in which the pieces of a text are marked.
 MARKS = 2
 
 
-def _marks(pieces: Column) -> list[Column]:
-    """Bits that the pieces flip, one or none for each word: sets that differ in d pieces differ in at most d bits."""
-    zero = F.lit(0).cast("long")
+class Signer:
+    """Keys on which texts of similar size meet, for sets of pieces at a Dice similarity of ``threshold`` or more.
 
-    def flipped(word: int) -> Column:
-        def step(bits: Column, piece: Column) -> Column:
-            place = F.pmod(F.xxhash64(piece), F.lit(64 * MARKS)).cast("int") - 64 * word
-            return bits.bitwiseXOR(F.when((place >= 0) & (place < 64), F.call_function("shiftleft", F.lit(1).cast("long"), place)).otherwise(zero))
-
-        return F.aggregate(pieces, zero, step)
+    Texts are in classes of size, and a pair belongs to the class of its larger set; since a partner is at most one
+    class away, a text is signed for its own class and the next. A pair of a class differs in at most d pieces.
+    Hashes of the pieces spread them over d + 1 + e parts, so at least e + 1 parts of both are equal, and each text
+    may leave out its e parts of the fewest pieces (ties by number): the largest equal part of a pair is never left
+    out on either side. A key is the content of one part.
+    """
 
-    return [flipped(word).alias(f"m{word}") for word in range(MARKS)]
+    def __init__(self, threshold: float):
+        base = max((2 - threshold) / threshold, 1.05)
+        lower = {math.ceil(base**c - 1e-9) for c in range(int(math.log(MOST_PIECES, base)) + 4)}
+        self.lower = np.array(sorted(lower), np.int64)
+        most = np.append(self.lower[1:], self.lower[-1] * 2) - 1
+        differing = np.floor((1 - threshold) * 2 * most + 1e-9).astype(np.int64)
+        self.spare = (differing + 1 + SPARE - 1) // SPARE
+        self.parts = differing + 1 + self.spare
+
+    def marks(self, hashes: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+        """Bits that the pieces flip, ``MARKS`` words a row: sets that differ in d pieces differ in at most d bits."""
+        width = 64 * MARKS
+        flips = np.bincount(owner * width + (hashes % np.uint64(width)).astype(np.int64), minlength=rows * width)
+        return np.packbits((flips & 1).astype(np.uint8).reshape(rows, width), axis=1).view(np.int64)
+
+    def keys(self, hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and keys for the class ``step`` above each text's own."""
+        classes = np.searchsorted(self.lower, sizes, "right") - 1 + step
+        parts = self.parts[classes]
+        starts = np.cumsum(parts) - parts
+        slot = starts[owner] + ((hashes >> np.uint64(20)) % parts[owner].astype(np.uint64)).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), parts)
+        content = np.zeros(len(row), np.uint64)
+        np.add.at(content, slot, hashes * np.uint64(0x9E3779B97F4A7C15))
+        counts = np.bincount(slot, minlength=len(row))
+        part = np.arange(len(row)) - starts[row]
+        # Rows stay together, so the place in a row is the number of its part.
+        kept = np.lexsort((part, counts, row))[part >= self.spare[classes][row]]
+        row, part = row[kept], part[kept]
+        key = content[kept] + (classes[row] << 20 | part).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        key = (key ^ key >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        return row, (key ^ key >> np.uint64(29)).view(np.int64)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = batch.column(2)
+            sizes = np.diff(pieces.offsets.to_numpy()).astype(np.int64)
+            hashes = pieces.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            marks = self.marks(hashes, owner, len(sizes))
+            for step in (0, 1):
+                row, key = self.keys(hashes, owner, sizes, step)
+                place = pa.array(row)
+                words = [pa.array(np.ascontiguousarray(marks[row, k])) for k in range(MARKS)]
+                columns = [batch.column(0).take(place), batch.column(1).take(place), pa.array(sizes[row], pa.int32()), pa.array(np.full(len(row), step == 0)), pa.array(key), *words]
+                yield pa.RecordBatch.from_arrays(columns, list(KINDS))
+
+
+KINDS = {"side": "int", "h": "long", "size": "int", "own": "boolean", "key": "long"} | {f"m{k}": "long" for k in range(MARKS)}
+SIGNED = ", ".join(f"{name} {kind}" for name, kind in KINDS.items())
 
 
 def near_duplicates(
@@ -77,20 +109,19 @@ def near_duplicates(
         raise ValueError("threshold must be in (0, 1]")
     number = F.array_position(F.array(*map(F.lit, splits)), F.col(split)).cast("int")
     rows = records.where(F.col(split).isin(*splits) & F.col(text).isNotNull()).select(F.col(key).alias("id"), number.alias("side"), comparison_text(text).alias("form"))
-    plain = _prefixes(_texts(rows, threshold), threshold).withColumn("h", F.xxhash64("form"))
+    texts = rows.where("form <> ''").select("side", "form").distinct().withColumn("h", F.xxhash64("form"))
     # Four branches read it; without the cut each would make it anew.
-    ranked = cut_lineage(plain.select("*", *_marks(F.col("pieces"))))
-    marked = ranked.select("side", "h", "size", "band", *(f"m{k}" for k in range(MARKS)), F.col("prefix").alias("keys"))
-    keyed = marked.select("*", F.explode("keys").alias("piece")).withColumn("key", F.xxhash64("piece"))
-    carried = ("side", "h", "size", "key", *(f"m{k}" for k in range(MARKS)))
-    left = keyed.select(*(F.col(c).alias(f"l_{c}") for c in carried), F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band"))
-    right = keyed.select(*(F.col(c).alias(f"r_{c}") for c in carried), "band")
+    texts = cut_lineage(texts)
+    hashed = texts.select("side", "h", F.transform(character_ngrams("form"), lambda piece: F.xxhash64(piece)).alias("pieces"))
+    signer = Signer(threshold)
+    left = hashed.where(F.col("side") < len(splits)).mapInArrow(signer, SIGNED).select(*(F.col(c).alias(f"l_{c}") for c in KINDS))
+    right = hashed.where(F.col("side") > 1).mapInArrow(signer, SIGNED).select(*(F.col(c).alias(f"r_{c}") for c in KINDS))
     both = F.col("l_size") + F.col("r_size")
     apart = sum((F.bit_count(F.col(f"l_m{k}").bitwiseXOR(F.col(f"r_m{k}"))) for k in range(MARKS)), F.lit(0))
     near = (2 * F.least("l_size", "r_size") >= threshold * both - 1e-9) & (apart <= (1 - threshold) * both + 1e-9)
-    met = left.join(right, ["band"]).where((F.col("l_key") == F.col("r_key")) & (F.col("l_side") < F.col("r_side")) & near & (F.col("l_h") != F.col("r_h")))
+    met = left.join(right, (F.col("l_key") == F.col("r_key")) & (F.col("l_side") < F.col("r_side")) & (F.col("l_own") | F.col("r_own")) & near & (F.col("l_h") != F.col("r_h")))
     candidates = met.select("l_side", "l_h", "r_side", "r_h").distinct()
-    sets = ranked.select("side", "h", "form", "size", "pieces")
+    sets = texts.withColumn("pieces", character_ngrams("form")).withColumn("size", F.size("pieces"))
     one = sets.select(*(F.col(c).alias(f"l_{c}") for c in sets.columns))
     two = sets.select(*(F.col(c).alias(f"r_{c}") for c in sets.columns))
     common = F.size(F.array_intersect("l_pieces", "r_pieces"))

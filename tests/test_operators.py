@@ -4,6 +4,7 @@ import json
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,28 @@ def test_near_duplicates_of_low_threshold_and_edge_cases(spark):
     assert near_duplicates.near_duplicates(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.9, 0.97])
+def test_sets_at_the_threshold_share_a_key(threshold):
+    """However the differing pieces lie, in sets of any size."""
+    signer, chance = near_duplicates.Signer(threshold), np.random.default_rng(5)
+    for size in [*range(1, 60), 200, 999, 3_000]:
+        one = chance.integers(0, 2**64, size, dtype=np.uint64)
+        lost = int(chance.integers(0, size + 1)) if size > 1 else 0
+        two = one[: size - lost]
+        while 2 * len(two) < threshold * (size + len(two)):
+            lost -= 1
+            two = one[: size - lost]
+        more = 0
+        while 2 * len(two) >= threshold * (size + len(two) + more + 1):
+            more += 1
+        two = np.concatenate((two, chance.integers(0, 2**64, more, dtype=np.uint64)))
+        keys = []
+        for hashes in (one, two):
+            sizes, owner = np.array([len(hashes)]), np.zeros(len(hashes), np.int64)
+            keys.append({int(k) for step in (0, 1) for k in signer.keys(hashes, owner, sizes, step)[1]})
+        assert keys[0] & keys[1], (size, lost, more)
+
+
 def test_duplicate_audit_matches_brute_force(spark, sf_dir):
     rows = [(i, t, c, s, i) for i, (t, c, s) in enumerate([
         ("Hello", "a", "train"), ("Hello", "a", "test"), ("hello ", "b", "train"), ("ﬁx it", "a", "train"), ("fix it", "a", "train"),

@@ -159,7 +159,7 @@ class Automaton:
         return ids
 
     def count(self, text: str | None) -> int:
-        return sum(len(self.word_ids(word)) for word in self.pattern.findall(text or ""))
+        return sum(map(len, map(self.word_ids, self.pattern.findall(text or ""))))
 
     def decode(self, ids: list[int] | None) -> str | None:
         """The text of the labels of ``ids``; null of null."""

@@ -48,35 +48,50 @@ def boundary_strengths(text: str, starts: list[int]) -> list[int]:
     return strengths
 
 
+def whole_characters(automaton: Automaton, word: str, ids: list[int]) -> list[tuple[int, int]]:
+    """Of the tokens of a word, the number and character position of each that begins a character."""
+    offset, ends = 0, {0: 0}
+    for i, char in enumerate(word, 1):
+        offset += len(char.encode("utf-8", "replace"))
+        ends[offset] = i
+    offset, found = 0, []
+    for k, number in enumerate(ids):
+        if offset in ends:
+            found.append((k, ends[offset]))
+        offset += len(automaton.labels[number])
+    return found
+
+
 class Tokens:
-    """The tokens of a text with the character position of each; only those that begin a character may begin a piece."""
+    """The tokens of a text with the character position of each; only those that begin a character may begin a piece.
+
+    ``words`` are the pre-split words, which cover the text, and ``ids`` their tokens.
+    """
 
-    def __init__(self, automaton: Automaton, text: str):
+    def __init__(self, automaton: Automaton, text: str, words: list[str], ids: list[list[int]]):
         self.text = text
         self.numbers: list[int] = []  # token number of each possible cut
         self.places: list[int] = []  # its character position
-        count = 0
-        for found in automaton.pattern.finditer(text):
-            word = found[0]
-            ids = automaton.word_ids(word)
-            if len(ids) == 1:
+        known: dict[str, list[tuple[int, int]]] = {}
+        count = place = 0
+        for word, own in zip(words, ids):
+            if len(own) == 1:
                 self.numbers.append(count)
-                self.places.append(found.start())
+                self.places.append(place)
             else:
-                offset, ends = 0, {0: 0}
-                for i, char in enumerate(word, 1):
-                    offset += len(char.encode("utf-8", "replace"))
-                    ends[offset] = i
-                offset = 0
-                for k, number in enumerate(ids):
-                    if offset in ends:
-                        self.numbers.append(count + k)
-                        self.places.append(found.start() + ends[offset])
-                    offset += len(automaton.labels[number])
-            count += len(ids)
+                cuts = known.get(word)
+                if cuts is None:
+                    known[word] = cuts = whole_characters(automaton, word, own)
+                for k, i in cuts:
+                    self.numbers.append(count + k)
+                    self.places.append(place + i)
+            count += len(own)
+            place += len(word)
+        if place != len(text):
+            raise ValueError("the pattern of the tokenizer must cover all of a text")
         self.count = count
         self.numbers.append(count)
-        self.places.append(len(text))
+        self.places.append(place)
 
 
 def plan_cuts(tokens: Tokens, strengths: list[int], limit: int, overlap: int, pieces: int) -> list[tuple[int, int]] | None:
@@ -122,11 +137,13 @@ def split_text(automaton: Automaton, text: str | None, limit: int | None, overla
     """
     if not text:
         return []
-    if limit is None or limit < 1 or (automaton.count(text) <= limit):
-        count = automaton.count(text)
+    words = automaton.pattern.findall(text)
+    ids = [automaton.word_ids(word) for word in words]
+    count = sum(map(len, ids))
+    if limit is None or limit < 1 or count <= limit:
         return [(1, 0, count, count, 0, "end", text)]
     overlap = max(0, min(overlap or 0, limit // 2 if (overlap or 0) >= limit else overlap or 0))
-    tokens = Tokens(automaton, text)
+    tokens = Tokens(automaton, text, words, ids)
     strengths = boundary_strengths(text, tokens.places)
     pieces = max(2, -(-(tokens.count - overlap) // (limit - overlap)))
     while True:

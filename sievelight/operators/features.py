@@ -14,6 +14,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,21 +107,32 @@ def nearest_cosine(queries: DataFrame, weights: DataFrame, limit: int = BLOCK_LI
 
 @F.udf(VectorUDT())
 def _sparse(size, slots):
-    return SparseVector(size, [s.slot for s in slots], [s.weight for s in slots])
+    return SparseVector(size, [s.slot for s in slots or []], [s.weight for s in slots or []])
 
 
-def vectors(weights: DataFrame, slots: int = 1 << 16) -> DataFrame:
-    """``id, features``: a sparse vector for each row; terms are hashed to slots, so there is no vocabulary to hold."""
-    hashed = weights.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int").alias("slot")).agg(F.sum("weight").alias("weight"))
-    listed = hashed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("slots"))
-    return listed.select("id", _sparse(F.lit(slots), "slots").alias("features"))
+def numbered_terms(idf: DataFrame, buckets: int = 256) -> DataFrame:
+    """``term, slot``: the terms numbered from 0 without gaps, in hashed buckets, so that no task sees all of them."""
+    placed = idf.select("term", F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"))
+    starts = sizes.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("start"))
+    place = F.row_number().over(W.partitionBy("bucket").orderBy("term")) - 1
+    return placed.withColumn("place", place).join(F.broadcast(starts), "bucket").select("term", (F.col("start") + F.col("place")).cast("int").alias("slot"))
 
 
-def logistic_predictions(train: DataFrame, rows: DataFrame, inverse_strength: float = 1.0, iterations: int = 100) -> DataFrame:
+def vectors(weights: DataFrame, ids: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+    """``id, features``: a sparse vector of ``size`` slots for each row of ``ids``, empty for one without a known term.
+
+    ``terms`` gives each term its own slot.
+    """
+    placed = weights.join(terms, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("slots"))
+    return ids.select("id").join(placed, "id", "left").select("id", _sparse(F.lit(size), "slots").alias("features"))
+
+
+def logistic_predictions(train: DataFrame, rows: DataFrame, inverse_strength: float = 1.0, iterations: int = 1000) -> DataFrame:
     """``id, predicted, probability`` by multinomial logistic regression; ``train`` has ``id, features, category``.
 
     The penalty is ``1 / (inverse_strength * rows)`` and doesn't touch intercepts. Labels are ordered by name. A
-    ``train`` of one label predicts it.
+    ``train`` of one label predicts it. The fit ends when it converges; ``iterations`` only bounds it.
     """
     indexer = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
     indexed = indexer.transform(train).persist()

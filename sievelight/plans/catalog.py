@@ -456,13 +456,15 @@ def report_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def logreg_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and probabilities of the test records by logistic regression on the TF-IDF of the train records."""
-    labelled = _labelled(spark, sf_dir)
-    train = labelled.where("source_split = 'train' and category is not null")
-    counts = features.term_frequencies(train, "record_id")
+    labelled = _labelled(spark, sf_dir).withColumn("id", F.col("record_id"))
+    train, test = labelled.where("source_split = 'train' and category is not null"), labelled.where("source_split = 'test'")
+    counts = features.term_frequencies(train, "id").persist()
     idf = features.inverse_frequencies(counts, train)
-    fitted = features.vectors(features.tfidf_weights(counts, idf), 1 << 13).join(train.select(F.col("record_id").alias("id"), "category"), "id")
-    tested = features.tfidf_weights(features.term_frequencies(labelled.where("source_split = 'test'"), "record_id"), idf)
-    return features.logistic_predictions(fitted, features.vectors(tested, 1 << 13), iterations=30)
+    terms = features.numbered_terms(idf).persist()
+    size = max(1, terms.count())
+    fitted = features.vectors(features.tfidf_weights(counts, idf), train, terms, size).join(train.select("id", "category"), "id")
+    tested = features.tfidf_weights(features.term_frequencies(test, "id"), idf)
+    return features.logistic_predictions(fitted, features.vectors(tested, test, terms, size))
 
 
 @query

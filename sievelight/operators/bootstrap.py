@@ -9,6 +9,10 @@ are counted and meet only the table of cells, which labels bound.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,6 +67,61 @@ def replicate_metrics(counts: DataFrame, labels: DataFrame) -> DataFrame:
     return totals.join(macro_f1, "key").select("replicate", "approach", ratio(F.col("correct"), F.col("total")).alias("accuracy"), "macro_f1")
 
 
+def multinomial_metrics(cells: DataFrame, labels: DataFrame, approaches: list[str], replicates: int, seed: int) -> DataFrame:
+    """Accuracy and macro F1 of each replicate and approach, like :func:`replicate_metrics` of :func:`replicate_counts`.
+
+    Draws with replacement from the rows of a class put a multinomial count on each of its cells, so the work is
+    replicates x cells however many rows there are. The cells, which labels bound, go to the tasks; each
+    replicate has a generator of its own, so it is the same in any partition.
+    """
+    if replicates < 1:
+        raise ValueError("replicates must be positive")
+    spark = cells.sparkSession
+    names = [f"p{k}" for k in range(len(approaches))]
+    local = sorted(tuple(row) for row in cells.select("actual", *names, "n", "support").collect())
+    places = {row.category: k for k, row in enumerate(labels.where("category is not null").select("category").distinct().orderBy("category").collect())}
+    kind = "replicate long, approach string, accuracy double, macro_f1 double"
+    if not local or not places:
+        return spark.createDataFrame([], kind)
+    classes = {actual: k for k, actual in enumerate(sorted({row[0] for row in local}))}
+    members: list[list[int]] = [[] for _ in classes]
+    for k, row in enumerate(local):
+        members[classes[row[0]]].append(k)
+    width, other = max(map(len, members)), len(places)
+    support = np.array([local[own[0]][-1] for own in members])
+    # Zeros stand first, so that what rounding leaves goes to a cell of the class.
+    chances, where = np.zeros((len(members), width)), np.zeros(len(local), np.int64)
+    for c, own in enumerate(members):
+        for j, k in enumerate(sorted(own, key=lambda k: -local[k][-2]), width - len(own)):
+            chances[c, j], where[k] = local[k][-2] / support[c], c * width + j
+    actual = np.array([places.get(row[0], other) for row in local])
+    sides = [(np.array([places.get(row[1 + s], other) for row in local]), np.array([row[0] == row[1 + s] for row in local])) for s in range(len(approaches))]
+    shared = spark.sparkContext.broadcast((support, chances, where, actual, sides))
+
+    def ratios(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return np.divide(part, whole, out=np.zeros(len(part)), where=whole > 0)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        support, chances, where, actual, sides = shared.value
+        for batch in batches:
+            out: list[tuple] = []
+            for replicate in batch.column(0).to_pylist():
+                chance = np.random.Generator(np.random.Philox(key=np.array([seed, replicate], np.uint64)))
+                times = chance.multinomial(support, chances).ravel()[where]
+                there = np.bincount(actual, times, other + 1)[:other]
+                for name, (predicted, right) in zip(approaches, sides):
+                    hits = np.bincount(predicted, times * right, other + 1)[:other]
+                    precision, recall = ratios(hits, np.bincount(predicted, times, other + 1)[:other]), ratios(hits, there)
+                    f1 = ratios(2 * precision * recall, precision + recall)
+                    out.append((replicate, name, times[right].sum() / times.sum(), f1.mean()))
+            if out:
+                columns = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.float64()))], kind_names)
+
+    kind_names = ["replicate", "approach", "accuracy", "macro_f1"]
+    return spark.range(replicates).mapInArrow(draw, kind)
+
+
 def intervals(metrics: DataFrame, level: float = 0.95) -> DataFrame:
     """Linear percentile interval of each approach and metric: ``approach, metric, low, high``."""
     tail = (1 - level) / 2

@@ -14,7 +14,8 @@ from sievelight.sources.readers import file_manifest
 from sievelight.streaming.outputs import received_by_window
 
 LEFT, RIGHT = "tfidf_logreg", "tuned_adapter"
-REPLICATES, SEED = 200, 42
+#: Replicates of the queries that DuckDB repeats draw by draw, and of the full ones.
+REPLICATES, FULL_REPLICATES, SEED = 200, 10_000, 42
 #: Words as both SQL engines find them.
 PLAIN_WORDS = "[a-z0-9]{2,}"
 
@@ -263,6 +264,23 @@ def paired_difference_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bootstrap.paired_differences(_replicates(spark, sf_dir), LEFT, RIGHT), "low", "high")
 
 
+def _full_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = bootstrap.outcome_cells(table(spark, sf_dir, "predictions"), [LEFT, RIGHT])
+    return bootstrap.multinomial_metrics(cells, table(spark, sf_dir, "routes"), [LEFT, RIGHT], FULL_REPLICATES, SEED)
+
+
+@query
+def bootstrap_ci_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bootstrap_ci`` from 10,000 replicates."""
+    return rounded(bootstrap.intervals(_full_replicates(spark, sf_dir)), "low", "high")
+
+
+@query
+def paired_difference_ci_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``paired_difference_ci`` from 10,000 replicates."""
+    return rounded(bootstrap.paired_differences(_full_replicates(spark, sf_dir), LEFT, RIGHT), "low", "high")
+
+
 @query
 def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer of the service to each predicted row."""

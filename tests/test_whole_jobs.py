@@ -1,6 +1,11 @@
 """Queries that must do their whole job, on fixtures where a part of it would show."""
 
-from sievelight.plans.catalog import QUERIES
+from itertools import product
+
+import numpy as np
+
+from sievelight.operators import bootstrap
+from sievelight.plans.catalog import LEFT, QUERIES, RIGHT
 
 RECORD = "record_id long, text string, category string, source_split string, source_index long"
 
@@ -15,3 +20,39 @@ def test_every_test_record_is_predicted(spark, tmp_path):
     assert (found[100].predicted, found[101].predicted) == ("card", "loan")
     without = {(found[i].predicted, round(found[i].probability, 9)) for i in range(102, 106)}
     assert len(without) == 1 and without.pop()[0] == "card"
+
+
+def test_full_bootstrap_follows_all_possible_draws(spark, tmp_path):
+    """Two labels of three rows: each of the 27 x 27 draws of rows is as likely."""
+    rows = [("a", "a", "a"), ("a", "b", "a"), ("a", "b", None), ("b", "b", "b"), ("b", "a", "b"), ("b", "a", "a")]
+    given = [(name, i, "t", row[0], row[1 + s], row[0] == row[1 + s], row[1 + s] is not None) for i, row in enumerate(rows) for s, name in enumerate((LEFT, RIGHT))]
+    spark.createDataFrame(given, "approach string, row_index long, text string, actual string, predicted string, correct boolean, label_valid boolean").write.parquet(str(tmp_path / "predictions.parquet"))
+    spark.createDataFrame([("a",), ("b",)], "category string").write.parquet(str(tmp_path / "routes.parquet"))
+
+    def scores(drawn, s):
+        f1 = []
+        for label in "ab":
+            hits = sum(r[0] == label == r[1 + s] for r in drawn)
+            whole = sum(r[0] == label for r in drawn) + sum(r[1 + s] == label for r in drawn)
+            f1.append(2 * hits / whole if whole else 0.0)
+        return sum(r[0] == r[1 + s] for r in drawn) / len(drawn), sum(f1) / 2
+
+    draws = [[*x, *y] for x in product(rows[:3], repeat=3) for y in product(rows[3:], repeat=3)]
+    exact = np.array([[scores(d, s) for s in (0, 1)] for d in draws])
+    frame = bootstrap.outcome_cells(spark.read.parquet(str(tmp_path / "predictions.parquet")), [LEFT, RIGHT])
+    found = bootstrap.multinomial_metrics(frame, spark.read.parquet(str(tmp_path / "routes.parquet")), [LEFT, RIGHT], 10_000, 42).collect()
+    assert len({r.replicate for r in found}) == 10_000 and len(found) == 20_000
+    for s, name in enumerate((LEFT, RIGHT)):
+        for m, metric in enumerate(("accuracy", "macro_f1")):
+            drawn, all_ = np.array([r[metric] for r in found if r.approach == name]), exact[:, s, m]
+            for value in np.unique(all_.round(9)):
+                assert abs((drawn <= value + 1e-8).mean() - (all_ <= value + 1e-8).mean()) < 0.02
+    for r in QUERIES["bootstrap_ci_full"](spark, str(tmp_path)).collect():
+        all_ = exact[:, (LEFT, RIGHT).index(r.approach), ("accuracy", "macro_f1").index(r.metric)]
+        for end, share in ((r.low, 0.025), (r.high, 0.975)):
+            assert np.quantile(all_, share - 0.01) - 1e-6 <= end <= np.quantile(all_, share + 0.01) + 1e-6
+    differences = exact[:, 0] - exact[:, 1]
+    for r in QUERIES["paired_difference_ci_full"](spark, str(tmp_path)).collect():
+        all_ = differences[:, ("accuracy", "macro_f1").index(r.metric)]
+        assert np.quantile(all_, 0.015) - 1e-6 <= r.low <= np.quantile(all_, 0.035) + 1e-6
+        assert r.excludes_zero == (r.low > 0 or r.high < 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from sievelight.functions.text import ASCII_ONLY
 
 #: Words of two or more characters.
 WORDS = r"(?U)\b\w\w+\b"
-#: Largest dense table of query weights that goes to the tasks, in numbers of eight bytes.
+#: Largest dense table of query weights that goes to the tasks at once, in numbers of eight bytes.
 BLOCK_LIMIT = 1 << 24
 
 
@@ -68,19 +69,37 @@ def tfidf_weights(frequencies: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norms, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+def query_blocks(queries: DataFrame, limit: int = BLOCK_LIMIT) -> tuple[DataFrame, int]:
+    """``queries`` with ``block``, and the number of blocks: in each, ids x terms are at most ``limit``, or there is one id."""
+    shape = queries.agg(F.count_distinct("id").alias("ids"), F.count_distinct("term").alias("terms")).first()
+    places = queries.select("id").distinct().select("id", (F.row_number().over(W.orderBy("id")) - 1).alias("place"))
+    blocks = min(max(1, shape.ids), -(-shape.ids * shape.terms // max(1, limit)) or 1)
+    while True:
+        marked = queries.join(places, "id").select(*queries.columns, (F.col("place") % blocks).cast("int").alias("block"))
+        if blocks >= shape.ids:
+            return marked, blocks
+        sizes = marked.groupBy("block").agg((F.count_distinct("id") * F.count_distinct("term")).alias("n"))
+        if sizes.agg(F.max("n")).first()[0] <= limit:
+            return marked, blocks
+        blocks = min(2 * blocks, shape.ids)
+
+
 def nearest_cosine(queries: DataFrame, weights: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
     """``id, cosine``: for each query the greatest cosine with any row of ``weights``; no row for one without a shared term.
 
-    Both tables have ``id, term, weight``. The stated queries go to the tasks as one dense table if it has at
-    most ``limit`` numbers, and each task keeps one maximum for each query. Larger query sets are joined by term.
+    Both tables have ``id, term, weight``. The stated queries go to the tasks in dense tables of at most
+    ``limit`` numbers, one for each block of them, and each task keeps one maximum for each query, so pairs of
+    queries and rows are never shuffled.
     """
-    terms = queries.select("term").distinct()
-    shape = queries.agg(F.count_distinct("id").alias("ids"), F.count_distinct("term").alias("terms")).first()
-    narrow = weights.join(terms, "term", "left_semi")
-    if shape.ids * shape.terms > limit:
-        pairs = narrow.withColumnRenamed("id", "row").withColumnRenamed("weight", "other").join(queries, "term")
-        dots = pairs.groupBy("id", "row").agg(F.sum(F.col("weight") * F.col("other")).alias("dot"))
-        return dots.groupBy("id").agg(F.max("dot").alias("cosine"))
+    marked, blocks = query_blocks(queries, limit)
+    if blocks > 1:
+        marked, weights = marked.persist(), weights.persist()
+    found = [_block_cosine(marked.where(F.col("block") == k).drop("block"), weights) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _block_cosine(queries: DataFrame, weights: DataFrame) -> DataFrame:
+    narrow = weights.join(queries.select("term").distinct(), "term", "left_semi")
     local = queries.toPandas()
     ids, places = np.unique(local["id"].to_numpy(), return_inverse=True) if len(local) else (np.array([]), np.array([], int))
     names = {term: k for k, term in enumerate(sorted(set(local["term"])))}

@@ -3,8 +3,9 @@
 from itertools import product
 
 import numpy as np
+import pytest
 
-from sievelight.operators import bootstrap
+from sievelight.operators import bootstrap, features
 from sievelight.plans.catalog import LEFT, QUERIES, RIGHT
 
 RECORD = "record_id long, text string, category string, source_split string, source_index long"
@@ -56,3 +57,18 @@ def test_full_bootstrap_follows_all_possible_draws(spark, tmp_path):
         all_ = differences[:, ("accuracy", "macro_f1").index(r.metric)]
         assert np.quantile(all_, 0.015) - 1e-6 <= r.low <= np.quantile(all_, 0.035) + 1e-6
         assert r.excludes_zero == (r.low > 0 or r.high < 0)
+
+
+@pytest.mark.parametrize("limit", [1, 60, 1_000])
+def test_cosines_of_many_queries_come_from_blocks(spark, limit):
+    chance = np.random.default_rng(3)
+    dense = {k: np.where(chance.random(12) < 0.4, chance.random(12), 0.0) for k in range(30)}
+    weights = spark.createDataFrame([(k, f"t{t}", float(w)) for k, row in dense.items() for t, w in enumerate(row) if w], "id long, term string, weight double")
+    queries = weights.where("id < 20")
+    marked, blocks = features.query_blocks(queries, limit)
+    sizes = [(len({r.id for r in own}), len({r.term for r in own})) for k in range(blocks) for own in [marked.where(f"block = {k}").collect()]]
+    assert sum(ids for ids, _ in sizes) == queries.select("id").distinct().count()
+    assert all(ids * terms <= limit or ids == 1 for ids, terms in sizes)
+    found = {r.id: r.cosine for r in features.nearest_cosine(queries, weights, limit).collect()}
+    wanted = {k: max(float(dense[k] @ row) for row in dense.values()) for k in range(20) if dense[k].any()}
+    assert found == pytest.approx(wanted)

@@ -389,18 +389,18 @@ def nearest_training_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round(F.coalesce("cosine", F.lit(0.0)), 6).alias("cosine"))
 
 
-def _scope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scope_rows(spark: SparkSession, sf_dir: str, digits: int = 3) -> DataFrame:
     given = table(spark, sf_dir, "robustness_probes").select("id", "probe_group")
     scored = given.join(nearest_training_cosine(spark, sf_dir), "id").join(_word_votes(spark, sf_dir), "id")
     rows = scored.select(
         "id", "probe_group", F.when(F.col("probe_group") == scope.UNKNOWN, scope.UNKNOWN).otherwise(scope.KNOWN).alias("scope"),
-        F.round("cosine", 3).alias("score"), F.col("predicted").isNotNull().alias("label_valid"),
+        F.round("cosine", digits).alias("score"), F.col("predicted").isNotNull().alias("label_valid"),
     )
     return split.first_positions(rows, "probe_group", ["id"], 100)
 
 
-def _calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _scope_rows(spark, sf_dir).persist()
+def _calibrated(spark: SparkSession, sf_dir: str, digits: int = 3) -> tuple[DataFrame, DataFrame]:
+    rows = _scope_rows(spark, sf_dir, digits).persist()
     return rows, scope.threshold_search(rows.where("part = 'calibration'"))
 
 
@@ -456,11 +456,11 @@ def external_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rejection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frozen threshold on test rows: the stated queries are those whose record id is divisible by 100."""
-    found = _calibrated(spark, sf_dir)[1]
+    found = _calibrated(spark, sf_dir, 6)[1]
     tested = table(spark, sf_dir, "predictions").where("record_id % 100 = 0")
     cosines = _cosines(spark, sf_dir, tested.select("record_id", "text").dropDuplicates(["record_id"]), "record_id")
     scored = tested.join(cosines.withColumnRenamed("id", "record_id"), "record_id", "left").withColumns(
-        {"score": F.round(F.coalesce("cosine", F.lit(0.0)), 3), "scope": F.lit(scope.KNOWN)}
+        {"score": F.round(F.coalesce("cosine", F.lit(0.0)), 6), "scope": F.lit(scope.KNOWN)}
     )
     return rounded(scope.rejection_audit(scope.decisions(scored, found)), "rejected_rate", "accepted_accuracy")
 

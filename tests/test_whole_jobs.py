@@ -4,8 +4,10 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievelight.operators import bootstrap, features
+from sievelight.plans import catalog
 from sievelight.plans.catalog import LEFT, QUERIES, RIGHT
 
 RECORD = "record_id long, text string, category string, source_split string, source_index long"
@@ -72,3 +74,18 @@ def test_cosines_of_many_queries_come_from_blocks(spark, limit):
     found = {r.id: r.cosine for r in features.nearest_cosine(queries, weights, limit).collect()}
     wanted = {k: max(float(dense[k] @ row) for row in dense.values()) for k in range(20) if dense[k].any()}
     assert found == pytest.approx(wanted)
+
+
+def test_audit_decides_on_six_digits(spark, sf_dir, monkeypatch):
+    """A test row 0.0004 below the threshold is rejected, one 0.0004 above it is not."""
+    given = spark.read.parquet(f"{sf_dir}/predictions.parquet").where("record_id % 100 = 0")
+    first = given.agg({"record_id": "min"}).first()[0]
+    threshold = spark.createDataFrame([(0.5,)], "threshold double")
+    asked = []
+    monkeypatch.setattr(catalog, "_calibrated", lambda *given: (asked.append(given[2:]), threshold))
+    monkeypatch.setattr(catalog, "_cosines", lambda s, d, rows, key: rows.selectExpr("record_id as id", f"if(record_id = {first}, 0.4996D, 0.5004D) as cosine"))
+    valid = given.where("label_valid").groupBy("approach").agg(F.count_if(F.col("record_id") == first).alias("low"), F.count("*").alias("n")).collect()
+    invalid = {r.approach: r.n for r in given.groupBy("approach").agg(F.count_if(~F.coalesce("label_valid", F.lit(False))).alias("n")).collect()}
+    found = {r.approach: r.rejected for r in QUERIES["rejection_audit"](spark, sf_dir).collect()}
+    assert asked == [(6,)] and sum(r.low for r in valid) > 0
+    assert found == {r.approach: r.low + invalid[r.approach] for r in valid}

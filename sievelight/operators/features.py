@@ -72,8 +72,10 @@ def tfidf_weights(frequencies: DataFrame, idf: DataFrame) -> DataFrame:
 def query_blocks(queries: DataFrame, limit: int = BLOCK_LIMIT) -> tuple[DataFrame, int]:
     """``queries`` with ``block``, and the number of blocks: in each, ids x terms are at most ``limit``, or there is one id."""
     shape = queries.agg(F.count_distinct("id").alias("ids"), F.count_distinct("term").alias("terms")).first()
+    if shape.ids <= 1 or shape.ids * shape.terms <= limit:
+        return queries.withColumn("block", F.lit(0)), 1
     places = queries.select("id").distinct().select("id", (F.row_number().over(W.orderBy("id")) - 1).alias("place"))
-    blocks = min(max(1, shape.ids), -(-shape.ids * shape.terms // max(1, limit)) or 1)
+    blocks = min(shape.ids, -(-shape.ids * shape.terms // max(1, limit)))
     while True:
         marked = queries.join(places, "id").select(*queries.columns, (F.col("place") % blocks).cast("int").alias("block"))
         if blocks >= shape.ids:

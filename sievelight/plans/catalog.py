@@ -487,5 +487,5 @@ def logreg_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and SHA-256 of the files of the routes table."""
-    return file_manifest(spark, f"{sf_dir}/routes.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
+    """Size and SHA-256 of all files of the tables, named by their path below the folder."""
+    return file_manifest(spark, sf_dir).select(F.substring_index("path", f"{sf_dir.rstrip('/')}/", -1).alias("name"), "bytes", "sha256")

@@ -89,3 +89,11 @@ def test_audit_decides_on_six_digits(spark, sf_dir, monkeypatch):
     found = {r.approach: r.rejected for r in QUERIES["rejection_audit"](spark, sf_dir).collect()}
     assert asked == [(6,)] and sum(r.low for r in valid) > 0
     assert found == {r.approach: r.low + invalid[r.approach] for r in valid}
+
+
+def test_manifest_lists_every_table(spark, tmp_path):
+    for name in ("routes.parquet", "records.parquet/part-0.parquet"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    found = {(r.name, r.bytes) for r in QUERIES["table_manifest"](spark, str(tmp_path)).collect()}
+    assert found == {("routes.parquet", 14), ("records.parquet/part-0.parquet", 30)}

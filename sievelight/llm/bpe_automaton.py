@@ -5,7 +5,9 @@ sequence. It starts as one state with a loop for each byte, and every merge (a,
 gadget, in rank order: the state q that a-arcs enter is copied without its b-arc, the a-arcs are sent to
 the copy, and each state with an a-arc gets an ab-arc to the target of q's b-arc. All arcs of one label
 always enter one state, and a copy differs from its original by one missing arc, so a state is stored as
-(parent, missing token, time) and an arc is looked up along that chain.
+(owner a, time), where the copies of one owner form a chain: the times at which their arcs went missing are
+kept by (owner, token), and an arc is looked up chain by chain. The driver compiles the automaton once and
+broadcasts it.
 
 Text is pre-split by the tokenizer's public pattern. A word is encoded by walking a byte table (a trie
 of the arc labels) from every position that the accepted path has reached; since merging is
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -46,6 +49,22 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class WordMemo(dict):
+    """What ``make`` gives for each word, kept for words of ordinary length."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        made = self.make(word)
+        if len(word) <= 64:
+            if len(self) > WORDS_KEPT:
+                self.clear()
+            self[word] = made
+        return made
+
+
 class Automaton:
     """The compiled tokenizer: ``content`` is the text of its JSON file."""
 
@@ -54,12 +73,13 @@ class Automaton:
         letters = _byte_letters()
         vocabulary: dict[str, int] = model["vocab"]
         size = max(vocabulary.values()) + 1
-        self.pattern = regex.compile(pattern)
+        self.pattern_text = pattern
         self.labels: list[bytes] = [b""] * size
         self.made = [-1] * size  # time of the merge that made the token
         self.head = [-1] * size  # its first part
         self.target = [ROOT] * size  # the state that its arcs enter
-        self.parent, self.missing, self.born = [-1], [-1], [-1]
+        self.owner, self.base, self.born = [-1], [-1], [-1]
+        self.removed: dict[int, int] = {}  # by owner and token, when the arc went missing
         for token, number in vocabulary.items():
             if all(letter in letters for letter in token):
                 self.labels[number] = bytes(letters[letter] for letter in token)
@@ -67,8 +87,22 @@ class Automaton:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self._gadget(time, vocabulary[left], vocabulary[right], vocabulary[left + right])
         self._table()
+        if any(self.token_at[self.next.get(byte, 0)] < 0 for byte in range(256)):
+            raise ValueError("the vocabulary must have a token for each byte")
+        self._prepare()
+
+    def _prepare(self) -> None:
+        self.pattern = regex.compile(self.pattern_text)
         self.steps: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words = WordMemo(self.encode_word)
+        self.sizes = WordMemo(lambda word: len(self.words[word]))
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name not in ("pattern", "steps", "words", "sizes")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._prepare()
 
     def _gadget(self, time: int, left: int, right: int, merged: int) -> None:
         if self.made[merged] >= 0:
@@ -79,21 +113,26 @@ class Automaton:
             self.labels[merged] = b""  # no text reaches this token
             return
         self.target[merged] = self.target[right]
-        self.parent.append(entered)
-        self.missing.append(right)
+        self.removed[left << 20 | right] = time
+        self.owner.append(left)
+        self.base.append(self.base[entered] if self.owner[entered] == left else entered)
         self.born.append(time)
-        self.target[left] = len(self.parent) - 1
+        self.target[left] = len(self.owner) - 1
 
     def allows(self, state: int, token: int) -> bool:
-        """Whether ``state`` has an arc with the label ``token``."""
-        while state != ROOT:
-            if token == self.missing[state]:
-                return False
-            if self.made[token] >= self.born[state]:
-                token = self.head[token]
-            else:
-                state = self.parent[state]
-        return True
+        """Whether ``state`` has an arc with the label ``token``: neither the token nor, before it was made, its head went missing."""
+        owner, base, born, removed = self.owner, self.base, self.born, self.removed
+        until = len(self.made)
+        while True:
+            at = state
+            while at != ROOT:
+                time = removed.get(owner[at] << 20 | token)
+                if time is not None and time <= until and time <= born[at]:
+                    return False
+                at = base[at]
+            if self.made[token] < 0:
+                return True
+            until, token = self.made[token], self.head[token]
 
     def _table(self) -> None:
         self.next: dict[int, int] = {}
@@ -142,24 +181,14 @@ class Automaton:
         return ids[::-1]
 
     def word_ids(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.encode_word(word)
-            if len(word) <= 64:
-                if len(self.words) > WORDS_KEPT:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+        return self.words[word]
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a text; none of an empty or null one."""
-        ids: list[int] = []
-        for word in self.pattern.findall(text or ""):
-            ids += self.word_ids(word)
-        return ids
+        return list(chain.from_iterable(map(self.words.__getitem__, self.pattern.findall(text or ""))))
 
     def count(self, text: str | None) -> int:
-        return sum(map(len, map(self.word_ids, self.pattern.findall(text or ""))))
+        return sum(map(self.sizes.__getitem__, self.pattern.findall(text or "")))
 
     def decode(self, ids: list[int] | None) -> str | None:
         """The text of the labels of ``ids``; null of null."""
@@ -170,23 +199,27 @@ _compiled: dict[int, Automaton] = {}
 
 
 class SharedAutomaton:
-    """The tokenizer's file as a broadcast; each Python worker compiles it once.
+    """The tokenizer, compiled once by the driver and broadcast to the tasks.
 
-    Its size is that of one vocabulary file, whatever the corpus. The driver reads the file, so executors
-    need no copy of it.
+    Its size is that of one vocabulary, whatever the corpus. The driver reads the file, so executors need no
+    copy of it. A Python worker keeps the automaton, with the words it has met, for its later tasks.
     """
 
     def __init__(self, frame: DataFrame, path: str | None = None, pattern: str | None = None):
         with open(path or default_tokenizer(), encoding="utf-8") as file:
             content = file.read()
-        self.content = frame.sparkSession.sparkContext.broadcast((content, pattern or default_pattern()))
+        pattern = pattern or default_pattern()
+        self.key = hash((content, pattern))
+        if self.key not in _compiled:
+            _compiled.clear()
+            _compiled[self.key] = Automaton(content, pattern)
+        self.compiled = frame.sparkSession.sparkContext.broadcast(_compiled[self.key])
 
     def get(self) -> Automaton:
-        key = hash(self.content.value)
-        if key not in _compiled:
+        if self.key not in _compiled:
             _compiled.clear()
-            _compiled[key] = Automaton(*self.content.value)
-        return _compiled[key]
+            _compiled[self.key] = self.compiled.value
+        return _compiled[self.key]
 
 
 def encode_texts(

@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +31,17 @@ PARAGRAPH_END = re.compile(r"(?:(?:\r\n|[\n\r])[ \t]*){2,}|\u2029")
 HEADING = re.compile(r"(?:^|(?<=[\n\r]))(?=#{1,6} |\d+(?:\.\d+)*[.)] +\S|[^\W\d_a-z][^\na-z]{2,60}[\n\r])")
 
 
+#: By rule, for each code point up to the last blank, whether it is a blank.
+BLANKS = np.array([*(chr(code).isspace() for code in range(0x3001)), False])
+
+
 def boundary_strengths(text: str, starts: list[int]) -> list[int]:
     """The strength of a cut before each of the character positions ``starts``, which are sorted."""
-    strengths = [TOKEN] * len(starts)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # Blanks are looked up one place later, so that a position sees the character before it and its own.
+    blank = np.concatenate(([False], BLANKS[np.minimum(codes, len(BLANKS) - 1)], [False]))
+    at = np.asarray(starts, np.int64)
+    strengths = np.where((at > 0) & (blank[at] | blank[at + 1]), WORD, TOKEN).tolist()
 
     def mark(position: int, strength: int) -> None:
         """The first token start from ``position`` on that has no blank between them."""
@@ -39,9 +49,6 @@ def boundary_strengths(text: str, starts: list[int]) -> list[int]:
         if k < len(starts) and not text[position : starts[k]].strip():
             strengths[k] = max(strengths[k], strength)
 
-    for k, position in enumerate(starts):
-        if position and (text[position : position + 1].isspace() or text[position - 1].isspace()):
-            strengths[k] = WORD
     for pattern, strength in ((SENTENCE_END, SENTENCE), (LINE_END, LINE), (PARAGRAPH_END, PARAGRAPH), (HEADING, SECTION)):
         for found in pattern.finditer(text):
             mark(found.end(), strength)
@@ -50,6 +57,8 @@ def boundary_strengths(text: str, starts: list[int]) -> list[int]:
 
 def whole_characters(automaton: Automaton, word: str, ids: list[int]) -> list[tuple[int, int]]:
     """Of the tokens of a word, the number and character position of each that begins a character."""
+    if word.isascii():
+        return list(enumerate(accumulate((len(automaton.labels[number]) for number in ids[:-1]), initial=0)))
     offset, ends = 0, {0: 0}
     for i, char in enumerate(word, 1):
         offset += len(char.encode("utf-8", "replace"))
@@ -65,33 +74,25 @@ def whole_characters(automaton: Automaton, word: str, ids: list[int]) -> list[tu
 class Tokens:
     """The tokens of a text with the character position of each; only those that begin a character may begin a piece.
 
-    ``words`` are the pre-split words, which cover the text, and ``ids`` their tokens.
+    ``words`` are the pre-split words, which cover the text, and ``ids`` their tokens. ``numbers`` has the token
+    number of each possible cut, ``places`` its character position.
     """
 
     def __init__(self, automaton: Automaton, text: str, words: list[str], ids: list[list[int]]):
-        self.text = text
-        self.numbers: list[int] = []  # token number of each possible cut
-        self.places: list[int] = []  # its character position
-        known: dict[str, list[tuple[int, int]]] = {}
-        count = place = 0
-        for word, own in zip(words, ids):
-            if len(own) == 1:
-                self.numbers.append(count)
-                self.places.append(place)
-            else:
-                cuts = known.get(word)
-                if cuts is None:
-                    known[word] = cuts = whole_characters(automaton, word, own)
-                for k, i in cuts:
-                    self.numbers.append(count + k)
-                    self.places.append(place + i)
-            count += len(own)
-            place += len(word)
-        if place != len(text):
+        tokens, chars = (np.fromiter(map(len, x), np.int64, len(words)) for x in (ids, words))
+        number, place = (np.concatenate(([0], np.cumsum(x))) for x in (tokens, chars))
+        if place[-1] != len(text):
             raise ValueError("the pattern of the tokenizer must cover all of a text")
-        self.count = count
-        self.numbers.append(count)
-        self.places.append(place)
+        self.text, self.count = text, int(number[-1])
+        numbers, places = number.tolist(), place.tolist()
+        known: dict[str, list[tuple[int, int]]] = {}
+        for at in np.flatnonzero(tokens > 1).tolist():
+            if (cuts := known.get(words[at])) is None:
+                known[words[at]] = cuts = whole_characters(automaton, words[at], ids[at])[1:]
+            first, begin = numbers[at], places[at]
+            numbers += [first + k for k, _ in cuts]
+            places += [begin + i for _, i in cuts]
+        self.numbers, self.places = sorted(numbers), sorted(places)
 
 
 def plan_cuts(tokens: Tokens, strengths: list[int], limit: int, overlap: int, pieces: int) -> list[tuple[int, int]] | None:
@@ -138,7 +139,7 @@ def split_text(automaton: Automaton, text: str | None, limit: int | None, overla
     if not text:
         return []
     words = automaton.pattern.findall(text)
-    ids = [automaton.word_ids(word) for word in words]
+    ids = list(map(automaton.words.__getitem__, words))
     count = sum(map(len, ids))
     if limit is None or limit < 1 or count <= limit:
         return [(1, 0, count, count, 0, "end", text)]
@@ -178,9 +179,13 @@ def split_documents(
     source_col: str = "source",
     path: str | None = None,
     pattern: str | None = None,
+    cut_only: bool = False,
 ) -> DataFrame:
     """The pieces of each document: ``id_col`` and the columns of :func:`split_text`.
 
+    With ``cut_only`` the documents that stay whole are left out; those with no more bytes than the limit has
+    tokens are among these, as a token has a byte at least, and are never encoded.
+
     Documents of a source without a row in ``limits``, or with a null source, have no limit and stay whole;
     empty and null texts have no piece. Of limits given twice, the smallest hold. Documents given twice
     come out twice. The table of limits has one row a source and is broadcast.
@@ -190,6 +195,8 @@ def split_documents(
     bounds = limits.groupBy("source").agg(F.min("max_tokens").alias("limit"), F.min("overlap_tokens").alias("overlap"))
     chosen = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).alias("source"))
     joined = chosen.join(F.broadcast(bounds), "source", "left").select("id", "text", "limit", "overlap")
+    if cut_only:
+        joined = joined.where((F.col("limit") >= 1) & (F.octet_length("text") > F.col("limit")))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.get()
@@ -197,6 +204,8 @@ def split_documents(
             numbers, rows = [], []
             for place, (text, limit, overlap) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
                 found = split_text(automaton, text, limit, overlap)
+                if cut_only and len(found) < 2:
+                    continue
                 rows += found
                 numbers += [place] * len(found)
             columns = list(zip(*rows)) if rows else [()] * 7

@@ -114,18 +114,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(mixing.mix(sized, budgets), budgets)
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.split_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "piece_limits"))
+def _pieces(spark: SparkSession, sf_dir: str, cut_only: bool) -> DataFrame:
+    return pieces.split_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "piece_limits"), cut_only=cut_only)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that had to be cut: those with a second piece."""
-    return _pieces(spark, sf_dir).where("piece = 2").select("doc_id")
+    return _pieces(spark, sf_dir, True).where("piece = 2").select("doc_id")
 
 
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document."""
-    return _pieces(spark, sf_dir)
+    return _pieces(spark, sf_dir, False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -309,6 +309,19 @@ def test_pieces(spark, documents):
     assert repeated == 2
 
 
+def test_documents_that_stay_whole_can_be_left_out(documents):
+    limits = documents.sparkSession.createDataFrame([("mail", 300, 30), ("chat", 7, 2), ("chat", 9, 4), ("x", 0, 0)], "source string, max_tokens int, overlap_tokens int")
+    every = pieces.split_documents(documents, limits).collect()
+    cut = {r.doc_id for r in every if r.piece > 1}
+    only = pieces.split_documents(documents, limits, cut_only=True).collect()
+    assert sorted(only, key=repr) == sorted((r for r in every if r.doc_id in cut), key=repr) and {1, 2, 8, 9} <= cut
+
+
+def test_a_vocabulary_must_have_every_byte():
+    with pytest.raises(ValueError, match="each byte"):
+        bpe_automaton.Automaton('{"model": {"vocab": {"a": 0, "b": 1}, "merges": []}}', r"\w+")
+
+
 def test_boundaries_by_strength():
     text = "Intro text. More text\nnew line\n\n# Title\nrest of it"
     starts = list(range(len(text)))

@@ -1,11 +1,12 @@
 """Mixes of several sources with target shares of tokens, within allowed repeats.
 
-Every source gets its wanted share, or its repetition limit where that is less. The share that is left
-over goes to the other sources on the curve of temperatures between their own token shares p and the
-wanted shares q: in proportion to p ** (1 - a) * q ** a, with the greatest exponent a up to 1, found by
-bisection, under which no source passes its repetition limit. The weights then become budgets of tokens,
-and a budget is filled with whole blocks, each one random permutation of the source's documents, and the
-beginning of one more permutation.
+Weights come from the sources' own token shares p and the wanted shares q by temperature: they are in
+proportion to p ** (1 - a) * q ** a, between the least and the most that a source may have. The most is its
+repetition limit, the least its wanted share or, if that is less, the limit. The exponent a is the greatest up
+to 1, found by bisection, under which no source that can reach its share presses against its limit: at a = 1
+the mix has the wanted shares, at 0 it takes every source as it is. The weights become budgets of tokens, and a
+budget is filled with whole blocks, each one random permutation of the source's documents, and the beginning of
+one more permutation.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sievelight.llm.bpe_automaton import count_tokens
 
-PRECISION = 2.0**-50
+PRECISION = 2.0**-48
 
 
 def source_tokens(sized: DataFrame) -> DataFrame:
@@ -37,68 +38,80 @@ def _with_tokens(targets: DataFrame, totals: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tokens", "documents")})
 
 
-def mix_weights(own: list[int], wanted: list[int], limits: list[float]) -> list[float]:
-    """Weights of the sources, adding up to 1 where the limits allow it.
+def temperature(own: list[int], wanted: list[float], exponent: float) -> list[float]:
+    """``own ** (1 - exponent) * wanted ** exponent`` in proportion to the greatest; all must be positive."""
+    logs = [(1 - exponent) * math.log(p) + exponent * math.log(q) for p, q in zip(own, wanted)]
+    return [math.exp(x - max(logs)) for x in logs]
+
+
+def normalised(parts: list[float], least: list[float], most: list[float], total: float) -> tuple[list[float], float]:
+    """``factor * parts`` within the bounds so that it adds up to ``total``, and the factor, found by bisection."""
+
+    def at(factor: float) -> list[float]:
+        return [min(max(factor * x, low), high) for x, low, high in zip(parts, least, most)]
+
+    low, high = 0.0, max(high / x for x, high in zip(parts, most))
+    while high - low > PRECISION * high:
+        middle = (low + high) / 2
+        low, high = (low, middle) if sum(at(middle)) >= total else (middle, high)
+    return at(high), high
+
+
+def mix_weights(own: list[int], wanted: list[int], limits: list[float]) -> tuple[list[float], float]:
+    """Weights of the sources, adding up to 1 where the limits allow it, and the exponent they were found with.
 
     ``own`` are the sources' tokens, ``wanted`` their target shares in any unit, ``limits`` the largest weight
-    that repeats allow. Every source gets its wanted share or, if that is less, its limit. What those at
-    their limit leave free goes to the others by temperature: in proportion to own ** (1 - a) * wanted ** a,
-    with the greatest a up to 1 under which no limit is passed, or, where none is, with those fixed that
-    pass it even at 0.
+    that repeats allow. See the module's text; sources without tokens or without a wanted share have no weight.
     """
     whole = sum(wanted)
-    weights = [min(q / whole, limit) if whole else 0.0 for q, limit in zip(wanted, limits)]
-    active = [i for i in range(len(own)) if own[i] > 0 and wanted[i] > 0 and weights[i] < limits[i]]
-    while active and (free := 1.0 - sum(weights)) > 1e-12:
-
-        def at(exponent: float) -> dict[int, float]:
-            logs = {i: (1 - exponent) * math.log(own[i]) + exponent * math.log(wanted[i]) for i in active}
-            top = max(logs.values())
-            parts = {i: math.exp(x - top) for i, x in logs.items()}
-            total = sum(parts.values())
-            return {i: weights[i] + free * x / total for i, x in parts.items()}
-
-        def over(exponent: float) -> list[int]:
-            return [i for i, w in at(exponent).items() if w > limits[i] * (1 + 1e-12)]
-
-        if passed := over(0.0) if over(1.0) else []:
-            for i in passed:
-                weights[i] = limits[i]
-                active.remove(i)
-            continue
-        low, high = (0.0, 1.0) if over(1.0) else (1.0, 1.0)
-        while high - low > PRECISION:
-            middle = (low + high) / 2
-            low, high = (low, middle) if over(middle) else (middle, high)
-        for i, w in at(low).items():
-            weights[i] = min(w, limits[i])
-        break
-    return weights
+    used = [i for i, q in enumerate(wanted) if q > 0 and own[i] > 0 and limits[i] > 0]
+    if not used:
+        return [0.0] * len(own), 1.0
+    parts, share, most = [own[i] for i in used], [wanted[i] / whole for i in used], [limits[i] for i in used]
+    least = [min(q, limit) for q, limit in zip(share, most)]
+    total = min(1.0, sum(most))
+
+    def at(exponent: float) -> tuple[list[float], bool]:
+        """Weights, and whether a source that can reach its share would pass its limit."""
+        shaped = temperature(parts, share, exponent)
+        weights, factor = normalised(shaped, least, most, total)
+        return weights, any(factor * x > high * (1 + 1e-9) and high > q for x, high, q in zip(shaped, most, share))
+
+    low, high = (0.0, 1.0) if at(1.0)[1] else (1.0, 1.0)
+    while high - low > PRECISION:
+        middle = (low + high) / 2
+        low, high = (low, middle) if at(middle)[1] else (middle, high)
+    found = dict(zip(used, at(low)[0]))
+    return [found.get(i, 0.0) for i in range(len(own))], low
 
 
 def _plan_budgets(plan: pd.DataFrame) -> pd.DataFrame:
     """Budgets of one plan's sources, a few dozen rows."""
     plan = plan.sort_values("source")
     size = int(plan["total_tokens"].iloc[0])
-    own, repeats = plan["tokens"].tolist(), plan["max_repeats"].tolist()
+    own, repeats, wanted = (plan[c].tolist() for c in ("tokens", "max_repeats", "share_bp"))
     limits = [r * t / size if size else 0.0 for r, t in zip(repeats, own)]
-    weights = mix_weights(own, plan["share_bp"].tolist(), limits)
+    weights, exponent = mix_weights(own, wanted, limits)
     budgets = [min(int(round(w * size)), r * t) for w, r, t in zip(weights, repeats, own)]
-    return plan.assign(weight=weights, budget=budgets)[["plan_id", "source", "share_bp", "max_repeats", "total_tokens", "tokens", "weight", "budget"]]
+    # A weight clipped at its limit; whole numbers decide, as weights are rounded.
+    clipped = [r * t * 10_000 < size * q for r, t, q in zip(repeats, own, wanted)]
+    return plan.assign(weight=weights, exponent=exponent, budget=budgets, clipped=clipped)[BUDGET_COLUMNS]
 
 
-BUDGETS = "plan_id string, source string, share_bp long, max_repeats long, total_tokens long, tokens long, weight double, budget long"
+BUDGETS = (
+    "plan_id string, source string, share_bp long, max_repeats long, total_tokens long, tokens long, weight double, "
+    "exponent double, budget long, clipped boolean"
+)
+BUDGET_COLUMNS = [column.split()[0] for column in BUDGETS.split(", ")]
 
 
 def mix_budgets(targets: DataFrame, totals: DataFrame) -> DataFrame:
-    """Weight and budget of tokens of each plan and source, plan by plan in parallel."""
-    return _with_tokens(targets, totals).groupBy("plan_id").applyInPandas(_plan_budgets, BUDGETS)
-
+    """Weight and budget of tokens of each plan and source, plan by plan in parallel.
 
-def unreachable(targets: DataFrame, totals: DataFrame) -> DataFrame:
-    """Plans and sources whose share cannot be reached within the allowed repeats: ``plan_id, source``."""
-    most, wanted = (F.expr(f"cast({a} as decimal(38, 0)) * {b}") for a, b in (("tokens", "max_repeats * 10000"), ("total_tokens", "share_bp")))
-    return _with_tokens(targets, totals).where(most < wanted).select("plan_id", "source")
+    ``exponent`` is that of the plan's temperature, and ``clipped`` says that the repetition limit keeps the source
+    below its wanted share.
+    """
+    return _with_tokens(targets, totals).groupBy("plan_id").applyInPandas(_plan_budgets, BUDGETS)
 
 
 def mix(sized: DataFrame, budgets: DataFrame, seed: int = 42) -> DataFrame:

@@ -61,9 +61,9 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets of sampling plans that cannot be met."""
-    short = quota_sample.shortfalls(_table(spark, sf_dir, "records"), _table(spark, sf_dir, "sample_targets"))
-    return short.select("plan_id", "category").distinct()
+    """Targets of sampling plans of which the quota table yields fewer rows than they need."""
+    report = quota_sample.sample_report(_table(spark, sf_dir, "records"), _table(spark, sf_dir, "sample_targets"))
+    return report.where("not met").select("plan_id", "category").distinct()
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +96,10 @@ def _mix_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their share of a mix within the allowed repeats."""
+    """Sources whose weight in a mix the allowed repeats clip below its share."""
     sized = bpe_automaton.count_tokens(_table(spark, sf_dir, "documents"), ["source"])
-    return mixing.unreachable(_table(spark, sf_dir, "mix_targets"), mixing.source_tokens(sized))
+    budgets = mixing.mix_budgets(_table(spark, sf_dir, "mix_targets"), mixing.source_tokens(sized))
+    return budgets.where("clipped").select("plan_id", "source")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

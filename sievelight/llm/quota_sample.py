@@ -12,6 +12,7 @@ from collections import deque
 from fractions import Fraction
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,14 +41,6 @@ def category_counts(records: DataFrame) -> DataFrame:
     return stored.groupBy("source_split", canonical_category("category").alias("category"), channel).agg(F.sum("n").alias("available"))
 
 
-def shortfalls(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets that cannot be met, with ``needed`` and ``available`` rows."""
-    there = category_counts(records).groupBy("source_split", "category").agg(F.sum("available").alias("available"))
-    joined = needed_rows(targets).join(there, ["source_split", "category"], "left")
-    met = joined.withColumn("available", F.coalesce("available", F.lit(0)))
-    return met.where("available < needed").select("plan_id", "source_split", "category", "needed", "available")
-
-
 def category_quotas(wanted: list[Fraction], needed: list[int], available: list[int], size: int) -> list[int]:
     """Whole quotas of a plan's categories, in order: what each needs, and one more for the largest remainders.
 
@@ -135,12 +128,12 @@ def _plan_cells(plan: pd.DataFrame) -> pd.DataFrame:
     whole = controlled_rounding(exact, quotas)
     name = plan["plan_id"].iloc[0]
     for (split, category), row in zip(categories, whole):
-        cells += [(name, split, category, ch, q, counts.get((split, category, ch), 0)) for ch, q in zip(channels, row) if q]
+        cells += [(name, split, category, ch, q, n) for ch, q in zip(channels, row) if (n := counts.get((split, category, ch), 0))]
     return pd.DataFrame(cells, columns=["plan_id", "source_split", "category", "channel", "quota", "available"])
 
 
 def sample_cells(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """The whole quota of each plan, split, category and source that gets any row.
+    """The whole quota of each plan, split, category and source that has any row.
 
     A plan's table has as many rows as it has targets and as many columns as there are sources; plans are
     worked on in parallel. Targets with a null plan, split or category are ignored, and of a target given
@@ -157,10 +150,10 @@ def sample_cells(records: DataFrame, targets: DataFrame) -> DataFrame:
 def draw_sample(records: DataFrame, targets: DataFrame, id_col: str = "record_id", seed: int = 42) -> DataFrame:
     """The sample of each plan: ``plan_id, record_id, source_split, category``.
 
-    Keys are a hash of seed, plan and id, so the draw is reproducible. A row whose id is null is never drawn.
-    No cell is sorted whole: keys are counted in 4,096 ranges, all rows of the ranges below the quota are
-    taken, and only the range in which the quota falls is ranked. Ids that stand in several rows are
-    drawn once at most for a cell.
+    Keys are a hash of seed, plan and id, so the draw is reproducible. Every row counts: an id that stands in
+    several rows is available, and may be drawn, as often. A row whose id is null is never drawn. No cell is
+    sorted whole: keys are counted in 4,096 ranges, all rows of the ranges below the quota are taken, and only the
+    range in which the quota falls is ranked.
     """
     cells = sample_cells(records, targets).where("quota > 0")
     plain = records.where(F.col(id_col).isNotNull() & F.col("category").isNotNull()).select(
@@ -173,20 +166,18 @@ def draw_sample(records: DataFrame, targets: DataFrame, id_col: str = "record_id
     cell = ["plan_id", "source_split", "category", "channel"]
     counted = offered.groupBy(*cell, "quota", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(*cell).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edge = counted.withColumn("before", before).where("before < quota and before + n > quota").select(*cell, F.col("bucket").alias("edge"), (F.col("quota") - F.col("before")).alias("rest"))
-    whole = counted.withColumn("before", before).where("before + n <= quota").groupBy(*cell).agg(F.max("bucket").alias("whole"))
-    bounds = whole.join(edge, cell, "full")
-    marked = offered.join(F.broadcast(bounds), cell)
-    taken = marked.where("bucket <= whole")
+    # The last range of which any row is drawn, and how many of its rows are.
+    last = F.max_by(F.struct("bucket", F.least("n", F.col("quota") - F.col("before")).alias("rest")), "bucket").alias("last")
+    bounds = counted.withColumn("before", before).where("before < quota").groupBy(*cell).agg(last).select(*cell, "last.*").withColumnRenamed("bucket", "edge")
+    marked = offered.join(F.broadcast(bounds), cell).where("bucket <= edge").persist(StorageLevel.MEMORY_AND_DISK)
     ranked = marked.where("bucket = edge").withColumn("rank", F.row_number().over(W.partitionBy(*cell).orderBy("key", "record_id")))
     out = [*cell[:1], "record_id", "source_split", "category"]
-    return taken.select(*out).unionByName(ranked.where("rank <= rest").select(*out))
+    return marked.where("bucket < edge").select(*out).unionByName(ranked.where("rank <= rest").select(*out))
 
 
 def sample_report(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """Of each target: rows wanted, needed, available and drawn, and whether it is met."""
-    drawn = sample_cells(records, targets).groupBy("plan_id", "source_split", "category").agg(F.sum("quota").alias("drawn"))
-    there = category_counts(records).groupBy("source_split", "category").agg(F.sum("available").alias("available"))
-    joined = needed_rows(targets).join(drawn, ["plan_id", "source_split", "category"], "left").join(there, ["source_split", "category"], "left")
-    filled = joined.withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumn("available", F.coalesce("available", F.lit(0)))
-    return filled.select("plan_id", "source_split", "category", "target_bp", "needed", "available", "drawn", (F.col("available") >= F.col("needed")).alias("met"))
+    """Of each target: rows wanted, needed, available and drawn by the quotas of its cells, and whether those are enough."""
+    drawn = sample_cells(records, targets).groupBy("plan_id", "source_split", "category").agg(F.sum("quota").alias("drawn"), F.sum("available").alias("available"))
+    joined = needed_rows(targets).join(drawn, ["plan_id", "source_split", "category"], "left")
+    filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("drawn", "available")})
+    return filled.select("plan_id", "source_split", "category", "target_bp", "needed", "available", "drawn", (F.col("drawn") >= F.col("needed")).alias("met"))

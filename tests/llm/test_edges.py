@@ -11,6 +11,7 @@ from test_problems import WORD, pieces_of, reference_tokenizer
 from sievelight.functions.text import comparison_value
 from sievelight.llm import bpe_automaton, copies, lookalike, mixing, overlap, pieces, quota_sample, term_counts
 from sievelight.llm.pieces import boundary_strengths
+from sievelight.llm.queries import QUERIES
 
 CLASHING = "id form h code codes word size key suffix occurrences first_1 kept bucket edge n channel n_tokens tokens limit overlap piece".split()
 LONG = " ".join(f"word{i % 977} of a long letter, part {i}." for i in range(6_000))
@@ -136,16 +137,62 @@ def test_samples(spark, records):
     targets = spark.createDataFrame(rows, "plan_id string, source_split string, category string, target_bp int, min_rows int, sample_size long")
     drawn = quota_sample.draw_sample(records, targets).collect()
     assert Counter((r.plan_id, r.category) for r in drawn) == {("p", "card"): 3, ("p", "other"): 1, ("q", "card"): 5}
-    assert len({(r.plan_id, r.record_id) for r in drawn}) == len(drawn)
     again = quota_sample.draw_sample(records.repartition(7), targets).collect()
     assert sorted(drawn) == sorted(again)
-    short = {(r.plan_id, r.category): (r.needed, r.available) for r in quota_sample.shortfalls(records, targets).where("plan_id is not null and source_split is not null").collect()}
-    assert short == {("q", "card"): (9, 5), ("q", "missing"): (1, 0)}
+    report = quota_sample.sample_report(records, targets).where("plan_id is not null and source_split is not null and not met").collect()
+    assert {(r.plan_id, r.category): (r.needed, r.available, r.drawn) for r in report} == {("q", "card"): (9, 5, 5), ("q", "missing"): (1, 0, 0)}
     for r, t in ((records.where("false"), targets), (records, targets.where("false")), (records.where("false"), targets.where("false"))):
         assert quota_sample.draw_sample(r, t).count() == 0
         assert quota_sample.sample_report(r, t).count() == t.count()
 
 
+def test_rows_given_twice_are_drawn_as_often(spark):
+    """Six rows of one id and six of other ids: a quota of all takes each row, one of half takes as many."""
+    frame = spark.createDataFrame([(1, "c", "train", "app")] * 6 + [(i, "c", "train", "app") for i in range(2, 8)], "record_id long, category string, source_split string, source string")
+    targets = spark.createDataFrame([("all", "train", "c", 10_000, 0, 12), ("half", "train", "c", 10_000, 0, 6)], "plan_id string, source_split string, category string, target_bp int, min_rows int, sample_size long")
+    drawn = Counter((r.plan_id, r.record_id) for r in quota_sample.draw_sample(frame, targets).collect())
+    assert {i: n for (p, i), n in drawn.items() if p == "all"} == {1: 6} | {i: 1 for i in range(2, 8)}
+    half = {i: n for (p, i), n in drawn.items() if p == "half"}
+    assert sum(half.values()) == 6 and half.get(1, 0) <= 6 and all(n == 1 for i, n in half.items() if i != 1)
+
+
+def test_found_rows_come_from_the_operators(spark, sf_dir, monkeypatch):
+    """Without quotas every target with a need falls short; without a wanted share no source is clipped."""
+    targets = spark.read.parquet(f"{sf_dir}/sample_targets.parquet")
+    needed = quota_sample.needed_rows(targets).where("needed > 0").select("plan_id", "category").distinct().count()
+    real, budgets = quota_sample._plan_cells, mixing._plan_budgets
+    monkeypatch.setattr(quota_sample, "_plan_cells", lambda plan: real(plan).assign(quota=0))
+    assert QUERIES["p4_found"](spark, sf_dir).count() == needed
+    monkeypatch.setattr(mixing, "_plan_budgets", lambda plan: budgets(plan.assign(share_bp=0)))
+    assert QUERIES["p7_found"](spark, sf_dir).count() == 0
+
+
+def test_weights_of_mixes():
+    own, even = [800, 150, 50], [1, 1, 1]
+    found, exponent = mixing.mix_weights(own, even, [9.0] * 3)
+    assert found == pytest.approx([1 / 3] * 3) and exponent == 1.0
+    clipped, _ = mixing.mix_weights(own, even, [9.0, 9.0, 0.1])
+    assert clipped == pytest.approx([0.45, 0.45, 0.1])
+    # The second may not rise to 0.45, and the first takes the rest at a lower exponent.
+    weights, exponent = mixing.mix_weights(own, even, [9.0, 0.4, 0.1])
+    assert weights == pytest.approx([0.5, 0.4, 0.1]) and 0 < exponent < 1
+    assert weights[0] / weights[1] == pytest.approx((800 / 150) ** (1 - exponent), rel=1e-6)
+    assert sum(mixing.mix_weights(own, even, [0.3] * 3)[0]) == pytest.approx(0.9)
+    assert mixing.mix_weights([0, 10], [1, 1], [0.0, 1.0])[0] == pytest.approx([0.0, 1.0])
+    assert mixing.mix_weights(own, [0, 0, 0], [1.0] * 3)[0] == [0.0] * 3
+    chance = random.Random(1)
+    for _ in range(300):
+        n = chance.randint(1, 6)
+        own, wanted = [chance.randint(0, 1_000) for _ in range(n)], [chance.randint(0, 9) for _ in range(n)]
+        limits = [chance.choice([0.1, 0.3, 1.0, 3.0]) * x / 1_000 for x in own]
+        found, _ = mixing.mix_weights(own, wanted, limits)
+        share = [q / max(1, sum(wanted)) for q in wanted]
+        assert all(w <= limit * (1 + 1e-9) for w, limit in zip(found, limits))
+        assert all(w >= min(q, limit) - 1e-9 for w, q, limit in zip(found, share, limits)), (own, wanted, limits, found)
+        usable = sum(limit for q, limit in zip(share, limits) if q)
+        assert sum(found) == pytest.approx(min(1.0, usable) if any(share) else 0.0, abs=1e-9), (own, wanted, limits, found)
+
+
 def test_rounding_keeps_both_margins():
     from fractions import Fraction
 
@@ -245,7 +292,7 @@ def test_mixes(spark, documents):
     totals = mixing.source_tokens(sized)
     tokens = {r.source: r.tokens for r in totals.collect()}
     budgets = mixing.mix_budgets(targets, totals)
-    short = {tuple(r) for r in mixing.unreachable(targets, totals).collect()}
+    short = {(r.plan_id, r.source) for r in budgets.where("clipped").collect()}
     assert short == {
         (p, s) for p, s, share, most, size in rows if p and s and (most or 0) * tokens.get(s, 0) * 10_000 < size * share
     }

@@ -123,6 +123,27 @@ def test_lookalikes(spark):
     assert lookalike.lookalike_pairs(frame.where("false")).count() == 0
 
 
+def test_letters_of_any_script_shaped_like_latin_ones(spark):
+    alike = {"APPLE": "ᎪᏢᏢᏞᎬ", "CASH": "ꓚꓮꓢꓧ", "cop": "ⲥⲟⲣ", "city": "cıty", "pay": "pɑγ", "TOOL": "ТОӀL"}
+    rows = [(f"{k}{side}", text) for k, pair in enumerate(alike.items()) for side, text in zip("ab", pair)]
+    own = ["Κώστας σόλο", "Ребёнок у Юры", "משלוח סוס", "هوا ہو", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ"]
+    rows += [(f"own{k}", text) for k, text in enumerate(own)]
+    frame = spark.createDataFrame(rows * 2, "key string, text string")
+    found = {tuple(r) for r in lookalike.lookalike_pairs(frame).collect()}
+    assert found == {(f"{k}a", f"{k}b") for k, (x, y) in enumerate(alike.items()) if "I" not in y and "Ӏ" not in y}
+    forms = {r.key: r.form for r in lookalike.consistent_forms(frame).collect()}
+    assert [forms[f"own{k}"] for k in range(len(own))] == own  # a text of one script keeps its letters
+    assert forms["0b"] == forms["0a"] and forms["5b"] == "TOIL"
+
+
+def test_a_form_of_many_copies(spark):
+    """Copies of one text meet the one other spelling of it, and never each other."""
+    text = F.when(F.col("id") == 7, "рay now").when(F.col("id") % 3 > 0, "pay now").otherwise(F.concat(F.lit("text "), F.col("id").cast("string")))
+    frame = spark.range(9_000).select(F.format_string("%05d", "id").alias("key"), text.alias("text")).repartition(8)
+    found = {tuple(r) for r in lookalike.lookalike_pairs(frame).collect()}
+    assert found == {tuple(sorted((f"{i:05d}", "00007"))) for i in range(9_000) if i % 3 and i != 7}
+
+
 def test_samples(spark, records):
     rows = [
         ("p", "train", "card", 8_000, 2, 4),

@@ -24,8 +24,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlaps counted by held-out split and source."""
-    records = _table(spark, sf_dir, "records")
-    return overlap.overlap_report(records, overlap.overlap_pairs(records))
+    return overlap.overlap_report(_table(spark, sf_dir, "records"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

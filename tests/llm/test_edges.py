@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_problems import WORD, pieces_of, reference_tokenizer
@@ -69,10 +70,73 @@ def test_overlaps(records):
     sets = {f: pieces_of(f) for *_, f in rows if f}
     near = {(x, y) for x, y in product(sets, sets) if 2 * len(sets[x] & sets[y]) >= 0.9 * (len(sets[x]) + len(sets[y]))}
     assert found == {(a, b) for a, s, x in rows for b, t, y in rows if s != "train" and t == "train" and (x, y) in near}
-    report = overlap.overlap_report(records, overlap.overlap_pairs(records)).collect()
-    assert sum(r.pairs for r in report) == len(found)
+    chosen = {r.record_id: r for r in records.collect() if r.record_id is not None}
+    wanted = {}
+    for a, b in found:
+        held, train = chosen[a], chosen[b]
+        entry = wanted.setdefault((held.source_split, held.source), [set(), 0, 0, 0])
+        entry[0].add(a)
+        entry[1] += 1
+        entry[2] += comparison_value(held.text) == comparison_value(train.text)
+        entry[3] += held.category == train.category
+    report = {(r.source_split, r.source): (r.flagged, r.pairs, r.equal_pairs, r.same_category) for r in overlap.overlap_report(records).collect()}
+    assert report == {key: (len(ids), *rest) for key, (ids, *rest) in wanted.items()}
     none = records.where("false")
-    assert overlap.overlap_pairs(none).count() == overlap.overlap_report(none, overlap.overlap_pairs(none)).count() == 0
+    assert overlap.overlap_pairs(none).count() == overlap.overlap_report(none).count() == 0
+
+
+def test_fingerprints_by_their_definition():
+    """Segments are literally parts of the fingerprint, and the words are bits of it."""
+    forms = ["a", "where is my card", "where is my new card " * 40, "0 9 z"]
+    segments, words, sizes = overlap.fingerprints(forms, 20, 6, 42)
+    ranks = overlap._ranks(42, 120)
+    symbols = " abcdefghijklmnopqrstuvwxyz0123456789"
+    for k, form in enumerate(forms):
+        least = np.array([ranks[sum(symbols.index(c) * 37 ** (2 - i) for i, c in enumerate(piece))] for piece in pieces_of(form)]).min(axis=0)
+        assert sizes[k] == len(pieces_of(form))
+        for block in range(20):
+            assert [int(segments[k, block]) >> 5 * j & 31 for j in range(6)] == [int(x) & 31 for x in least[6 * block : 6 * block + 6]]
+            assert int(segments[k, block]) >> 30 == block
+        bits = np.unpackbits(np.ascontiguousarray(words[k]).view(np.uint8))[:240]
+        assert bits.tolist() == [int(x) & 1 for x in least] + [int(x) >> 1 & 1 for x in least]
+
+
+def test_recall_at_the_threshold():
+    """Sets just at the threshold share a segment and lie within both radii with probability 0.995 or more."""
+    chance, kept, tries = random.Random(9), 0, 0
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = []
+    while len(pairs) < 600:
+        one = "".join(chance.choices(letters, k=60))
+        two = one[:54] + "".join(chance.choices(letters, k=6))
+        shared = 2 * len(pieces_of(one) & pieces_of(two)) / (len(pieces_of(one)) + len(pieces_of(two)))
+        if 0.9 <= shared < 0.905:
+            pairs.append((one, two))
+        elif shared < 0.9:
+            two = one[:56] + "".join(chance.choices(letters, k=4))
+            shared = 2 * len(pieces_of(one) & pieces_of(two)) / (len(pieces_of(one)) + len(pieces_of(two)))
+            if 0.9 <= shared < 0.905:
+                pairs.append((one, two))
+        tries += 1
+        assert tries < 100_000
+    a, b = (overlap.fingerprints(list(side), 20, 6, 42) for side in zip(*pairs))
+    bits = [np.unpackbits(np.ascontiguousarray(x[1]).view(np.uint8), axis=None).reshape(len(pairs), -1) for x in (a, b)]
+    apart = bits[0] != bits[1]
+    within = (apart[:, :64].sum(1) <= overlap.radius(64, 1, 0.9)) & (apart.sum(1) <= overlap.radius(120, 2, 0.9))
+    kept = ((a[0] == b[0]).any(1) & within).mean()
+    assert kept >= 0.995
+
+
+def test_a_hot_text_meets_its_partners_as_one(spark):
+    """Copies of one text in both splits are one pair of texts; only their ids multiply."""
+    text = F.when(F.col("id") % 3 > 0, "where is my card").when(F.col("id") == 0, "where is my cards").otherwise(F.format_string("text %d of its own", "id"))
+    frame = spark.range(600).select(F.col("id").alias("record_id"), text.alias("text"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("source_split"), F.lit("x").alias("source"), F.lit("c").alias("category"))
+    compared = overlap.compared_records(frame)
+    hot = [r for r in overlap.overlap_texts(compared).collect() if "card" in r.e_form]
+    assert {(r.e_form, r.t_form, r.e_n, r.t_n) for r in hot} == {("where is my card", "where is my card", 200, 200), ("where is my card", "where is my cards", 200, 1)}
+    ids = [tuple(r) for r in overlap.overlap_pairs(frame).where("similarity = 1").select("held_out_id", "train_id").collect()]
+    assert len(ids) == len(set(ids)) == 200 * 200
+    assert overlap.overlap_report(frame).first().pairs >= 200 * 201
 
 
 @pytest.mark.parametrize("max_terms", [1, 2])

@@ -110,7 +110,9 @@ def copy_runs(keyed: DataFrame) -> DataFrame:
     The smallest id of a group is paired with itself, so that every row comes out once; an id given twice
     is one row. Edge runs are at most two a partition; their table is broadcast.
     """
-    ordered = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("key", "id")
+    # Range partitioning samples its input first; without this it would read every payload twice.
+    kept = keyed.persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = kept.repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("key", "id")
     scanned = ordered.mapInArrow(_scan, "id long, kept long, key string").persist(StorageLevel.MEMORY_AND_DISK)
     edges = scanned.where("id is null").select("key", "kept").distinct()
     first = edges.groupBy("key").agg(F.min("kept").alias("first"), F.count("*").alias("runs")).where("runs > 1")

@@ -18,6 +18,17 @@ marked AS (
   FROM terms CROSS JOIN texts
 )"""
 
+_GRAMS = """
+split AS (SELECT record_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM records),
+grams AS (
+  SELECT record_id, n AS words, array_to_string(w[i:i + n - 1], ' ') AS term
+  FROM split, range(1, 4) lengths(n), unnest(range(1, len(w) - n + 2)) places(i)
+),
+texts AS (SELECT count(text) AS n FROM records),
+terms AS (
+  SELECT term, words::INT AS words, count(*) AS occurrences, count(DISTINCT record_id) AS records FROM grams GROUP BY ALL
+)"""
+
 _TARGETS = """
 counts AS (
   SELECT source_split, trim(regexp_replace(lower(category), '[^a-z0-9]+', '_', 'g'), '_') AS category, count(*) AS n
@@ -33,5 +44,7 @@ targets AS (
 ORACLE_SQL: dict[str, str] = {
     "p2_found": f"WITH {_WORDS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p2_terms": f"WITH {_WORDS} SELECT term, occurrences, records, mark FROM marked",
+    "p2_ngrams": f"""WITH {_GRAMS} SELECT term, words, occurrences, records,
+      CASE WHEN records <= 2 THEN 'rare' WHEN records * 10 > n THEN 'common' END AS mark FROM terms CROSS JOIN texts""",
     "p4_found": f"WITH {_TARGETS} SELECT DISTINCT plan_id, category FROM targets WHERE available < needed",
 }

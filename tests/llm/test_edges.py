@@ -88,16 +88,18 @@ def test_overlaps(records):
 def test_fingerprints_by_their_definition():
     """Segments are literally parts of the fingerprint, and the words are bits of it."""
     forms = ["a", "where is my card", "where is my new card " * 40, "0 9 z"]
-    segments, words, sizes = overlap.fingerprints(forms, 20, 6, 42)
-    ranks = overlap._ranks(42, 120)
+    blocks, width = 16, 5
+    segments, words, sizes = overlap.fingerprints(forms, blocks, width, 42)
+    ranks = overlap._ranks(42, blocks * width)
     symbols = " abcdefghijklmnopqrstuvwxyz0123456789"
     for k, form in enumerate(forms):
         least = np.array([ranks[sum(symbols.index(c) * 37 ** (2 - i) for i, c in enumerate(piece))] for piece in pieces_of(form)]).min(axis=0)
         assert sizes[k] == len(pieces_of(form))
-        for block in range(20):
-            assert [int(segments[k, block]) >> 5 * j & 31 for j in range(6)] == [int(x) & 31 for x in least[6 * block : 6 * block + 6]]
-            assert int(segments[k, block]) >> 30 == block
-        bits = np.unpackbits(np.ascontiguousarray(words[k]).view(np.uint8))[:240]
+        for block in range(blocks):
+            own = least[width * block : width * (block + 1)]
+            assert [int(segments[k, block]) >> 5 * j & 31 for j in range(width)] == [int(x) & 31 for x in own]
+            assert int(segments[k, block]) >> 5 * width == block
+        bits = np.unpackbits(np.ascontiguousarray(words[k]).view(np.uint8))[: 2 * blocks * width]
         assert bits.tolist() == [int(x) & 1 for x in least] + [int(x) >> 1 & 1 for x in least]
 
 
@@ -119,10 +121,10 @@ def test_recall_at_the_threshold():
                 pairs.append((one, two))
         tries += 1
         assert tries < 100_000
-    a, b = (overlap.fingerprints(list(side), 20, 6, 42) for side in zip(*pairs))
+    a, b = (overlap.fingerprints(list(side), 16, 5, 42) for side in zip(*pairs))
     bits = [np.unpackbits(np.ascontiguousarray(x[1]).view(np.uint8), axis=None).reshape(len(pairs), -1) for x in (a, b)]
     apart = bits[0] != bits[1]
-    within = (apart[:, :64].sum(1) <= overlap.radius(64, 1, 0.9)) & (apart.sum(1) <= overlap.radius(120, 2, 0.9))
+    within = (apart[:, :64].sum(1) <= overlap.radius(64, 1, 0.9)) & (apart.sum(1) <= overlap.radius(80, 2, 0.9))
     kept = ((a[0] == b[0]).any(1) & within).mean()
     assert kept >= 0.995
 
@@ -131,9 +133,9 @@ def test_a_hot_text_meets_its_partners_as_one(spark):
     """Copies of one text in both splits are one pair of texts; only their ids multiply."""
     text = F.when(F.col("id") % 3 > 0, "where is my card").when(F.col("id") == 0, "where is my cards").otherwise(F.format_string("text %d of its own", "id"))
     frame = spark.range(600).select(F.col("id").alias("record_id"), text.alias("text"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("source_split"), F.lit("x").alias("source"), F.lit("c").alias("category"))
-    compared = overlap.compared_records(frame)
-    hot = [r for r in overlap.overlap_texts(compared).collect() if "card" in r.e_form]
-    assert {(r.e_form, r.t_form, r.e_n, r.t_n) for r in hot} == {("where is my card", "where is my card", 200, 200), ("where is my card", "where is my cards", 200, 1)}
+    classes = overlap.chosen_records(frame).groupBy("held_out", "text").agg(F.count("*").alias("tag"))
+    hot = [r for r in overlap.matched_texts(classes).collect() if "card" in r.e_form]
+    assert {(r.e_form, r.t_form, r.e_tag, r.t_tag) for r in hot} == {("where is my card", "where is my card", 200, 200), ("where is my card", "where is my cards", 200, 1)}
     ids = [tuple(r) for r in overlap.overlap_pairs(frame).where("similarity = 1").select("held_out_id", "train_id").collect()]
     assert len(ids) == len(set(ids)) == 200 * 200
     assert overlap.overlap_report(frame).first().pairs >= 200 * 201

@@ -88,7 +88,7 @@ def test_overlaps(records):
 def test_fingerprints_by_their_definition():
     """Segments are literally parts of the fingerprint, and the words are bits of it."""
     forms = ["a", "where is my card", "where is my new card " * 40, "0 9 z"]
-    blocks, width = 16, 5
+    blocks, width = 18, 6
     segments, words, sizes = overlap.fingerprints(forms, blocks, width, 42)
     ranks = overlap._ranks(42, blocks * width)
     symbols = " abcdefghijklmnopqrstuvwxyz0123456789"
@@ -99,8 +99,8 @@ def test_fingerprints_by_their_definition():
             own = least[width * block : width * (block + 1)]
             assert [int(segments[k, block]) >> 5 * j & 31 for j in range(width)] == [int(x) & 31 for x in own]
             assert int(segments[k, block]) >> 5 * width == block
-        bits = np.unpackbits(np.ascontiguousarray(words[k]).view(np.uint8))[: 2 * blocks * width]
-        assert bits.tolist() == [int(x) & 1 for x in least] + [int(x) >> 1 & 1 for x in least]
+        bits = np.unpackbits(np.ascontiguousarray(words[k]).view(np.uint8))
+        assert bits.tolist() == ([int(x) & 1 for x in least] + [int(x) >> 1 & 1 for x in least])[:192]
 
 
 def test_recall_at_the_threshold():
@@ -121,10 +121,10 @@ def test_recall_at_the_threshold():
                 pairs.append((one, two))
         tries += 1
         assert tries < 100_000
-    a, b = (overlap.fingerprints(list(side), 16, 5, 42) for side in zip(*pairs))
+    a, b = (overlap.fingerprints(list(side), 18, 6, 42) for side in zip(*pairs))
     bits = [np.unpackbits(np.ascontiguousarray(x[1]).view(np.uint8), axis=None).reshape(len(pairs), -1) for x in (a, b)]
     apart = bits[0] != bits[1]
-    within = (apart[:, :64].sum(1) <= overlap.radius(64, 1, 0.9)) & (apart.sum(1) <= overlap.radius(80, 2, 0.9))
+    within = (apart[:, :64].sum(1) <= overlap.radius(64, 64, 0.9)) & (apart.sum(1) <= overlap.radius(108, 192, 0.9))
     kept = ((a[0] == b[0]).any(1) & within).mean()
     assert kept >= 0.995
 

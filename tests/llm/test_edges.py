@@ -88,7 +88,7 @@ def test_overlaps(records):
 def test_fingerprints_by_their_definition():
     """Segments are literally parts of the fingerprint, and the words are bits of it."""
     forms = ["a", "where is my card", "where is my new card " * 40, "0 9 z"]
-    blocks, width = 18, 6
+    blocks, width = 16, 6
     segments, words, sizes = overlap.fingerprints(forms, blocks, width, 42)
     ranks = overlap._ranks(42, blocks * width)
     symbols = " abcdefghijklmnopqrstuvwxyz0123456789"
@@ -104,7 +104,7 @@ def test_fingerprints_by_their_definition():
 
 
 def test_recall_at_the_threshold():
-    """Sets just at the threshold share a segment and lie within both radii with probability 0.995 or more."""
+    """Sets just at the threshold share a segment and lie within both radii with probability 0.99 or more."""
     chance, kept, tries = random.Random(9), 0, 0
     letters = "abcdefghijklmnopqrstuvwxyz"
     pairs = []
@@ -121,12 +121,12 @@ def test_recall_at_the_threshold():
                 pairs.append((one, two))
         tries += 1
         assert tries < 100_000
-    a, b = (overlap.fingerprints(list(side), 18, 6, 42) for side in zip(*pairs))
+    a, b = (overlap.fingerprints(list(side), 16, 6, 42) for side in zip(*pairs))
     bits = [np.unpackbits(np.ascontiguousarray(x[1]).view(np.uint8), axis=None).reshape(len(pairs), -1) for x in (a, b)]
     apart = bits[0] != bits[1]
-    within = (apart[:, :64].sum(1) <= overlap.radius(64, 64, 0.9)) & (apart.sum(1) <= overlap.radius(108, 192, 0.9))
+    within = (apart[:, :64].sum(1) <= overlap.radius(64, 64, 0.9)) & (apart.sum(1) <= overlap.radius(96, 192, 0.9))
     kept = ((a[0] == b[0]).any(1) & within).mean()
-    assert kept >= 0.995
+    assert kept >= 0.99, kept
 
 
 def test_a_hot_text_meets_its_partners_as_one(spark):
@@ -135,7 +135,7 @@ def test_a_hot_text_meets_its_partners_as_one(spark):
     frame = spark.range(600).select(F.col("id").alias("record_id"), text.alias("text"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("source_split"), F.lit("x").alias("source"), F.lit("c").alias("category"))
     classes = overlap.chosen_records(frame).groupBy("held_out", "text").agg(F.count("*").alias("tag"))
     hot = [r for r in overlap.matched_texts(classes).collect() if "card" in r.e_form]
-    assert {(r.e_form, r.t_form, r.e_tag, r.t_tag) for r in hot} == {("where is my card", "where is my card", 200, 200), ("where is my card", "where is my cards", 200, 1)}
+    assert {(r.e_form, r.t_form, *r.e_tags, *r.t_tags) for r in hot} == {("where is my card", "where is my card", 200, 200), ("where is my card", "where is my cards", 200, 1)}
     ids = [tuple(r) for r in overlap.overlap_pairs(frame).where("similarity = 1").select("held_out_id", "train_id").collect()]
     assert len(ids) == len(set(ids)) == 200 * 200
     assert overlap.overlap_report(frame).first().pairs >= 200 * 201

@@ -21,6 +21,10 @@ from sievelight.functions.structured import INVALID_OUTPUT, shown_label
 from sievelight.operators.metrics import per_class, ratio
 
 
+#: Draws that are spread from one row.
+DRAWS_AT_ONCE = 4096
+
+
 def hash_number(*parts: Column) -> Column:
     """The first 52 bits of the MD5 of the parts joined by colons, as a whole number."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
@@ -46,8 +50,13 @@ def replicate_counts(cells: DataFrame, approaches: list[str], replicates: int, s
         raise ValueError("replicates must be positive")
     spark = cells.sparkSession
     classes = cells.select("actual", "support").distinct()
-    rounds = spark.range(replicates).withColumnRenamed("id", "replicate")
-    draws = rounds.crossJoin(F.broadcast(classes)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("support") - 1)))
+    rounds = spark.range(replicates).select(F.col("id").alias("replicate"))
+    # In two steps, so that no row ever holds as many numbers as its class has rows.
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("support") - 1, F.lit(DRAWS_AT_ONCE).cast("long"))).alias("first")
+    spread = classes.select("actual", "support", runs).select(
+        "*", F.explode(F.sequence("first", F.least(F.col("first") + DRAWS_AT_ONCE, "support") - 1)).alias("j")
+    )
+    draws = spread.select("actual", "support", "j").crossJoin(F.broadcast(rounds))
     number = hash_number(F.lit(str(seed)), F.col("replicate").cast("string"), F.col("actual"), F.col("j").cast("string")) % F.col("support")
     picks = draws.groupBy("replicate", "actual", number.alias("number")).agg(F.count("*").alias("times"))
     hit = picks.join(F.broadcast(cells.drop("n", "support")), "actual").where("number >= start and number < end")
@@ -130,13 +139,18 @@ def intervals(metrics: DataFrame, level: float = 0.95) -> DataFrame:
     return long.groupBy("approach", "metric").agg(ends.alias("e")).select("approach", "metric", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
 
 
-def paired_differences(metrics: DataFrame, left: str, right: str, level: float = 0.95) -> DataFrame:
-    """Interval of the difference of two approaches on the same replicates, and whether it excludes 0."""
+def paired_differences(metrics: DataFrame, points: DataFrame, left: str, right: str, level: float = 0.95) -> DataFrame:
+    """Difference of two approaches, its interval on the same replicates, and whether this excludes 0.
+
+    ``points`` has the approaches' scores on all rows: ``approach, accuracy, macro_f1``.
+    """
     tail = (1 - level) / 2
+    chosen = (F.max(F.when(F.col("approach") == name, F.col("value"))) for name in (left, right))
+    difference = next(chosen) - next(chosen)
     long = metrics.unpivot(["replicate", "approach"], ["accuracy", "macro_f1"], "metric", "value")
-    sides = long.groupBy("replicate", "metric").agg(
-        (F.max(F.when(F.col("approach") == left, F.col("value"))) - F.max(F.when(F.col("approach") == right, F.col("value")))).alias("d")
-    )
+    sides = long.groupBy("replicate", "metric").agg(difference.alias("d"))
     ends = F.percentile("d", F.array(F.lit(tail), F.lit(1 - tail)))
     out = sides.groupBy("metric").agg(ends.alias("e")).select("metric", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
-    return out.withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
+    whole = points.unpivot(["approach"], ["accuracy", "macro_f1"], "metric", "value").groupBy("metric").agg(difference.alias("difference"))
+    joined = whole.join(F.broadcast(out), "metric").select("metric", "difference", "low", "high")
+    return joined.withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))

@@ -1,30 +1,30 @@
-"""TF-IDF weights as a long table, nearest texts, and a linear classifier on them."""
+"""TF-IDF weights, nearest texts, and a linear classifier on them."""
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.functions.text import ASCII_ONLY
 
-#: Words of two or more characters.
-WORDS = r"(?U)\b\w\w+\b"
-#: Largest dense table of query weights that goes to the tasks at once, in numbers of eight bytes.
-BLOCK_LIMIT = 1 << 24
+#: Words of two or more letters, digits and underscores of any script.
+WORDS = r"[\p{L}\p{N}_]{2,}"
+#: Rows and queries that meet in one task, and numbers of eight bytes that it multiplies at once.
+CHUNK, BLOCK, AT_ONCE = 4096, 1024, 1 << 22
 
 
 @F.pandas_udf(T.StringType())
@@ -41,15 +41,17 @@ def without_accents(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(_without_accents(F.when(~ascii_only, text)))
 
 
-def term_frequencies(rows: DataFrame, key: str, text: str = "text", pattern: str = WORDS, accents: bool = False) -> DataFrame:
+def term_frequencies(rows: DataFrame, key: str, text: str = "text", pattern: str = WORDS) -> DataFrame:
     """``id, term, tf``: how often each word and each pair of neighbouring words stands in each row's text.
 
-    Rows with a null key or text, and texts without words, have no terms. With ``accents`` they are kept.
+    Words are lower-cased and without accents. Rows with a null key or text, and texts without words, have no
+    terms. The words of a row are routed by its key, so counting its terms takes no further shuffle.
     """
-    plain = F.lower(F.col(text)) if accents else without_accents(F.col(text))
-    words = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)).alias("words"))
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return words.select("id", F.explode(F.concat("words", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    chosen = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    words = chosen.select(F.col(key).alias("id"), F.regexp_extract_all(without_accents(F.col(text)), F.lit(pattern), F.lit(0)).alias("words"))
+    routed = words.where(F.size("words") > 0).repartition("id")
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
+    return routed.select("id", F.explode(F.concat("words", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def inverse_frequencies(frequencies: DataFrame, documents: DataFrame, min_records: int = 2) -> DataFrame:
@@ -62,106 +64,165 @@ def inverse_frequencies(frequencies: DataFrame, documents: DataFrame, min_record
     return records.crossJoin(F.broadcast(total)).select("term", (F.log((1.0 + F.col("rows")) / (1.0 + F.col("records"))) + 1.0).alias("idf"))
 
 
+def tfidf_rows(frequencies: DataFrame, idf: DataFrame, *carried: str) -> DataFrame:
+    """``id, entries`` of each row with a known term: its terms in order with weight ``(1 + ln tf) * idf``, of length 1.
+
+    An entry has the ``term``, its ``weight`` and the ``carried`` columns of ``idf``. The length is worked out on the
+    row's own entries, which its text bounds.
+    """
+    entry = F.struct("term", ((1.0 + F.log("tf")) * F.col("idf")).alias("weight"), *carried)
+    raw = frequencies.join(idf, "term").select("id", entry.alias("entry"))
+    rows = raw.groupBy("id").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"]))
+    scaled = rows.withColumn("norm", norm)
+    return scaled.select("id", F.transform("entries", lambda e: e.withField("weight", e["weight"] / F.col("norm"))).alias("entries"))
+
+
 def tfidf_weights(frequencies: DataFrame, idf: DataFrame) -> DataFrame:
-    """``id, term, weight``: ``(1 + ln tf) * idf``, with length 1 for each row. Terms without an idf are left out."""
-    raw = frequencies.join(idf, "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
-
-
-def query_blocks(queries: DataFrame, limit: int = BLOCK_LIMIT) -> tuple[DataFrame, int]:
-    """``queries`` with ``block``, and the number of blocks: in each, ids x terms are at most ``limit``, or there is one id."""
-    shape = queries.agg(F.count_distinct("id").alias("ids"), F.count_distinct("term").alias("terms")).first()
-    if shape.ids <= 1 or shape.ids * shape.terms <= limit:
-        return queries.withColumn("block", F.lit(0)), 1
-    places = queries.select("id").distinct().select("id", (F.row_number().over(W.orderBy("id")) - 1).alias("place"))
-    blocks = min(shape.ids, -(-shape.ids * shape.terms // max(1, limit)))
-    while True:
-        marked = queries.join(places, "id").select(*queries.columns, (F.col("place") % blocks).cast("int").alias("block"))
-        if blocks >= shape.ids:
-            return marked, blocks
-        sizes = marked.groupBy("block").agg((F.count_distinct("id") * F.count_distinct("term")).alias("n"))
-        if sizes.agg(F.max("n")).first()[0] <= limit:
-            return marked, blocks
-        blocks = min(2 * blocks, shape.ids)
-
-
-def nearest_cosine(queries: DataFrame, weights: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
-    """``id, cosine``: for each query the greatest cosine with any row of ``weights``; no row for one without a shared term.
-
-    Both tables have ``id, term, weight``. The stated queries go to the tasks in dense tables of at most
-    ``limit`` numbers, one for each block of them, and each task keeps one maximum for each query, so pairs of
-    queries and rows are never shuffled.
+    """``id, term, weight``: the entries of :func:`tfidf_rows` as a long table. Terms without an idf are left out."""
+    return tfidf_rows(frequencies, idf).select("id", F.inline("entries"))
+
+
+def _field(entries: str, name: str) -> Column:
+    return F.transform(entries, lambda e: e[name])
+
+
+def _products(queries: pa.Table, rows: pa.Table, at_once: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query of a block its place and greatest cosine with any row of a chunk.
+
+    Queries are taken in slices whose dense table of terms, and rows in slices whose products, hold at most
+    ``at_once`` numbers, or there is a single one.
     """
-    marked, blocks = query_blocks(queries, limit)
-    if blocks > 1:
-        marked, weights = marked.persist(), weights.persist()
-    found = [_block_cosine(marked.where(F.col("block") == k).drop("block"), weights) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _block_cosine(queries: DataFrame, weights: DataFrame) -> DataFrame:
-    narrow = weights.join(queries.select("term").distinct(), "term", "left_semi")
-    local = queries.toPandas()
-    ids, places = np.unique(local["id"].to_numpy(), return_inverse=True) if len(local) else (np.array([]), np.array([], int))
-    names = {term: k for k, term in enumerate(sorted(set(local["term"])))}
-    table = np.zeros((len(names), len(ids)))
-    if len(local):
-        table[local["term"].map(names).to_numpy(), places] = local["weight"].to_numpy()
-    spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast((names, table))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, dense = shared.value
-        top = np.zeros(dense.shape[1])
-        for batch in batches:
-            for own, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                np.maximum(top, np.asarray(values) @ dense[[columns[t] for t in own]], out=top)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(top))), pa.array(top)], ["place", "cosine"])
+    asked, given = queries.column("terms").combine_chunks(), rows.column("terms").combine_chunks()
+    best = np.zeros(len(queries))
+    bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(asked).to_numpy())))
+    words = asked.flatten()
+    weights = queries.column("weights").combine_chunks().flatten().to_numpy()
+    ends = np.cumsum(pc.list_value_length(given).to_numpy())
+    owners = np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0))
+    loads = rows.column("weights").combine_chunks().flatten().to_numpy()
+    begin = 0
+    while begin < len(queries):
+        width = max(1, min(len(queries) - begin, int(np.sqrt(at_once))))
+        while width > 1 and width * (bounds[begin + width] - bounds[begin]) > at_once:
+            width = max(1, width // 2)
+        own = slice(bounds[begin], bounds[begin + width])
+        coded = words[own].dictionary_encode()
+        dense = np.zeros((len(coded.dictionary), width))
+        dense[coded.indices.to_numpy(), np.repeat(np.arange(width), np.diff(bounds[begin : begin + width + 1]))] = weights[own]
+        places = pc.index_in(given.flatten(), value_set=coded.dictionary)
+        known = np.flatnonzero(pc.is_valid(places).to_numpy(zero_copy_only=False))
+        term, owner, load = pc.fill_null(places, 0).to_numpy()[known], owners[known], loads[known]
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        step = max(1, at_once // width)
+        first = 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + step, "right")) - 1)
+            low, high = starts[first], starts[last] if last < len(starts) else len(term)
+            sums = np.add.reduceat(dense[term[low:high]] * load[low:high, None], starts[first:last] - low, axis=0)
+            np.maximum(best[begin : begin + width], sums.max(axis=0), out=best[begin : begin + width])
+            first = last
+        begin += width
+    found = np.flatnonzero(best > 0)
+    return found, best[found]
+
+
+def nearest_cosine(
+    queries: DataFrame, rows: DataFrame, query_count: int, row_count: int, block: int = BLOCK, chunk: int = CHUNK, at_once: int = AT_ONCE
+) -> DataFrame:
+    """``id, cosine``: for each query the greatest cosine with any of ``rows``; no row for one without a shared term.
+
+    Both tables are those of :func:`tfidf_rows`. A stated set of queries is compared with all rows in blocks: queries
+    are hashed to blocks and rows to chunks of about the given sizes, each block meets each chunk in a task of its
+    own, and one maximum for each query leaves it. Nothing comes to the driver, and no pair is shuffled. The counts
+    only set the numbers of blocks and chunks.
+    """
+    blocks, chunks = max(1, -(-query_count // block)), max(1, -(-row_count // chunk))
+
+    def arrays(frame: DataFrame, *more: Column) -> DataFrame:
+        return frame.select(*more, _field("entries", "term").alias("terms"), _field("entries", "weight").alias("weights"))
+
+    def place(count: int, name: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(name)
 
-    grouped = narrow.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")).select("terms", "weights")
-    found = grouped.mapInArrow(best, "place long, cosine double").groupBy("place").agg(F.max("cosine").alias("cosine")).where("cosine > 0")
-    kind = queries.schema["id"].dataType.simpleString()
-    named = spark.createDataFrame(list(enumerate(ids.tolist())), f"place long, id {kind}")
-    return found.join(F.broadcast(named), "place").select("id", "cosine")
+    def all_of(count: int, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
 
+    asked = arrays(queries, F.col("id"), place(blocks, "block"), all_of(chunks, "chunk"))
+    given = arrays(rows, place(chunks, "chunk"), all_of(blocks, "block"))
+    kind = queries.schema["id"].dataType
 
-@F.udf(VectorUDT())
-def _sparse(size, slots):
-    return SparseVector(size, [s.slot for s in slots or []], [s.weight for s in slots or []])
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, cosines = _products(left, right, at_once) if len(left) and len(right) else (np.array([], np.int64), np.array([]))
+        return pa.table({"id": left.column("id").take(pa.array(found)), "cosine": pa.array(cosines)})
+
+    pairs = asked.groupBy("chunk", "block").cogroup(given.groupBy("chunk", "block"))
+    found = pairs.applyInArrow(best, T.StructType([T.StructField("id", kind), T.StructField("cosine", T.DoubleType())]))
+    return found.groupBy("id").agg(F.max("cosine").alias("cosine"))
 
 
 def numbered_terms(idf: DataFrame, buckets: int = 256) -> DataFrame:
-    """``term, slot``: the terms numbered from 0 without gaps, in hashed buckets, so that no task sees all of them."""
-    placed = idf.select("term", F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket"))
+    """``idf`` with ``slot``: the terms numbered from 0 without gaps, in hashed buckets, so that no task sees all of them."""
+    placed = idf.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     starts = sizes.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("start"))
     place = F.row_number().over(W.partitionBy("bucket").orderBy("term")) - 1
-    return placed.withColumn("place", place).join(F.broadcast(starts), "bucket").select("term", (F.col("start") + F.col("place")).cast("int").alias("slot"))
+    numbered = placed.withColumn("place", place).join(F.broadcast(starts), "bucket")
+    return numbered.select(*idf.columns, (F.col("start") + F.col("place")).cast("int").alias("slot"))
 
 
-def vectors(weights: DataFrame, ids: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+def vectors(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """``id, features``: a sparse vector of ``size`` slots for each row of ``ids``, empty for one without a known term.
 
-    ``terms`` gives each term its own slot.
+    ``rows`` are those of :func:`tfidf_rows` with the ``slot`` of each term carried along.
     """
-    placed = weights.join(terms, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("slots"))
-    return ids.select("id").join(placed, "id", "left").select("id", _sparse(F.lit(size), "slots").alias("features"))
+    kind = ids.schema["id"].dataType
+    slots = F.array_sort(F.transform("entries", lambda e: F.struct(e["slot"].alias("slot"), e["weight"].alias("weight"))))
+    none = F.array().cast("array<struct<slot:int,weight:double>>")
+    placed = ids.select("id").join(rows, "id", "left").select("id", F.coalesce(slots, none).alias("slots"))
+    arrays = placed.select("id", _field("slots", "slot").alias("slot"), _field("slots", "weight").alias("weight"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), batch.column(1), batch.column(2)]
+            features = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), features], ["id", "features"])
 
+    return arrays.mapInArrow(build, T.StructType([T.StructField("id", kind), T.StructField("features", VectorUDT())]))
 
-def logistic_predictions(train: DataFrame, rows: DataFrame, inverse_strength: float = 1.0, iterations: int = 1000) -> DataFrame:
-    """``id, predicted, probability`` by multinomial logistic regression; ``train`` has ``id, features, category``.
+
+def fit_logistic(train: DataFrame, inverse_strength: float = 1.0, iterations: int = 1000, tolerance: float = 1e-4) -> PipelineModel:
+    """Multinomial logistic regression on ``features, category``, from which ``predicted`` and ``probability`` come.
 
     The penalty is ``1 / (inverse_strength * rows)`` and doesn't touch intercepts. Labels are ordered by name. A
-    ``train`` of one label predicts it. The fit ends when it converges; ``iterations`` only bounds it.
+    ``train`` of one label predicts it. The fit ends when the loss improves by less than ``tolerance``, relative to it;
+    ``iterations`` only bounds it. ``train`` is read once and kept while it lasts.
     """
-    indexer = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
-    indexed = indexer.transform(train).persist()
-    penalty = 1.0 / max(1.0, inverse_strength * indexed.count())
-    model = LogisticRegression(family="multinomial", maxIter=iterations, standardization=False, regParam=penalty).fit(indexed)
-    indexed.unpersist()
-    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels).transform(model.transform(rows))
-    return named.select("id", "predicted", F.array_max(vector_to_array("probability")).alias("probability"))
+    indexer = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
+    kept = train.select("features", "category").persist()
+    indexed = indexer.fit(kept)
+    penalty = 1.0 / max(1.0, inverse_strength * kept.count())
+    regression = LogisticRegression(family="multinomial", maxIter=iterations, tol=tolerance, standardization=False, regParam=penalty)
+    model = regression.fit(indexed.transform(kept))
+    kept.unpersist()
+    return PipelineModel([model, IndexToString(inputCol="prediction", outputCol="predicted", labels=indexed.labels)])
+
+
+def logistic_predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``id, predicted, probability`` of ``id, features``: the most probable label, and the probability of it."""
+    return model.transform(rows).select("id", "predicted", F.array_max(vector_to_array("probability")).alias("probability"))
+
+
+def save_classifier(model: PipelineModel, terms: DataFrame, path: str) -> None:
+    """Writes the fitted labels and coefficients, and the table ``term, idf, slot`` of their features."""
+    model.write().overwrite().save(f"{path}/model")
+    terms.select("term", "idf", "slot").write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def load_classifier(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
+    """What :func:`save_classifier` wrote: the model, and ``term, idf, slot``."""
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/terms")
 
 
 def majority_predictions(rows: DataFrame, majority: DataFrame, key: str = "record_id", label: str = "category") -> DataFrame:
@@ -184,3 +245,9 @@ def response_labels(tokens: Column, prompt_length: Column, ignored: int = -100)
     """Targets of a training example: the tokens, with those of the prompt ignored."""
     kept = F.least(prompt_length, F.size(tokens))
     return F.concat(F.array_repeat(F.lit(ignored), kept), F.slice(tokens, kept + 1, F.greatest(F.size(tokens) - kept, F.lit(0))))
+
+
+def example_fault(tokens: Column, prompt: Column, longest: int) -> Column:
+    """Why a training example can't be used: its prompt isn't its beginning, or it is too long; null if it can."""
+    begins = F.slice(tokens, 1, F.greatest(F.size(prompt), F.lit(0))) == prompt
+    return F.when(~F.coalesce(begins, F.lit(False)), "prompt").when(F.size(tokens) > longest, "too_long")

@@ -61,12 +61,21 @@ def stratified_split(rows: DataFrame, share_bp: int, label: str = "category", ke
 
 
 def first_positions(rows: DataFrame, by: str, order: list[str], count: int, inside: str = "calibration", outside: str = "held_out") -> DataFrame:
-    """``rows`` with ``part``: the first ``count`` rows of each group are ``inside``, the others ``outside``."""
-    place = F.row_number().over(W.partitionBy(by).orderBy(*order))
-    return rows.withColumn("part", F.when(place <= count, inside).otherwise(outside))
+    """``rows`` with ``part``: the first ``count`` rows of each group are ``inside``, the others ``outside``.
+
+    Rows that tie with the last of them are inside, too. Only the first rows of each partition reach the group's
+    sort, which finds the last place; one place for each group then goes back to the rows. Null groups are a group,
+    and null values come first.
+    """
+    place = F.struct(*order)
+    last = first_rows(rows.select(F.struct(F.col(by).alias("by")).alias("group"), place.alias("last")), ["group"], ["last"], count)
+    ends = last.where(F.col("place") == count).select("group", "last")
+    marked = rows.withColumn("__group", F.struct(F.col(by).alias("by"))).join(ends.withColumnRenamed("group", "__group"), "__group", "left")
+    part = F.when(F.col("last").isNull() | (place <= F.col("last")), inside).otherwise(outside)
+    return marked.withColumn("part", part).drop("__group", "last")
 
 
 def first_rows(rows: DataFrame, by: list[str], order: list[Column | str], count: int) -> DataFrame:
-    """The first ``count`` rows of each group."""
+    """The first ``count`` rows of each group, with their ``place``; each task cuts its own rows first."""
     place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return rows.withColumn("place", place).where(F.col("place") <= count)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ from sievelight.streaming.outputs import received_by_window
 LEFT, RIGHT = "tfidf_logreg", "tuned_adapter"
 #: Replicates of the queries that DuckDB repeats draw by draw, and of the full ones.
 REPLICATES, FULL_REPLICATES, SEED = 200, 10_000, 42
-#: Words as both SQL engines find them.
-PLAIN_WORDS = "[a-z0-9]{2,}"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,6 +251,11 @@ def _replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.replicate_metrics(counts, table(spark, sf_dir, "routes"))
 
 
+def _differences(spark: SparkSession, sf_dir: str, replicates: DataFrame) -> DataFrame:
+    points = metrics.macro(_confusion(spark, sf_dir), table(spark, sf_dir, "routes"))
+    return rounded(bootstrap.paired_differences(replicates, points, LEFT, RIGHT), "difference", "low", "high")
+
+
 @query
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95 % intervals of accuracy and macro F1 by stratified bootstrap."""
@@ -261,7 +265,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def paired_difference_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95 % intervals of the differences of the approaches on the same replicates."""
-    return rounded(bootstrap.paired_differences(_replicates(spark, sf_dir), LEFT, RIGHT), "low", "high")
+    return _differences(spark, sf_dir, _replicates(spark, sf_dir))
 
 
 def _full_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +282,7 @@ def bootstrap_ci_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def paired_difference_ci_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``paired_difference_ci`` from 10,000 replicates."""
-    return rounded(bootstrap.paired_differences(_full_replicates(spark, sf_dir), LEFT, RIGHT), "low", "high")
+    return _differences(spark, sf_dir, _full_replicates(spark, sf_dir))
 
 
 @query
@@ -345,7 +349,8 @@ def probe_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _word_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each probe the label most words of whose name it holds; null without any."""
     words = table(spark, sf_dir, "routes").select("category", F.explode(F.array_distinct(F.split("category", "_"))).alias("word"))
-    held = table(spark, sf_dir, "robustness_probes").select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(PLAIN_WORDS), F.lit(0)))).alias("word"))
+    own = F.regexp_extract_all(features.without_accents(F.col("text")), F.lit(features.WORDS), F.lit(0))
+    held = table(spark, sf_dir, "robustness_probes").select("id", F.explode(F.array_distinct(own)).alias("word"))
     votes = held.join(words, "word").groupBy("id", "category").agg(F.count("*").alias("n"))
     best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "category")).alias("best"))
     return table(spark, sf_dir, "robustness_probes").select("id").join(best, "id", "left").select("id", F.col("best.category").alias("predicted"))
@@ -362,23 +367,26 @@ def robustness_group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(probes.probe_scores(scored), "success_rate")
 
 
-def _train_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _train_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Term frequencies of the train records, and the inverse frequencies of their terms."""
     train = table(spark, sf_dir, "records").where("source_split = 'train'")
-    counts = features.term_frequencies(train, "record_id", pattern=PLAIN_WORDS, accents=True)
-    idf = features.inverse_frequencies(counts, train)
-    return features.tfidf_weights(counts, idf), idf
+    counts = features.term_frequencies(train, "record_id")
+    return counts, features.inverse_frequencies(counts, train)
 
 
 @query
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF weights of words and pairs of words of the train records."""
-    return rounded(_train_weights(spark, sf_dir)[0], "weight")
+    return rounded(features.tfidf_weights(*_train_terms(spark, sf_dir)), "weight")
 
 
 def _cosines(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str) -> DataFrame:
-    weights, idf = _train_weights(spark, sf_dir)
-    own = features.tfidf_weights(features.term_frequencies(rows, key, pattern=PLAIN_WORDS, accents=True), idf)
-    return features.nearest_cosine(own, weights)
+    counts, idf = _train_terms(spark, sf_dir)
+    idf = idf.persist()
+    own = features.tfidf_rows(features.term_frequencies(rows, key), idf)
+    # Counted on the stored columns, only to set the number of blocks.
+    trained = table(spark, sf_dir, "records").where("source_split = 'train'").count()
+    return features.nearest_cosine(own, features.tfidf_rows(counts, idf), rows.count(), trained)
 
 
 @query
@@ -389,18 +397,20 @@ def nearest_training_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round(F.coalesce("cosine", F.lit(0.0)), 6).alias("cosine"))
 
 
-def _scope_rows(spark: SparkSession, sf_dir: str, digits: int = 3) -> DataFrame:
+def _split_scope(rows: DataFrame) -> DataFrame:
+    """Probes with their scope, half of each group for calibration."""
+    known = F.when(F.col("probe_group") == scope.UNKNOWN, scope.UNKNOWN).otherwise(scope.KNOWN)
+    return split.first_positions(rows.withColumn("scope", known), "probe_group", ["id"], 100)
+
+
+def _scope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "robustness_probes").select("id", "probe_group")
     scored = given.join(nearest_training_cosine(spark, sf_dir), "id").join(_word_votes(spark, sf_dir), "id")
-    rows = scored.select(
-        "id", "probe_group", F.when(F.col("probe_group") == scope.UNKNOWN, scope.UNKNOWN).otherwise(scope.KNOWN).alias("scope"),
-        F.round("cosine", digits).alias("score"), F.col("predicted").isNotNull().alias("label_valid"),
-    )
-    return split.first_positions(rows, "probe_group", ["id"], 100)
+    return _split_scope(scored.select("id", "probe_group", F.col("cosine").alias("score"), F.col("predicted").isNotNull().alias("label_valid")))
 
 
-def _calibrated(spark: SparkSession, sf_dir: str, digits: int = 3) -> tuple[DataFrame, DataFrame]:
-    rows = _scope_rows(spark, sf_dir, digits).persist()
+def _calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _scope_rows(spark, sf_dir).persist()
     return rows, scope.threshold_search(rows.where("part = 'calibration'"))
 
 
@@ -415,14 +425,14 @@ def calibration_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threshold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds of the cosine with what lies below them."""
     rows = _scope_rows(spark, sf_dir).where("part = 'calibration'")
-    return rounded(scope.threshold_candidates(rows), "threshold")
+    return scope.threshold_candidates(rows).withColumn("threshold", F.round("threshold", 7))
 
 
 @query
 def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best threshold of the cosine on the calibration probes."""
     rows = _scope_rows(spark, sf_dir).where("part = 'calibration'")
-    return rounded(scope.threshold_search(rows), "threshold", "balanced_accuracy")
+    return rounded(scope.threshold_search(rows), "balanced_accuracy").withColumn("threshold", F.round("threshold", 7))
 
 
 @query
@@ -456,7 +466,7 @@ def external_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rejection_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frozen threshold on test rows: the stated queries are those whose record id is divisible by 100."""
-    found = _calibrated(spark, sf_dir, 6)[1]
+    found = _calibrated(spark, sf_dir)[1]
     tested = table(spark, sf_dir, "predictions").where("record_id % 100 = 0")
     cosines = _cosines(spark, sf_dir, tested.select("record_id", "text").dropDuplicates(["record_id"]), "record_id")
     scored = tested.join(cosines.withColumnRenamed("id", "record_id"), "record_id", "left").withColumns(
@@ -471,18 +481,49 @@ def report_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.report_consistency(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "routes"))
 
 
+def _classifier(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame, int]:
+    """The logistic regression on the TF-IDF of the train records, its terms and their number."""
+    train = _labelled(spark, sf_dir).where("source_split = 'train' and category is not null").withColumn("id", F.col("record_id"))
+    counts = features.term_frequencies(train, "id").persist()
+    terms = features.numbered_terms(features.inverse_frequencies(counts, train)).persist()
+    size = max(1, terms.count())
+    rows = features.vectors(features.tfidf_rows(counts, terms, "slot"), train, size)
+    return features.fit_logistic(rows.join(train.select("id", "category"), "id")), terms, size
+
+
+def _classified(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str) -> DataFrame:
+    """``id, predicted, probability`` of every row by the classifier."""
+    model, terms, size = _classifier(spark, sf_dir)
+    own = features.tfidf_rows(features.term_frequencies(rows, key), terms, "slot")
+    return features.logistic_predictions(model, features.vectors(own, rows.select(F.col(key).alias("id")), size))
+
+
 @query
 def logreg_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and probabilities of the test records by logistic regression on the TF-IDF of the train records."""
-    labelled = _labelled(spark, sf_dir).withColumn("id", F.col("record_id"))
-    train, test = labelled.where("source_split = 'train' and category is not null"), labelled.where("source_split = 'test'")
-    counts = features.term_frequencies(train, "id").persist()
-    idf = features.inverse_frequencies(counts, train)
-    terms = features.numbered_terms(idf).persist()
-    size = max(1, terms.count())
-    fitted = features.vectors(features.tfidf_weights(counts, idf), train, terms, size).join(train.select("id", "category"), "id")
-    tested = features.tfidf_weights(features.term_frequencies(test, "id"), idf)
-    return features.logistic_predictions(fitted, features.vectors(tested, test, terms, size))
+    return _classified(spark, sf_dir, table(spark, sf_dir, "records").where("source_split = 'test'"), "record_id")
+
+
+def _classified_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "robustness_probes")
+    return given.join(_classified(spark, sf_dir, given, "id"), "id")
+
+
+@query
+def classifier_group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the fitted classifier for each group of probes."""
+    found = _classified_probes(spark, sf_dir).select("id", F.lit("tfidf_logreg").alias("approach"), "predicted")
+    return rounded(probes.probe_scores(probes.scored_probes(table(spark, sf_dir, "robustness_probes"), found)), "success_rate")
+
+
+@query
+def probability_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best threshold of the classifier's greatest probability on the calibration probes, and the rates of the held-out ones."""
+    scored = _classified_probes(spark, sf_dir).select("id", "probe_group", F.round("probability", 6).alias("score"), F.lit(True).alias("label_valid"))
+    rows = _split_scope(scored).persist()
+    found = scope.threshold_search(rows.where("part = 'calibration'"))
+    rates = scope.decision_rates(scope.decisions(rows.where("part = 'held_out'"), found))
+    return rounded(found.crossJoin(F.broadcast(rates)), "balanced_accuracy", "unknown_rejection_rate", "known_false_rejection_rate")
 
 
 @query

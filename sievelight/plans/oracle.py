@@ -1,11 +1,46 @@
 """SQL for DuckDB that gives the same rows as the queries.
 
-Queries on canonical texts have none, as SQL has no NFKC; nor have near-duplicates, the logistic regression and
-file lists. These are tested against brute force.
+DuckDB has no NFKC: the SQL writes out its rules for width forms, blanks and ligatures, the only characters of the
+tables on which they differ from NFC. The logistic regression, the full bootstrap and file lists have no SQL; they are
+tested against brute force.
 """
 
 REPLICATES = 200
 
+
+def _composed(text: str) -> str:
+    """Width forms, blanks and ligatures as NFKC gives them."""
+    chars = f"""array_to_string(list_transform(string_split({text}, ''), lambda c: CASE
+      WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248)
+      WHEN unicode(c) IN (160, 8199, 8239, 8287, 12288) OR unicode(c) BETWEEN 8192 AND 8202 THEN ' ' ELSE c END), '')"""
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        chars = f"replace({chars}, '{ligature}', '{letters}')"
+    return f"nfc_normalize({chars})"
+
+
+def _folded(text: str) -> str:
+    return f"replace(replace(lower({_composed(text)}), 'ß', 'ss'), 'ς', 'σ')"
+
+
+def _canonical(text: str) -> str:
+    return rf"trim(regexp_replace({_folded(text)}, '[\s\p{{Z}}\x{{0b}}\x{{85}}\x{{1c}}-\x{{1f}}]+', ' ', 'g'))"
+
+
+def _compared(text: str) -> str:
+    return f"trim(regexp_replace({_folded(text)}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _pieces(form: str) -> str:
+    """The set of three-character pieces of a comparison text."""
+    return f"list_distinct(list_transform(range(1, greatest(1, length({form})) + 1), lambda i: substr(' ' || {form} || ' ', i, 3)))"
+
+
+def _words(text: str) -> str:
+    """Words without accents; marks that don't combine, which ``strip_accents`` would delete, separate words."""
+    plain = rf"regexp_replace({_composed(text)}, '[\x{{34f}}\x{{fe00}}-\x{{fe0f}}]', ' ', 'g')"
+    return rf"regexp_extract_all(strip_accents(lower({plain})), '[\p{{L}}\p{{N}}_]{{2,}}')"
+
+
 _LABELLED = """
 labelled AS (
   SELECT * EXCLUDE (category), trim(regexp_replace(lower(category), '[^a-z0-9]+', '_', 'g'), '_') AS category FROM records
@@ -20,27 +55,27 @@ shown AS (
 matrix AS (SELECT approach, actual, predicted, count(*) AS n FROM shown GROUP BY ALL)"""
 
 
-def _scores(matrix: str, by: str) -> str:
-    """Scores of each label of the routes from a long confusion table."""
+def _scores(matrix: str, by: str, mark: str = "") -> str:
+    """Scores of each label of the routes from a long confusion table; ``mark`` tells two sets of scores apart."""
     return f"""
-support AS (SELECT {by}, actual AS category, sum(n)::BIGINT AS support FROM {matrix} GROUP BY ALL),
-claimed AS (
+{mark}support AS (SELECT {by}, actual AS category, sum(n)::BIGINT AS support FROM {matrix} GROUP BY ALL),
+{mark}claimed AS (
   SELECT {by}, predicted AS category, sum(n)::BIGINT AS claimed, coalesce(sum(n) FILTER (actual = predicted), 0)::BIGINT AS hits
   FROM {matrix} GROUP BY ALL
 ),
-counted AS (
+{mark}counted AS (
   SELECT g.*, l.category, coalesce(support, 0)::BIGINT AS support, coalesce(claimed, 0)::BIGINT AS claimed, coalesce(hits, 0)::BIGINT AS hits
   FROM (SELECT DISTINCT {by} FROM {matrix}) g CROSS JOIN (SELECT DISTINCT category FROM routes) l
-  LEFT JOIN support USING ({by}, category) LEFT JOIN claimed USING ({by}, category)
+  LEFT JOIN {mark}support USING ({by}, category) LEFT JOIN {mark}claimed USING ({by}, category)
 ),
-ratios AS (
-  SELECT *, coalesce(hits / nullif(claimed, 0)::DOUBLE, 0) AS precision, coalesce(hits / nullif(support, 0)::DOUBLE, 0) AS recall FROM counted
+{mark}ratios AS (
+  SELECT *, coalesce(hits / nullif(claimed, 0)::DOUBLE, 0) AS precision, coalesce(hits / nullif(support, 0)::DOUBLE, 0) AS recall FROM {mark}counted
 ),
-classes AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM ratios),
-macros AS (
+{mark}classes AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM {mark}ratios),
+{mark}macros AS (
   SELECT {by}, total, correct, macro_precision, macro_recall, macro_f1, correct / total::DOUBLE AS accuracy
   FROM (SELECT {by}, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (actual = predicted), 0)::BIGINT AS correct FROM {matrix} GROUP BY ALL)
-  JOIN (SELECT {by}, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM classes GROUP BY ALL) USING ({by})
+  JOIN (SELECT {by}, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM {mark}classes GROUP BY ALL) USING ({by})
 )"""
 
 
@@ -105,9 +140,9 @@ long AS (
   UNION ALL SELECT split_part(key, '|', 1), split_part(key, '|', 2), 'macro_f1', macro_f1 FROM macros
 )"""
 
-_TERMS = """
+_TERMS = f"""
 train AS (SELECT record_id AS id, text FROM records WHERE source_split = 'train'),
-train_words AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM train WHERE text IS NOT NULL),
+train_words AS (SELECT id, {_words("text")} AS w FROM train WHERE text IS NOT NULL),
 train_terms AS (
   SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM train_words
 ),
@@ -119,26 +154,27 @@ raw AS (SELECT id, term, (1.0 + ln(tf)) * idf AS raw FROM train_tf JOIN idf USIN
 weights AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM raw)"""
 
 
-def _cosines(rows: str) -> str:
+def _cosines(rows: str, mark: str = "") -> str:
+    """``nearest``: the cosine of each ``id`` of the given rows; ``mark`` tells two sets of rows apart."""
     return f"""
-own AS ({rows}),
-own_words AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') AS w FROM own WHERE text IS NOT NULL),
-own_terms AS (
-  SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM own_words
+own{mark} AS ({rows}),
+own_words{mark} AS (SELECT id, {_words("text")} AS w FROM own{mark} WHERE text IS NOT NULL),
+own_terms{mark} AS (
+  SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM own_words{mark}
 ),
-own_raw AS (
-  SELECT id, term, (1.0 + ln(tf)) * idf AS raw FROM (SELECT id, term, count(*) AS tf FROM own_terms GROUP BY ALL) JOIN idf USING (term)
+own_raw{mark} AS (
+  SELECT id, term, (1.0 + ln(tf)) * idf AS raw FROM (SELECT id, term, count(*) AS tf FROM own_terms{mark} GROUP BY ALL) JOIN idf USING (term)
 ),
-own_weights AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM own_raw),
-dots AS (
-  SELECT o.id, t.id AS other, sum(o.weight * t.weight) AS dot FROM own_weights o JOIN weights t USING (term) GROUP BY ALL
+own_weights{mark} AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM own_raw{mark}),
+dots{mark} AS (
+  SELECT o.id, t.id AS other, sum(o.weight * t.weight) AS dot FROM own_weights{mark} o JOIN weights t USING (term) GROUP BY ALL
 ),
-nearest AS (SELECT own.id, round(coalesce(max(dot), 0.0), 6) AS cosine FROM own LEFT JOIN dots USING (id) GROUP BY own.id)"""
+nearest{mark} AS (SELECT o.id, round(coalesce(max(dot), 0.0), 6) AS cosine FROM own{mark} o LEFT JOIN dots{mark} USING (id) GROUP BY o.id)"""
 
 
-_VOTES = """
+_VOTES = f"""
 label_words AS (SELECT category, unnest(list_distinct(string_split(category, '_'))) AS word FROM routes),
-probe_words AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS word FROM robustness_probes),
+probe_words AS (SELECT id, unnest(list_distinct({_words("text")})) AS word FROM robustness_probes),
 votes AS (SELECT id, category, count(*) AS n FROM probe_words JOIN label_words USING (word) GROUP BY ALL),
 voted AS (
   SELECT p.id, v.category AS predicted FROM robustness_probes p
@@ -149,7 +185,7 @@ _SCOPE = f"""
 {_TERMS}, {_cosines("SELECT id, text FROM robustness_probes")}, {_VOTES},
 scope_rows AS (
   SELECT id, probe_group, CASE WHEN probe_group = 'out_of_scope' THEN 'out_of_scope' ELSE 'in_scope' END AS scope,
-         round(cosine, 3) AS score, predicted IS NOT NULL AS label_valid,
+         cosine AS score, predicted IS NOT NULL AS label_valid,
          CASE WHEN row_number() OVER (PARTITION BY probe_group ORDER BY id) <= 100 THEN 'calibration' ELSE 'held_out' END AS part
   FROM robustness_probes JOIN nearest USING (id) JOIN voted USING (id)
 ),
@@ -248,10 +284,12 @@ ORACLE_SQL: dict[str, str] = {
       row_number() OVER (ORDER BY round(macro_f1, 6) DESC, approach) AS rank FROM macros""",
     "bootstrap_ci": f"""WITH {_BOOTSTRAP} SELECT approach, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high
       FROM long GROUP BY ALL""",
-    "paired_difference_ci": f"""WITH {_BOOTSTRAP}, sides AS (
+    "paired_difference_ci": f"""WITH {_BOOTSTRAP}, {_scores("matrix", "approach", "whole_")}, sides AS (
         SELECT replicate, metric, max(value) FILTER (approach = 'tfidf_logreg') - max(value) FILTER (approach = 'tuned_adapter') AS d FROM long GROUP BY ALL),
       ends AS (SELECT metric, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM sides GROUP BY metric)
-      SELECT metric, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS excludes_zero FROM ends""",
+      SELECT e.metric, round(CASE e.metric WHEN 'accuracy' THEN a.accuracy - b.accuracy ELSE a.macro_f1 - b.macro_f1 END, 6) AS difference,
+        round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS excludes_zero
+      FROM ends e, whole_macros a, whole_macros b WHERE a.approach = 'tfidf_logreg' AND b.approach = 'tuned_adapter'""",
     "route_requests": f"""WITH answered AS (
         SELECT p.approach, p.row_index, r.*, CASE WHEN length({_STRIP}) BETWEEN 1 AND 2000 AND r.category IS NOT NULL THEN 200 ELSE 422 END AS status_code
         FROM predictions p LEFT JOIN routes r ON p.predicted = r.category)
@@ -289,14 +327,22 @@ ORACLE_SQL: dict[str, str] = {
     "nearest_training_cosine": f"WITH {_TERMS}, {_cosines('SELECT id, text FROM robustness_probes')} SELECT id, cosine FROM nearest",
     "calibration_split": """SELECT id, probe_group, CASE WHEN row_number() OVER (PARTITION BY probe_group ORDER BY id) <= 100 THEN 'calibration' ELSE 'held_out' END AS part
       FROM robustness_probes""",
-    "threshold_candidates": f"WITH {_SCOPE} SELECT round(threshold, 6) AS threshold, known_below, unknown_below FROM candidates",
-    "threshold_search": f"""WITH {_SCOPE} SELECT round(threshold, 6) AS threshold, round(balanced_accuracy, 6) AS balanced_accuracy, known_rejected, unknown_rejected
+    "threshold_candidates": f"WITH {_SCOPE} SELECT round(threshold, 7) AS threshold, known_below, unknown_below FROM candidates",
+    "threshold_search": f"""WITH {_SCOPE} SELECT round(threshold, 7) AS threshold, round(balanced_accuracy, 6) AS balanced_accuracy, known_rejected, unknown_rejected
       FROM best""",
     "decision_scores": f"""WITH {_SCOPE} SELECT probe_group, outcome, count(*) AS records FROM outcomes GROUP BY GROUPING SETS ((outcome), (probe_group, outcome))""",
     "decision_rates": f"""WITH {_SCOPE} SELECT round(count_if(outcome = 'unknown_rejected') / count_if(scope = 'out_of_scope')::DOUBLE, 6) AS unknown_rejection_rate,
       round(count_if(outcome = 'known_rejected') / count_if(scope = 'in_scope')::DOUBLE, 6) AS known_false_rejection_rate FROM outcomes""",
     "external_scope_by_group": f"""WITH {_SCOPE} SELECT probe_group, count_if(NOT rejected)::BIGINT AS accepted, count_if(rejected)::BIGINT AS rejected
       FROM decided GROUP BY probe_group""",
+    "rejection_audit": f"""WITH {_SCOPE}, {_cosines("SELECT DISTINCT record_id AS id, text FROM predictions WHERE record_id % 100 = 0", "_2")},
+      judged AS (
+        SELECT approach, coalesce(correct, false) AS correct, NOT coalesce(label_valid, false) OR cosine < (SELECT threshold FROM best) AS rejected
+        FROM predictions JOIN nearest_2 ON id = record_id)
+      SELECT approach, count(*) AS records, count_if(rejected)::BIGINT AS rejected, count_if(NOT rejected)::BIGINT AS accepted,
+        count_if(NOT rejected AND correct)::BIGINT AS accepted_correct, count_if(rejected AND correct)::BIGINT AS correct_rejected,
+        round(count_if(rejected) / count(*)::DOUBLE, 6) AS rejected_rate,
+        round(count_if(NOT rejected AND correct) / nullif(count_if(NOT rejected), 0)::DOUBLE, 6) AS accepted_accuracy FROM judged GROUP BY approach""",
     "external_sample": "SELECT probe_group, id, row_number() OVER (PARTITION BY probe_group ORDER BY id) AS place FROM robustness_probes QUALIFY place <= 2",
     "received_per_day": """SELECT date_trunc('day', received_at) AS window_start, source, count(*) AS records FROM records WHERE received_at IS NOT NULL GROUP BY ALL""",
     "report_consistency": f"""WITH {_CONFUSION}, rows_ AS (

@@ -6,7 +6,6 @@ because Spark has neither NFKC nor case folding. Null in, null out everywhere.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -35,12 +34,6 @@ def comparison_value(text: str) -> str:
     return b" ".join(text.encode("ascii", "replace").translate(_COMPARED).split()).decode()
 
 
-def category_value(category: str) -> str:
-    """A label name: NFKC, case folding, other characters than a-z and 0-9 as one underscore."""
-    folded = unicodedata.normalize("NFKC", category).casefold()
-    return re.sub(r"[^a-z0-9]+", "_", folded).strip("_")
-
-
 @F.pandas_udf(T.StringType())
 def _folded(values: pd.Series) -> pd.Series:
     return values.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
@@ -76,7 +69,7 @@ def comparison_text(value: Column | str) -> Column:
 
 
 def canonical_category(value: Column | str) -> Column:
-    """Column form of :func:`category_value`."""
+    """A label name: NFKC, case folding, other characters than a-z and 0-9 as one underscore."""
     return F.btrim(F.regexp_replace(folded(value), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
@@ -90,9 +83,19 @@ def character_ngrams(comparison: Column | str, size: int = 3) -> Column:
     padded = F.concat(F.lit(" "), _column(comparison), F.lit(" "))
     count = F.length(padded) - (size - 1)
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(padded, i, F.lit(size)))
-    return F.when(count <= 1, F.array(padded)).otherwise(F.array_distinct(pieces))
+    return F.when(count <= 1, F.array(padded)).when(count > 1, F.array_distinct(pieces))
+
+
+def titled(name: Column | str) -> Column:
+    """A label or group name for readers: blanks for underscores, words with a capital."""
+    return F.initcap(F.replace(_column(name), F.lit("_"), F.lit(" ")))
+
+
+def fixed_places(value: Column | str, places: int) -> Column:
+    """A number with so many decimal places; null stays null."""
+    return F.when(_column(value).isNotNull(), F.format_string(f"%.{places}f", _column(value).cast("double")))
 
 
-def dice(left: Column, right: Column, common: Column) -> Column:
-    """Twice the shared pieces over the sum of both set sizes, 0 for two empty sets."""
-    return F.lit(2.0) * common / F.greatest(F.lit(1), left + right)
+def percent(value: Column | str, places: int = 2) -> Column:
+    """A share as a percentage; null stays null."""
+    return F.concat(fixed_places(_column(value) * 100, places), F.lit("%"))

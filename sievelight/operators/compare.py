@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievelight.operators.metrics import confusion, per_class
+from sievelight.functions.structured import is_correct
+from sievelight.operators.metrics import confusion, per_class, ratio
 
 
 def _pair(predictions: DataFrame, left: str, right: str, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +30,7 @@ def alignment_violations(predictions: DataFrame, left: str, right: str) -> DataF
     both = F.col("l").isNotNull() & F.col("r").isNotNull()
 
     def flag(mark: str):
-        computed = F.coalesce(F.col(f"{mark}_label_valid"), F.lit(True)) & F.coalesce(F.col(f"{mark}_predicted") == F.col(f"{mark}_actual"), F.lit(False))
+        computed = is_correct(F.col(f"{mark}_actual"), F.col(f"{mark}_predicted"), F.col(f"{mark}_label_valid"))
         return both & ~F.col(f"{mark}_correct").eqNullSafe(computed)
 
     rules = {
@@ -45,7 +47,7 @@ def alignment_violations(predictions: DataFrame, left: str, right: str) -> DataF
 
 
 def correctness_overlap(predictions: DataFrame, left: str, right: str) -> DataFrame:
-    """One row: rows that both, only one or neither of the approaches have right; others' rows don't count."""
+    """One row: rows that both, only one or neither of the approaches have right, and each one's accuracy on them."""
     one, two = _pair(predictions, left, right, "correct")
     joined = one.join(two, "row_index")
     a, b = F.coalesce("left_correct", F.lit(False)), F.coalesce("right_correct", F.lit(False))
@@ -55,9 +57,71 @@ def correctness_overlap(predictions: DataFrame, left: str, right: str) -> DataFr
         F.count_if(a & ~b).alias("left_only_correct"),
         F.count_if(~a & b).alias("right_only_correct"),
         F.count_if(~a & ~b).alias("both_incorrect"),
+        ratio(F.count_if(a), F.count("*")).alias("left_accuracy"),
+        ratio(F.count_if(b), F.count("*")).alias("right_accuracy"),
     )
 
 
+def checkpoint_violations(predictions: DataFrame, records: DataFrame, by: str = "approach") -> DataFrame:
+    """Why scoring can't go on from the rows there are: approach, ``row_index, rule``.
+
+    Rules: ``gap``, a row whose predecessor is missing; ``repeated``, an index given twice; ``unknown``, an index that
+    no row of ``records`` (``row_index, text, actual``) has; ``text`` and ``actual``, another text or label than
+    the record's. Predecessors are found by a join and not by numbering all rows in one task.
+    """
+    rows = predictions.select(by, "row_index", "text", "actual")
+    before = rows.select(by, (F.col("row_index") + 1).alias("row_index")).distinct()
+    gaps = rows.select(by, "row_index").where("row_index > 0").distinct().join(before, [by, "row_index"], "left_anti")
+    twice = rows.groupBy(by, "row_index").count().where("count > 1")
+    given = records.select("row_index", F.col("text").alias("given_text"), F.col("actual").alias("given_actual"), F.lit(True).alias("there"))
+    joined = rows.join(given, "row_index", "left")
+    there = F.col("there").isNotNull()
+    rules = {
+        "unknown": ~there,
+        "text": there & ~F.col("text").eqNullSafe(F.col("given_text")),
+        "actual": there & ~F.col("actual").eqNullSafe(F.col("given_actual")),
+    }
+    found = joined.select(by, "row_index", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("rule"))
+    named = (frame.select(by, "row_index", F.lit(rule).alias("rule")) for frame, rule in ((gaps, "gap"), (twice, "repeated")))
+    return found.unionByName(next(named)).unionByName(next(named)).distinct()
+
+
+def support_violations(predictions: DataFrame, by: str = "approach") -> DataFrame:
+    """Labels of another support than the most frequent support: approach, ``actual, records, wanted``.
+
+    A paired resampling of equal classes needs none. Of several most frequent supports the greatest is wanted.
+    """
+    counts = predictions.groupBy(by, "actual").agg(F.count("*").alias("records"))
+    usual = counts.groupBy(by, "records").agg(F.count("*").alias("labels")).groupBy(by).agg(F.max(F.struct("labels", "records")).alias("most"))
+    joined = counts.join(usual.select(by, F.col("most.records").alias("wanted")), by)
+    return joined.where(F.col("records") != F.col("wanted")).select(by, "actual", "records", "wanted")
+
+
+OUTCOMES = ("both", "left_only", "right_only", "neither")
+
+
+def _distinct_examples(candidates: pd.DataFrame) -> pd.DataFrame:
+    """One row of each outcome, the first of an actual label that no example before has, or else the first."""
+    used: set[str] = set()
+    chosen = []
+    for outcome in OUTCOMES:
+        rows = candidates[candidates["outcome"] == outcome].sort_values("row_index")
+        if len(rows):
+            fresh = rows[~rows["actual"].isin(used)]
+            chosen.append((fresh if len(fresh) else rows).head(1))
+            used.update(chosen[-1]["actual"])
+    return pd.concat(chosen)
+
+
+def showcase_examples(predictions: DataFrame, left: str, right: str) -> DataFrame:
+    """An example of each outcome, with distinct actual labels as far as there are: ``outcome, actual, row_index``.
+
+    Chosen from the first rows by outcome and label, a table that the labels bound.
+    """
+    first = outcome_examples(predictions, left, right)
+    return first.groupBy().applyInPandas(_distinct_examples, first.schema)
+
+
 def outcome_examples(predictions: DataFrame, left: str, right: str) -> DataFrame:
     """The first row of each of the four outcomes and of each actual label in it: ``outcome, actual, row_index``."""
     one, two = _pair(predictions, left, right, "correct", "actual")

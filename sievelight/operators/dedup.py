@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import canonical_text
@@ -63,9 +62,3 @@ def deduplicate_preserving(records: DataFrame, reserved: str = "test", trained:
     joined = rows.join(first.where("first is not null"), "key", "left")
     kept = (F.col("source_split") == reserved) | F.col("key").isNull() | (~F.col("reserved") & (place == F.col("first")))
     return joined.withColumn("kept", F.coalesce(kept, F.lit(True))).drop("key", "first", "reserved")
-
-
-def first_occurrences(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key by ``order``; null keys are one key."""
-    rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")

@@ -175,3 +175,27 @@ def interpolated_percentiles(rows: DataFrame, value: str, by: str, shares: dict[
         return low + (high - low) * F.max(place - F.floor(place))
 
     return ranked.groupBy(by).agg(F.max("total").alias("rows"), *(point(share).alias(name) for name, share in shares.items()))
+
+
+def checked_limit(rows: DataFrame, count: int | None, order: list[str]) -> DataFrame:
+    """The first ``count`` rows by ``order``, all without a count; a ValueError if it isn't positive."""
+    if count is None:
+        return rows
+    if count < 1:
+        raise ValueError("limit must be positive")
+    return rows.orderBy(*order).limit(count)
+
+
+def finite_metrics(rows: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
+    """``name, value`` of the rows whose value is a finite number, as a double."""
+    number = F.col(value).try_cast("double")
+    kept = rows.select(F.col(name).alias("name"), number.alias("value"))
+    return kept.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+
+
+def throughput(rows: DataFrame, begin: str, end: str, by: str) -> DataFrame:
+    """``by, per_second``: rows with both times over the seconds from the first begin to the last end, null where that is 0 or less."""
+    kept = rows.where(F.col(begin).isNotNull() & F.col(end).isNotNull())
+    elapsed = (F.max(F.unix_micros(end)) - F.min(F.unix_micros(begin))) / 1_000_000
+    found = kept.groupBy(F.col(by).alias("by")).agg(F.count("*").alias("n"), elapsed.alias("elapsed"))
+    return found.select("by", F.when(F.col("elapsed") > 0, F.col("n") / F.col("elapsed")).alias("per_second"))

@@ -2,8 +2,11 @@
 
 Two sets with a Dice similarity of at least t differ in few pieces, so of some more parts several are
 equal. Distinct comparison texts are joined on their parts, and only pairs whose sizes and marks allow the
-threshold leave the join; copies come back at the end. No candidate is cut off: parts, sizes and marks only
-rule out what cannot reach the threshold.
+threshold leave the join. No candidate is cut off: parts, sizes and marks only rule out what cannot reach the
+threshold.
+
+Equal comparison texts of one split are a class, named by its smallest id. Pairs are between classes, with
+their numbers of records, and each record has a row with its class; copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -89,16 +92,26 @@ KINDS = {"side": "int", "h": "long", "size": "int", "own": "boolean", "key": "lo
 SIGNED = ", ".join(f"{name} {kind}" for name, kind in KINDS.items())
 
 
+SPLITS = ("train", "validation", "test")
+
+
+def _sided(records: DataFrame, splits: tuple[str, ...], key: str, text: str, split: str, *columns: str) -> DataFrame:
+    """``id, side, form`` and ``columns`` of the rows of the named splits that have a comparison text."""
+    number = F.array_position(F.array(*map(F.lit, splits)), F.col(split)).cast("int")
+    rows = records.where(F.col(split).isin(*splits) & F.col(text).isNotNull())
+    return rows.select(F.col(key).alias("id"), number.alias("side"), comparison_text(text).alias("form"), *columns).where("form <> ''")
+
+
 def near_duplicates(
     records: DataFrame,
     threshold: float = 0.9,
     key: str = "record_id",
     text: str = "text",
     split: str = "source_split",
-    splits: tuple[str, ...] = ("train", "validation", "test"),
+    splits: tuple[str, ...] = SPLITS,
     length_bound: bool = True,
 ) -> DataFrame:
-    """Pairs of rows of different splits: ``left_split, right_split, left_id, right_id, similarity``.
+    """Pairs of classes of different splits: ``left_split, right_split, left_id, right_id, left_records, right_records, similarity``.
 
     A pair has different comparison texts whose Dice similarity over sets of three-character pieces is at least
     ``threshold``, and with ``length_bound`` also the ratio of the texts' lengths, which sets of pieces don't
@@ -107,9 +120,8 @@ def near_duplicates(
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    number = F.array_position(F.array(*map(F.lit, splits)), F.col(split)).cast("int")
-    rows = records.where(F.col(split).isin(*splits) & F.col(text).isNotNull()).select(F.col(key).alias("id"), number.alias("side"), comparison_text(text).alias("form"))
-    texts = rows.where("form <> ''").select("side", "form").distinct().withColumn("h", F.xxhash64("form"))
+    rows = _sided(records, splits, key, text, split)
+    texts = rows.groupBy("side", "form").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("h", F.xxhash64("form"))
     # Four branches read it; without the cut each would make it anew.
     texts = cut_lineage(texts)
     hashed = texts.select("side", "h", F.transform(character_ngrams("form"), lambda piece: F.xxhash64(piece)).alias("pieces"))
@@ -132,35 +144,62 @@ def near_duplicates(
         candidates.join(one, ["l_side", "l_h"]).join(two, ["r_side", "r_h"])
         .where(bound & (F.col("l_form") != F.col("r_form"))).withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
     )
-    sides = {m: rows.select(F.col("side").alias(f"{m}_side"), F.col("form").alias(f"{m}_form"), F.col("id").alias(f"{m}_id")) for m in "lr"}
-    pairs = verified.select("l_side", "l_form", "r_side", "r_form", "similarity").join(sides["l"], ["l_side", "l_form"]).join(sides["r"], ["r_side", "r_form"])
     names = F.array(*map(F.lit, splits))
-    return pairs.select(
+    return verified.select(
         F.element_at(names, F.col("l_side")).alias("left_split"),
         F.element_at(names, F.col("r_side")).alias("right_split"),
         F.col("l_id").alias("left_id"),
         F.col("r_id").alias("right_id"),
+        F.col("l_n").alias("left_records"),
+        F.col("r_n").alias("right_records"),
         F.bround("similarity", 6).alias("similarity"),
     )
 
 
-def near_duplicate_rollup(pairs: DataFrame, records: DataFrame, key: str = "record_id", label: str = "category") -> DataFrame:
-    """By pair of splits: pairs, records on each side, and pairs with the same and with another label."""
-    labels = records.select(F.col(key).alias("id"), F.col(label).alias("label"))
-    joined = pairs.join(labels.select(F.col("id").alias("left_id"), F.col("label").alias("left_label")), "left_id").join(
-        labels.select(F.col("id").alias("right_id"), F.col("label").alias("right_label")), "right_id"
-    )
-    same = F.col("left_label").eqNullSafe(F.col("right_label"))
-    return joined.groupBy("left_split", "right_split").agg(
-        F.count("*").alias("pairs"),
-        F.count_distinct("left_id").alias("left_records"),
-        F.count_distinct("right_id").alias("right_records"),
-        F.count_if(same).alias("same_label"),
-        F.count_if(~same).alias("other_label"),
+def record_classes(
+    records: DataFrame, key: str = "record_id", text: str = "text", split: str = "source_split", splits: tuple[str, ...] = SPLITS, columns: tuple[str, ...] = ()
+) -> DataFrame:
+    """``id, split, class_id`` and ``columns`` of each row with a comparison text: the smallest id of the rows of its split equal to it."""
+    rows = _sided(records, splits, key, text, split, *columns)
+    classes = rows.groupBy("side", "form").agg(F.min("id").alias("class_id"))
+    return rows.join(classes, ["side", "form"]).select("id", F.element_at(F.array(*map(F.lit, splits)), F.col("side")).alias("split"), "class_id", *columns)
+
+
+def near_duplicate_links(pairs: DataFrame, records: DataFrame, **options) -> DataFrame:
+    """Each record with its class and ``links``, how many records of other splits are near-duplicates of it.
+
+    ``id, split, class_id, links``, of all rows with a comparison text. Options go to :func:`record_classes`.
+    """
+    sides = pairs.select(F.col("left_split").alias("split"), F.col("left_id").alias("class_id"), F.col("right_records").alias("n"))
+    sides = sides.unionByName(pairs.select(F.col("right_split").alias("split"), F.col("right_id").alias("class_id"), F.col("left_records").alias("n")))
+    links = sides.groupBy("split", "class_id").agg(F.sum("n").alias("links"))
+    joined = record_classes(records, **options).join(links, ["split", "class_id"], "left")
+    return joined.select("id", "split", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_duplicate_rollup(pairs: DataFrame, records: DataFrame, label: str = "category", **options) -> DataFrame:
+    """By pair of splits: pairs of records, records on each side, and pairs with the same and with another label.
+
+    Counted from pairs of classes and the labels of each class; a null label is one. ``pairs`` is read three times.
+    """
+    labels = record_classes(records, columns=(label,), **options).groupBy("split", "class_id", label).agg(F.count("*").alias("n"))
+    left, right = (
+        labels.select(F.col("split").alias(f"{m}_split"), F.col("class_id").alias(f"{m}_id"), F.col(label).alias(f"{m}_label"), F.col("n").alias(f"{m}_n"))
+        for m in ("left", "right")
     )
+    both = ["left_split", "right_split"]
+    met = pairs.join(left, ["left_split", "left_id"]).join(right, ["right_split", "right_id"]).where(F.col("left_label").eqNullSafe(F.col("right_label")))
+    same = met.groupBy(*both).agg(F.sum(F.col("left_n") * F.col("right_n")).alias("same_label"))
+    total = pairs.groupBy(*both).agg(F.sum(F.col("left_records") * F.col("right_records")).alias("pairs"))
+    for side in ("left", "right"):
+        own = pairs.select(*both, f"{side}_id", f"{side}_records").distinct()
+        total = total.join(own.groupBy(*both).agg(F.sum(f"{side}_records").alias(f"{side}_records")), both)
+    joined = total.join(same, both, "left").withColumn("same_label", F.coalesce("same_label", F.lit(0)))
+    return joined.select("*", (F.col("pairs") - F.col("same_label")).alias("other_label"))
 
 
 def flagged_records(pairs: DataFrame) -> DataFrame:
     """Records of each split in any pair, from either side: ``source_split, records``."""
-    sides = pairs.select(F.col("left_split").alias("source_split"), F.col("left_id").alias("id")).union(pairs.select("right_split", "right_id"))
-    return sides.distinct().groupBy("source_split").agg(F.count("*").alias("records"))
+    sides = pairs.select(F.col("left_split").alias("source_split"), F.col("left_id").alias("id"), F.col("left_records").alias("n"))
+    every = sides.union(pairs.select("right_split", "right_id", "right_records")).distinct()
+    return every.groupBy("source_split").agg(F.sum("n").alias("records"))

@@ -11,10 +11,11 @@ from sievelight.operators.metrics import ratio
 GROUPS = ("short", "long", "ambiguous", "out_of_scope")
 
 
-def probe_violations(probes: DataFrame, labels: DataFrame, source: str, groups: tuple[str, ...] = GROUPS) -> DataFrame:
+def probe_violations(probes: DataFrame, labels: DataFrame, source: str, groups: tuple[str, ...] = GROUPS, per_group: int | None = None) -> DataFrame:
     """Broken rules: ``id, rule``. No row means that the probes may be used.
 
-    ``labels`` is the dimension of allowed labels. A group of which there is no probe has a row with its name as id.
+    ``labels`` is the dimension of allowed labels. A group of which there is no probe has a row with its name as id,
+    and so has one of another number of probes than ``per_group``.
     """
     allowed = labels.where("category is not null").agg(F.collect_set("category").alias("allowed"))
     rows = probes.crossJoin(F.broadcast(allowed))
@@ -37,7 +38,11 @@ def probe_violations(probes: DataFrame, labels: DataFrame, source: str, groups:
     spark = probes.sparkSession
     wanted = spark.createDataFrame([(g,) for g in groups], "id string")
     missing = wanted.join(probes.select(group.alias("id")).distinct(), "id", "left_anti").select("id", F.lit("missing_group").alias("rule"))
-    return found.unionByName(twice).unionByName(missing).distinct()
+    every = found.unionByName(twice).unionByName(missing)
+    if per_group is not None:
+        counts = probes.where(group.isin(*groups)).groupBy(group.alias("id")).count().where(F.col("count") != per_group)
+        every = every.unionByName(counts.select("id", F.lit("group_size").alias("rule")))
+    return every.distinct()
 
 
 def scored_probes(probes: DataFrame, predictions: DataFrame) -> DataFrame:

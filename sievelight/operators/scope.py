@@ -22,6 +22,16 @@ def rejected(label_valid: Column, score: Column | None, threshold: Column | None
     return invalid | F.coalesce(score < threshold, F.lit(False))
 
 
+def scope_of(label: Column, known: tuple[str, ...]) -> Column:
+    """In scope for one of the ``known`` labels, out of scope for any other and for null."""
+    return F.when(F.coalesce(label.isin(*known), F.lit(False)), KNOWN).otherwise(UNKNOWN)
+
+
+def category_correct(scope: Column, correct: Column) -> Column:
+    """Whether the label is right, null for requests out of scope, which have no right one; an unknown label is wrong."""
+    return F.when(scope == KNOWN, F.coalesce(correct, F.lit(False)))
+
+
 def threshold_candidates(rows: DataFrame, score: str = "score", digits: int = 6) -> DataFrame:
     """Every threshold that decides differently: ``threshold, known_below, unknown_below``.
 

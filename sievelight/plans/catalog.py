@@ -119,15 +119,22 @@ def stratified_split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate records of different splits."""
+    """Near-duplicate classes of records of different splits."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "records"))
 
 
+@query
+def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each record, and how many near-duplicates it has in other splits."""
+    records = table(spark, sf_dir, "records")
+    return near_duplicates.near_duplicate_links(near_duplicates.near_duplicates(records), records)
+
+
 @query
 def near_duplicate_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate pairs counted by pair of splits."""
     records = _labelled(spark, sf_dir)
-    return near_duplicates.near_duplicate_rollup(near_duplicates.near_duplicates(records), records)
+    return near_duplicates.near_duplicate_rollup(near_duplicates.near_duplicates(records).persist(), records)
 
 
 @query
@@ -213,10 +220,40 @@ def prediction_alignment_violations(spark: SparkSession, sf_dir: str) -> DataFra
     return compare.alignment_violations(table(spark, sf_dir, "predictions"), LEFT, RIGHT)
 
 
+@query
+def planted_alignment_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same check with faults put in: rows of the second approach moved on, relabelled, changed and given twice."""
+    rows = table(spark, sf_dir, "predictions")
+    second, place = F.col("approach") == RIGHT, F.col("row_index")
+    shifted = rows.withColumns(
+        {
+            "row_index": F.when(second & (place % 11 == 1), place + 1_000_000_000).otherwise(place),
+            "actual": F.when(second & (place % 11 == 2), F.lit("other")).otherwise(F.col("actual")),
+            "text": F.when(second & (place % 11 == 3), F.concat("text", F.lit(" "))).otherwise(F.col("text")),
+            "correct": F.when(second & (place % 11 == 4), ~F.col("correct")).otherwise(F.col("correct")),
+        }
+    )
+    return compare.alignment_violations(shifted.unionByName(shifted.where(second & (place % 11 == 5))), LEFT, RIGHT)
+
+
+@query
+def checkpoint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of the predictions, and rows in which they differ from the test records they were made for."""
+    test = _labelled(spark, sf_dir).where("source_split = 'test'")
+    first = test.groupBy(F.col("source_index").alias("row_index")).agg(F.min_by(F.struct("text", F.col("category").alias("actual")), "record_id").alias("r"))
+    return compare.checkpoint_violations(table(spark, sf_dir, "predictions"), first.select("row_index", "r.*"))
+
+
+@query
+def support_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the predictions whose support isn't the usual one."""
+    return compare.support_violations(table(spark, sf_dir, "predictions"))
+
+
 @query
 def correctness_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that both, one or none of the approaches have right."""
-    return compare.correctness_overlap(table(spark, sf_dir, "predictions"), LEFT, RIGHT)
+    """Rows that both, one or none of the approaches have right, and their accuracies."""
+    return rounded(compare.correctness_overlap(table(spark, sf_dir, "predictions"), LEFT, RIGHT), "left_accuracy", "right_accuracy")
 
 
 @query
@@ -225,6 +262,12 @@ def outcome_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.outcome_examples(table(spark, sf_dir, "predictions"), LEFT, RIGHT)
 
 
+@query
+def showcase_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of each outcome, with distinct labels."""
+    return compare.showcase_examples(table(spark, sf_dir, "predictions"), LEFT, RIGHT)
+
+
 @query
 def class_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 of both approaches for each label, and the ranks of the advantages."""
@@ -287,9 +330,9 @@ def paired_difference_ci_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answer of the service to each predicted row."""
-    found = requests.classify_requests(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "routes"))
-    return found.select("approach", "row_index", "status_code", "category", "priority", "team")
+    """Answer of the service to each predicted row, where the model reads 120 characters."""
+    found = requests.classify_requests(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "routes"), readable=120)
+    return found.select("approach", "row_index", "status_code", "category", "priority", "team", "routing_policy")
 
 
 @query
@@ -298,6 +341,23 @@ def route_coverage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.route_violations(table(spark, sf_dir, "routes"), _labelled(spark, sf_dir).select("category").distinct())
 
 
+@query
+def planted_route_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same check with the routes of labels from m on left out, and those up to c spoilt."""
+    routes = table(spark, sf_dir, "routes").where("category < 'm'").withColumns(
+        {"priority": F.when(F.col("category") < "b", "soon").otherwise(F.col("priority")), "team": F.when(F.col("category") >= "c", F.col("team"))}
+    )
+    every = routes.unionByName(routes.where("category < 'd'")).unionByName(routes.where("category < 'c'").withColumn("category", F.concat(F.lit("no_"), "category")))
+    return requests.route_violations(every, _labelled(spark, sf_dir).select("category").distinct())
+
+
+@query
+def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of the train and validation records, in order."""
+    records = _labelled(spark, sf_dir)
+    return requests.label_names(records.where("source_split = 'train'"), records.where("source_split = 'validation'"))
+
+
 @query
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests accepted or refused by split; documents' texts reach the limit."""
@@ -328,10 +388,13 @@ def sequence_length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole seconds from receipt to ingestion for each source, interpolated."""
+    """Whole seconds from receipt to ingestion for each source, interpolated, and records a second from first to last."""
     seconds = F.expr("floor((unix_micros(ingested_at) - unix_micros(received_at)) / 1000000)")
     rows = table(spark, sf_dir, "records").withColumn("seconds", seconds)
-    return rounded(metrics.interpolated_percentiles(rows, "seconds", "source", {"p50": 0.5, "p95": 0.95}), "p50", "p95")
+    found = metrics.interpolated_percentiles(rows, "seconds", "source", {"p50": 0.5, "p95": 0.95})
+    speed = metrics.throughput(rows, "received_at", "ingested_at", "source")
+    joined = found.join(speed, F.col("source").eqNullSafe(F.col("by"))).drop("by")
+    return rounded(joined, "p50", "p95").withColumn("per_second", F.round("per_second", 9))
 
 
 @query
@@ -346,6 +409,21 @@ def probe_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.probe_violations(table(spark, sf_dir, "robustness_probes"), table(spark, sf_dir, "routes"), "project_made_synthetic")
 
 
+@query
+def planted_probe_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same check, also on the size of groups, on probes that are spoilt by the number in their id."""
+    spoilt, given = F.right("id", F.lit(3)).cast("int") % 9, table(spark, sf_dir, "robustness_probes")
+    changes = {
+        "probe_group": F.when(spoilt == 0, F.lit("medium")).otherwise(F.col("probe_group")),
+        "text": F.when(spoilt == 1, F.lit(" \u2003")).otherwise(F.col("text")),
+        "source": F.when(spoilt == 2, F.lit("web")).otherwise(F.col("source")),
+        "expected_category": F.when(spoilt == 3, F.lit(None)).when(spoilt == 4, F.lit("nothing")).otherwise(F.col("expected_category")),
+        "acceptable_categories": F.when(spoilt == 5, F.array(F.lit("nothing"))).when(spoilt == 6, F.array().cast("array<string>")).otherwise(F.col("acceptable_categories")),
+    }
+    rows = given.withColumns(changes)
+    return probes.probe_violations(rows.unionByName(rows.where(spoilt == 7)), table(spark, sf_dir, "routes"), "project_made_synthetic", per_group=200)
+
+
 def _word_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each probe the label most words of whose name it holds; null without any."""
     words = table(spark, sf_dir, "routes").select("category", F.explode(F.array_distinct(F.split("category", "_"))).alias("word"))
@@ -356,15 +434,34 @@ def _word_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "robustness_probes").select("id").join(best, "id", "left").select("id", F.col("best.category").alias("predicted"))
 
 
-@query
-def robustness_group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the majority label and of votes by label words, for each group of probes."""
+def _scored_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "robustness_probes")
     chosen = F.broadcast(metrics.majority_labels(_train(spark, sf_dir)).where("chosen").select(F.col("label").alias("predicted")))
     majority = given.select("id", F.lit("majority").alias("approach")).crossJoin(chosen).withColumn("label_valid", F.lit(True))
     voted = _word_votes(spark, sf_dir).select("id", F.lit("word_votes").alias("approach"), "predicted", F.col("predicted").isNotNull().alias("label_valid"))
-    scored = probes.scored_probes(given, majority.unionByName(voted))
-    return rounded(probes.probe_scores(scored), "success_rate")
+    return probes.scored_probes(given, majority.unionByName(voted))
+
+
+@query
+def robustness_group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the majority label and of votes by label words, for each group of probes."""
+    return rounded(probes.probe_scores(_scored_probes(spark, sf_dir)), "success_rate")
+
+
+@query
+def failed_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes on which the majority label or the votes miss what their group asks for."""
+    return probes.failed_probes(_scored_probes(spark, sf_dir))
+
+
+@query
+def probe_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the votes name each probe's label; null for probes out of scope, which have none."""
+    rows = table(spark, sf_dir, "robustness_probes").join(_word_votes(spark, sf_dir), "id")
+    known = tuple(g for g in probes.GROUPS if g != scope.UNKNOWN)
+    side = scope.scope_of(F.col("probe_group"), known)
+    right = F.array_contains("acceptable_categories", F.col("predicted"))
+    return rows.select("id", side.alias("scope"), scope.category_correct(side, right).alias("category_correct"))
 
 
 def _train_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -81,6 +81,52 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+REPORT = "metrics struct<per_class:map<string,struct<precision:double,recall:double,f1:double,support:long>>>"
+
+
+def read_report_labels(spark: SparkSession, path: str, count: int | None = None) -> list[str]:
+    """The labels of a report's ``metrics.per_class``, in order; a ValueError if there are none, or not ``count``."""
+    rows = spark.read.schema(REPORT).json(path, multiLine=True).select(F.array_sort(F.map_keys("metrics.per_class")).alias("labels")).collect()
+    labels = list(rows[0].labels or []) if rows else []
+    if not labels or count is not None and len(labels) != count:
+        raise ValueError(f"the report has {len(labels)} labels")
+    return labels
+
+
+PROBE = "id string, group string, text string, expected_category string, acceptable_categories array<string>, source string"
+PROBE_FIELDS = [field.split()[0] for field in PROBE.split(", ")]
+
+
+def read_probes(spark: SparkSession, path: str) -> DataFrame:
+    """Probes of a JSON Lines file, with ``probe_group`` for its ``group`` and ``keys_valid``: exactly the known fields.
+
+    Blank lines are skipped; a line that isn't JSON has null fields and invalid keys.
+    """
+    lines = spark.read.text(path).where(r"value rlike '\\S'")
+    keys = F.array_sort(F.json_object_keys("value"))
+    parsed = lines.select(F.from_json("value", PROBE).alias("probe"), F.coalesce(keys == F.array(*map(F.lit, sorted(PROBE_FIELDS))), F.lit(False)).alias("keys_valid"))
+    return parsed.select("probe.*", "keys_valid").withColumnRenamed("group", "probe_group")
+
+
+def read_external(spark: SparkSession, path: str, sha256: str, groups: dict[str, str], per_label: int = 30) -> DataFrame:
+    """``text, label, group`` of the pinned outside set, a JSON document with ``[text, label]`` pairs under ``test``.
+
+    Only labels of ``groups`` are taken. A ValueError if the file has another hash, or a label another number of
+    rows than ``per_label``; labels bound that check.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha256"), F.col("content").cast("string").alias("text"))
+    if [row.sha256 for row in files.select("sha256").collect()] != [sha256]:
+        raise ValueError("the file isn't the pinned one")
+    pair = F.explode(F.from_json("text", "test array<array<string>>")["test"])
+    named = F.create_map(*(F.lit(x) for entry in groups.items() for x in entry))
+    rows = files.select(pair.alias("pair")).select(F.get("pair", F.lit(0)).alias("text"), F.get("pair", F.lit(1)).alias("label"))
+    chosen = rows.where(F.col("label").isin(*groups)).withColumn("group", named[F.col("label")])
+    counts = {row.label: row["count"] for row in chosen.groupBy("label").count().collect()}
+    if wrong := sorted(label for label in groups if counts.get(label) != per_label):
+        raise ValueError(f"not {per_label} rows: {', '.join(wrong)}")
+    return chosen
+
+
 def artifact_rows(spark: SparkSession, path: str) -> int:
     """Records of an artifact: rows of a CSV file, or lines that aren't blank."""
     return read_csv(spark, path).count() if path.endswith(".csv") else spark.read.text(path).where(r"value rlike '\\S'").count()

@@ -14,6 +14,7 @@ def plain(value):
 def oracle_rows(sql: str, sf_dir: str):
     connection = duckdb.connect()
     connection.execute("SET TimeZone = 'UTC'")
+    connection.execute("SET max_temp_directory_size = '2GB'")
     for name in TABLES:
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     found = connection.execute(sql)

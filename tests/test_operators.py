@@ -1,19 +1,19 @@
 """Operators without SQL against brute force, and the cases of nulls, empty tables and repeated rows."""
 
+import hashlib
 import json
-import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.functions.structured import parse_outputs, read_output
-from sievelight.functions.text import canonical_category, canonical_value, comparison_value
+from sievelight.functions.structured import compact_response, parse_outputs, read_output
+from sievelight.functions.text import canonical_category, canonical_value, character_ngrams, comparison_value, fixed_places, percent, titled
 from sievelight.operators import compare, dedup, features, metrics, near_duplicates, probes, requests, scope, split
 from sievelight.plans.catalog import QUERIES
 from sievelight.sources import readers, sinks
-from sievelight.streaming.outputs import received_by_window
+from sievelight.streaming.outputs import first_deliveries, received_by_window, score_stream
 
 RECORD = "record_id long, text string, category string, source_split string, source_index long"
 
@@ -36,10 +36,38 @@ def brute_pairs(rows, threshold=0.9):
     return found
 
 
+def of_classes(rows, pairs):
+    """Pairs of records as pairs of the smallest ids of equal comparison texts of a split, with the numbers of both."""
+    split, form = {r.record_id: r.source_split for r in rows}, {r.record_id: comparison_value(r.text) for r in rows if r.text}
+    ids = defaultdict(set)
+    for i, f in form.items():
+        ids[split[i], f].add(i)
+    classes = {i: ids[split[i], f] for i, f in form.items()}
+    return {(min(classes[a]), min(classes[b]), len(classes[a]), len(classes[b])) for a, b in pairs}
+
+
+def found_pairs(frame):
+    return {(r.left_id, r.right_id, r.left_records, r.right_records) for r in frame.collect()}
+
+
 def test_near_duplicates_match_brute_force(spark, sf_dir):
     records = spark.read.parquet(f"{sf_dir}/records.parquet")
-    found = near_duplicates.near_duplicates(records)
-    assert {(r.left_id, r.right_id) for r in found.collect()} == brute_pairs(records.collect())
+    rows = records.collect()
+    wanted = brute_pairs(rows)
+    pairs = near_duplicates.near_duplicates(records).persist()
+    assert found_pairs(pairs) == of_classes(rows, wanted)
+    split, label = {r.record_id: r.source_split for r in rows}, {r.record_id: r.category for r in rows}
+    counts = defaultdict(list)
+    for a, b in wanted:
+        counts[split[a], split[b]].append((a, b))
+    rollup = {(r.left_split, r.right_split): (r.pairs, r.left_records, r.right_records, r.same_label, r.other_label) for r in near_duplicates.near_duplicate_rollup(pairs, records).collect()}
+    assert rollup == {
+        key: (len(own), len({a for a, _ in own}), len({b for _, b in own}), sum(label[a] == label[b] for a, b in own), sum(label[a] != label[b] for a, b in own))
+        for key, own in counts.items()
+    }
+    links = Counter(i for pair in wanted for i in pair)
+    assert {r.id: r.links for r in near_duplicates.near_duplicate_links(pairs, records).collect()} == {r.record_id: links[r.record_id] for r in rows if r.text and comparison_value(r.text)}
+    assert {r.source_split: r.records for r in near_duplicates.flagged_records(pairs).collect()} == Counter(split[i] for i in links)
 
 
 def test_near_duplicates_of_low_threshold_and_edge_cases(spark):
@@ -48,8 +76,9 @@ def test_near_duplicates_of_low_threshold_and_edge_cases(spark):
     frame = spark.createDataFrame(rows, RECORD)
     for threshold in (0.5, 0.75, 1.0):
         found = near_duplicates.near_duplicates(frame, threshold)
-        assert {(r.left_id, r.right_id) for r in found.collect()} == brute_pairs(frame.collect(), threshold)
-    assert near_duplicates.near_duplicates(frame.where("false")).count() == 0
+        assert found_pairs(found) == of_classes(frame.collect(), brute_pairs(frame.collect(), threshold))
+    none = near_duplicates.near_duplicates(frame.where("false"))
+    assert none.count() == near_duplicates.near_duplicate_rollup(none, frame.where("false")).count() == near_duplicates.near_duplicate_links(none, frame.where("false")).count() == 0
 
 
 @pytest.mark.parametrize("threshold", [0.6, 0.9, 0.97])
@@ -268,3 +297,147 @@ def test_lengths_and_padding(spark):
     faults = spark.createDataFrame([([1, 2, 3], [1, 2]), ([1, 2, 3], [2]), ([1, 2, 3, 4], [1]), ([1], None), ([], [])], "tokens array<int>, prompt array<int>")
     assert [r[0] for r in faults.select(features.example_fault(F.col("tokens"), F.col("prompt"), 3)).collect()] == [None, "prompt", "too_long", "prompt", None]
     assert found[0].p == [1, 2, 3, 0, 0, 0, 0, 0] and found[0].l == [-100, -100, 3] and found[1].p == [] and found[1].l == []
+
+
+def test_pieces_of_short_and_null_texts(spark):
+    frame = spark.createDataFrame([("",), ("a",), ("ab",), ("aaaaa",), (None,)], "form string")
+    assert [r.p for r in frame.select(character_ngrams("form").alias("p")).collect()] == [["  "], [" a "], [" ab", "ab "], [" aa", "aaa", "aa "], None]
+
+
+def test_shown_numbers_and_names(spark):
+    frame = spark.createDataFrame([(0.12345, "card_lost"), (None, None)], "x double, n string")
+    found = frame.select(fixed_places("x", 3).alias("f"), percent("x").alias("p"), titled("n").alias("t"), compact_response(F.col("n")).alias("c")).collect()
+    assert tuple(found[0]) == ("0.123", "12.35%", "Card Lost", '{"category":"card_lost"}') and tuple(found[1])[:3] == (None, None, None)
+
+
+def test_checkpoints_and_supports(spark):
+    given = spark.createDataFrame([(i, f"t{i}", "a") for i in range(5)], "row_index long, text string, actual string")
+    rows = [("m", 0, "t0", "a"), ("m", 2, "t2", "b"), ("m", 3, "x", "a"), ("m", 3, "x", "a"), ("m", 9, "t9", "c"), ("n", 0, "t0", "a")]
+    made = spark.createDataFrame(rows, "approach string, row_index long, text string, actual string")
+    found = {tuple(r) for r in compare.checkpoint_violations(made, given).collect()}
+    assert found == {("m", 2, "gap"), ("m", 2, "actual"), ("m", 3, "text"), ("m", 3, "repeated"), ("m", 9, "gap"), ("m", 9, "unknown")}
+    assert compare.checkpoint_violations(made.where("false"), given).count() == 0
+    assert {tuple(r) for r in compare.support_violations(made).collect()} == {("m", "a", 3, 1)}
+
+
+def test_showcase_prefers_new_labels(spark):
+    sides = [("x", True, True), ("x", True, False), ("y", True, False), ("x", False, True), ("y", False, False), ("y", False, False)]
+    rows = [(name, i, "t", actual, "p", flag, True) for i, (actual, *flags) in enumerate(sides) for name, flag in zip("lr", flags)]
+    found = {tuple(r) for r in compare.showcase_examples(spark.createDataFrame(rows, PREDICTION), "l", "r").collect()}
+    assert found == {("both", "x", 0), ("left_only", "y", 2), ("right_only", "x", 3), ("neither", "y", 4)}
+    assert compare.showcase_examples(spark.createDataFrame([], PREDICTION), "l", "r").count() == 0
+
+
+def test_answers_of_the_service(spark):
+    routes = spark.createDataFrame([("a", "low", "t")], "category string, priority string, team string")
+    asked = spark.createDataFrame([("x", "a"), ("y" * 50, "a"), ("y" * 50, "q"), ("y" * 3000, "a"), ("x", None)], "text string, predicted string")
+    codes = [r.status_code for r in requests.classify_requests(asked, routes, readable=40).collect()]
+    assert sorted(codes) == [200, 413, 413, 422, 422]
+    assert {r.routing_policy for r in requests.classify_requests(asked, routes).where("status_code = 200").collect()} == {"provisional_project_mapping"}
+    assert {r.status_code for r in requests.classify_requests(asked, routes, enabled=False).collect()} == {503}
+    assert {(r.suggestion_status, r.suggested) for r in requests.suggestions(asked, routes, enabled=False).collect()} == {("disabled", None)}
+    bodies = spark.createDataFrame([('{"text": " hi "}',), ('{"text": "hi", "more": 1}',), ('{"text": null}',), ("hi",), ('{"text": " "}',), (None,)], "body string")
+    assert [r.s for r in bodies.select(requests.body_status(F.col("body")).alias("s")).collect()] == ["accepted", "invalid", "invalid", "invalid", "empty", "invalid"]
+    sha = requests.instruction(routes).first().sha256
+    assert requests.instruction_violations(routes, 1, sha).count() == 0
+    assert {r.rule for r in requests.instruction_violations(routes, 2, "x").collect()} == {"labels", "sha256"}
+    names = requests.label_names(routes, spark.createDataFrame([("b",), ("a",), (None,)], "category string"))
+    assert {tuple(r) for r in names.collect()} == {("a", 1), ("b", 2)}
+
+
+def test_scopes_and_correctness(spark):
+    frame = spark.createDataFrame([("a", True), ("a", None), ("z", True), (None, False)], "label string, correct boolean")
+    side = scope.scope_of(F.col("label"), ("a", "b"))
+    found = frame.select(side.alias("s"), scope.category_correct(side, F.col("correct")).alias("c")).collect()
+    assert [tuple(r) for r in found] == [("in_scope", True), ("in_scope", False), ("out_of_scope", None), ("out_of_scope", None)]
+
+
+def test_limits_and_finite_metrics(spark):
+    frame = spark.createDataFrame([(i, str(v)) for i, v in enumerate([1, "nan", "Infinity", "x", -2.5])] + [(9, None)], "name int, value string")
+    assert [tuple(r) for r in metrics.finite_metrics(frame).orderBy("name").collect()] == [(0, 1.0), (4, -2.5)]
+    assert [r.name for r in metrics.checked_limit(frame, 2, ["name"]).collect()] == [0, 1] and metrics.checked_limit(frame, None, ["name"]).count() == 6
+    with pytest.raises(ValueError):
+        metrics.checked_limit(frame, 0, ["name"])
+
+
+def test_group_sizes_of_probes(spark):
+    kind = "id string, probe_group string, text string, expected_category string, acceptable_categories array<string>, source string"
+    rows = [(f"{g}{i}", g, "t", "a" if g in ("short", "long") else None, ["a"] if g != "out_of_scope" else [], "s") for g in probes.GROUPS for i in range(2)][:-1]
+    labels = spark.createDataFrame([("a",)], "category string")
+    frame = spark.createDataFrame(rows, kind)
+    assert {tuple(r) for r in probes.probe_violations(frame, labels, "s", per_group=2).collect()} == {("out_of_scope", "group_size")}
+    predicted = spark.createDataFrame([(r[0], "m", "a") for r in rows], "id string, approach string, predicted string")
+    assert {r.id for r in probes.failed_probes(probes.scored_probes(frame, predicted)).collect()} == {"out_of_scope0"}
+
+
+def test_reports_matrices_and_prediction_files(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "t,1", "a", "a", True), (1, 'q"', "a", "b", None)], "row_index long, text string, actual string, predicted string, correct boolean")
+    sinks.write_predictions(rows, str(tmp_path / "p"))
+    read = readers.read_predictions(spark, str(tmp_path / "p"), "m", "csv")
+    assert {(r.row_index, r.text, r.correct, r.label_valid, r.json_valid) for r in read.collect()} == {(0, "t,1", True, True, None), (1, 'q"', False, True, None)}
+    model = spark.createDataFrame([(0, "t", "a", "{}", True, True, False, "z", False)], readers.MODEL)
+    sinks.write_json_lines(model.withColumn("raw_output", F.lit(None).cast("string")), str(tmp_path / "m"))
+    assert '"raw_output":null' in spark.read.text(str(tmp_path / "m")).first().value
+    found = readers.read_predictions(spark, str(tmp_path / "m"), "n", "jsonl").first()
+    assert (found.predicted, found.json_valid) == ("__invalid_or_disallowed__", True)
+    assert readers.artifact_rows(spark, str(tmp_path / "m")) == 1
+    with pytest.raises(ValueError):
+        readers.read_predictions(spark, str(tmp_path / "m"), "n", "xml")
+    (tmp_path / "w.csv").write_text("actual\\predicted,a,b.c\na,1,2\nb.c,0,4\n")
+    matrix = readers.read_confusion(spark, str(tmp_path / "w.csv"))
+    assert {tuple(r) for r in matrix.collect()} == {("a", "a", 1), ("a", "b.c", 2), ("b.c", "a", 0), ("b.c", "b.c", 4)}
+    assert readers.artifact_rows(spark, str(tmp_path / "w.csv")) == 2
+    (tmp_path / "r.json").write_text(json.dumps({"metrics": {"per_class": {"b": {"f1": 1}, "a": {"f1": 0.5}}}}, indent=1))
+    assert readers.read_report_labels(spark, str(tmp_path / "r.json"), 2) == ["a", "b"]
+    assert readers.read_report(spark, str(tmp_path / "r.json")).count() == 1
+    with pytest.raises(ValueError):
+        readers.read_report_labels(spark, str(tmp_path / "r.json"), 77)
+    with pytest.raises(ValueError):
+        readers.require_rows(rows.where("false"))
+    report = sinks.markdown_report("Scores", {"All": rows.select("row_index"), "Note": "a line"})
+    assert report.startswith("# Scores\n") and "| row_index |" in report and report.endswith("## Note\n\na line\n")
+
+
+def test_probe_and_external_files(spark, tmp_path):
+    good = {"id": "1", "group": "short", "text": "t", "expected_category": None, "acceptable_categories": [], "source": "s"}
+    lines = [json.dumps(good), "", json.dumps(good | {"more": 1}), json.dumps({k: v for k, v in good.items() if k != "source"}), "{"]
+    (tmp_path / "p.jsonl").write_text("\n".join(lines))
+    assert [r.keys_valid for r in readers.read_probes(spark, str(tmp_path / "p.jsonl")).collect()] == [True, False, False, False]
+    content = json.dumps({"test": [["one", "a"], ["two", "a"], ["three", "b"], ["four", "b"], ["five", "c"]], "train": [["x", "a"]]})
+    (tmp_path / "e.json").write_text(content)
+    sha = hashlib.sha256(content.encode()).hexdigest()
+    found = readers.read_external(spark, str(tmp_path / "e.json"), sha, {"a": "money", "b": "other"}, 2)
+    assert {tuple(r) for r in found.collect()} == {("one", "a", "money"), ("two", "a", "money"), ("three", "b", "other"), ("four", "b", "other")}
+    for wrong in ({"path": "e.json", "sha256": "0" * 64, "groups": {"a": "money"}}, {"path": "e.json", "sha256": sha, "groups": {"c": "money"}}):
+        with pytest.raises(ValueError):
+            readers.read_external(spark, str(tmp_path / wrong["path"]), wrong["sha256"], wrong["groups"], 2)
+
+
+def test_near_duplicate_files_are_ordered(spark, tmp_path):
+    rows = [(1, "where is my new card", "a", "train", 0), (2, "where is my new cards", "b", "test", 5), (3, "please close my old account", "c", "train", 1), (4, "please close my old accounts now", "c", "validation", 2)]
+    frame = spark.createDataFrame(rows, RECORD)
+    sinks.write_near_duplicates(near_duplicates.near_duplicates(frame, 0.8), frame, str(tmp_path / "n"))
+    found = readers.read_csv(spark, str(tmp_path / "n")).collect()
+    assert found[0].asDict().keys() == {f"{m}_{c}" for m in ("left", "right") for c in ("split", "index", "category", "text")} | {"similarity"}
+    assert [(r.left_index, r.right_split, r.right_category) for r in found] == [("0", "test", "b"), ("1", "validation", "c")]
+
+
+def test_scoring_goes_on_where_it_stopped(spark, tmp_path):
+    kind = "id long, text string"
+    labels = spark.createDataFrame([("card",)], "category string")
+    score = lambda batch: batch.withColumn("raw_output", F.format_string('{"category":"%s"}', "text"))
+    where = [str(tmp_path / x) for x in ("in", "out", "log")]
+    for rows in ([(1, "card"), (2, "x")], [(3, "card")]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(where[0])
+        score_stream(spark.readStream.schema(kind).parquet(where[0]), score, labels, where[1], where[2]).awaitTermination(120)
+    found = spark.read.parquet(where[1])
+    assert {(r.id, r.label_valid, r.batch) for r in found.collect()} == {(1, True, 0), (2, False, 0), (3, True, 1)}
+
+
+def test_streams_drop_second_deliveries(spark, tmp_path):
+    kind = "k long, received_at timestamp"
+    spark.createDataFrame([(1, None), (1, None)], kind).select("k", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, k)").alias("received_at")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = first_deliveries(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), ["k"])
+    job = stream.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    job.awaitTermination(120)
+    assert spark.table("firsts").count() == 1

@@ -230,15 +230,15 @@ probed AS (
   FROM given
 )"""
 
-_FORMS = f"""
+FORMS = f"""
 forms AS (
-  SELECT record_id AS id, source_split AS split, trim(regexp_replace(lower(category), '[^a-z0-9]+', '_', 'g'), '_') AS label, {_compared("text")} AS form
+  SELECT record_id AS id, source_split AS split, trim(regexp_replace(lower(category), '[^a-z0-9]+', '_', 'g'), '_') AS label, category AS stored, {_compared("text")} AS form
   FROM records WHERE text IS NOT NULL AND source_split IN ('train', 'validation', 'test')
 ),
 classes AS (SELECT split, form, min(id) AS class_id, count(*) AS n FROM forms WHERE form <> '' GROUP BY ALL)"""
 
 #: Texts at a Dice similarity of 0.9 share a piece among the rarest of each: all but 9/11 of its pieces, and one.
-_SIMILAR = f"""
+SIMILAR = f"""
 sets AS MATERIALIZED (SELECT form, {_pieces("form")} AS pieces FROM (SELECT DISTINCT form FROM classes)),
 posts AS (SELECT form, len(pieces) AS size, unnest(pieces) AS piece FROM sets),
 rare AS MATERIALIZED (
@@ -254,7 +254,7 @@ alike AS MATERIALIZED (
 )"""
 
 _NEAR = f"""
-{_FORMS}, {_SIMILAR},
+{FORMS}, {SIMILAR},
 sides(split, place) AS (VALUES ('train', 1), ('validation', 2), ('test', 3)),
 both_ways AS (SELECT f, g, similarity FROM alike UNION ALL SELECT g, f, similarity FROM alike),
 pairs AS MATERIALIZED (

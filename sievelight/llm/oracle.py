@@ -1,9 +1,45 @@
 """SQL for DuckDB that gives the same rows as the queries.
 
-The others have none: SQL has neither NFKC nor a tokenizer, and pairs of similar records or the strict
-reading of payloads are too slow or too loose in it. They are tested against brute force.
+The others have none: SQL has neither a tokenizer nor the list of confusable letters, and the draws of samples
+and mixes are their own. They are tested against brute force.
 """
 
+from sievelight.plans.oracle import FORMS, SIMILAR
+
+#: Equal texts and those at the threshold, each way.
+_OVERLAPS = f"""
+{FORMS}, {SIMILAR},
+met AS (
+  SELECT DISTINCT form AS f, form AS g, 1.0::DOUBLE AS similarity FROM classes
+  UNION ALL SELECT f, g, similarity FROM alike WHERE similarity >= 0.9 UNION ALL SELECT g, f, similarity FROM alike WHERE similarity >= 0.9
+),
+pairs AS (
+  SELECT a.id AS held, b.id AS train, a.split, a.label = b.label OR a.label IS NULL AND b.label IS NULL AS same, a.stored IS NOT DISTINCT FROM b.stored AS same_stored, similarity
+  FROM met JOIN forms a ON a.form = f JOIN forms b ON b.form = g WHERE a.split <> 'train' AND b.split = 'train'
+)"""
+
+#: Strict objects; of a field named twice in any letter case the last holds.
+_PAYLOADS = """
+objects AS (
+  SELECT raw_id, payload FROM raw_records
+  WHERE json_valid(payload) AND ltrim(payload, ' \t\r\n' || chr(10) || chr(13) || chr(9)) LIKE '{%'
+    AND NOT regexp_matches(payload, '[:,\\[]\\s*-?(NaN|Infinity|nan|inf)') AND NOT regexp_matches(payload, ',\\s*[}\\]]\\s*$')
+),
+fields AS (
+  SELECT raw_id, lower(j.key) AS name, CASE WHEN j.type = 'NULL' THEN NULL WHEN j.type = 'VARCHAR' THEN j.value ->> '$' ELSE j.value::VARCHAR END AS value, j.rowid AS place
+  FROM objects, json_each(payload) j
+),
+named AS (
+  SELECT raw_id, max_by(coalesce(value, chr(0)), place) FILTER (name = 'text') AS text, max_by(coalesce(value, chr(0)), place) FILTER (name = 'category') AS category,
+    coalesce(max_by(coalesce(value, ''), place) FILTER (name = 'source'), '') AS source
+  FROM fields GROUP BY raw_id
+),
+keyed AS (
+  SELECT raw_id, list_transform([text, category, source], lambda x: regexp_extract_all(replace(replace(lower(x), 'ß', 'ss'), 'ς', 'σ'), '[\\p{L}\\p{N}]+')) AS key
+  FROM named WHERE text <> chr(0) AND category <> chr(0)
+),
+groups AS (SELECT raw_id, min(raw_id) OVER (PARTITION BY key) AS kept FROM keyed WHERE len(key[1]) > 0)"""
+
 _WORDS = """
 words AS (
   SELECT record_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM records
@@ -42,6 +78,13 @@ targets AS (
 )"""
 
 ORACLE_SQL: dict[str, str] = {
+    "p1_found": f"WITH {_OVERLAPS} SELECT DISTINCT least(held, train) AS left_id, greatest(held, train) AS right_id FROM pairs",
+    "p1_report": f"""WITH {_OVERLAPS} SELECT split AS source_split, source, count(DISTINCT held) AS flagged, count(*) AS pairs,
+      count_if(similarity = 1)::BIGINT AS equal_pairs, count_if(similarity < 1)::BIGINT AS near_pairs,
+      count_if(same_stored)::BIGINT AS same_category, count_if(NOT same_stored)::BIGINT AS other_category
+      FROM pairs JOIN (SELECT record_id AS held, source FROM records) USING (held) GROUP BY ALL""",
+    "p5_found": f"WITH {_PAYLOADS} SELECT kept AS kept_id, raw_id AS copy_id FROM groups WHERE raw_id <> kept",
+    "p5_groups": f"WITH {_PAYLOADS} SELECT kept AS kept_id, count(*) AS copies FROM groups GROUP BY kept",
     "p2_found": f"WITH {_WORDS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p2_terms": f"WITH {_WORDS} SELECT term, occurrences, records, mark FROM marked",
     "p2_ngrams": f"""WITH {_GRAMS} SELECT term, words, occurrences, records,

@@ -23,6 +23,8 @@ from sievelight.operators.metrics import per_class, ratio
 
 #: Draws that are spread from one row.
 DRAWS_AT_ONCE = 4096
+#: Ranges of numbers in a class.
+RANGES = 256
 
 
 def hash_number(*parts: Column) -> Column:
@@ -53,13 +55,17 @@ def replicate_counts(cells: DataFrame, approaches: list[str], replicates: int, s
     rounds = spark.range(replicates).select(F.col("id").alias("replicate"))
     # In two steps, so that no row ever holds as many numbers as its class has rows.
     runs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("support") - 1, F.lit(DRAWS_AT_ONCE).cast("long"))).alias("first")
-    spread = classes.select("actual", "support", runs).select(
-        "*", F.explode(F.sequence("first", F.least(F.col("first") + DRAWS_AT_ONCE, "support") - 1)).alias("j")
-    )
-    draws = spread.select("actual", "support", "j").crossJoin(F.broadcast(rounds))
+    spread = rounds.crossJoin(F.broadcast(classes)).select("replicate", "actual", "support", runs)
+    draws = spread.select("replicate", "actual", "support", F.explode(F.sequence("first", F.least(F.col("first") + DRAWS_AT_ONCE, "support") - 1)).alias("j"))
     number = hash_number(F.lit(str(seed)), F.col("replicate").cast("string"), F.col("actual"), F.col("j").cast("string")) % F.col("support")
-    picks = draws.groupBy("replicate", "actual", number.alias("number")).agg(F.count("*").alias("times"))
-    hit = picks.join(F.broadcast(cells.drop("n", "support")), "actual").where("number >= start and number < end")
+    # Cells are looked up by ranges of numbers, so that a draw meets few of its class.
+    drawn = draws.select("replicate", "actual", number.alias("number"), F.expr(f"greatest(1, support div {RANGES})").alias("step"))
+    picks = drawn.select("replicate", "actual", "number", F.expr("number div step").alias("range"))
+    ranged = cells.withColumn("step", F.expr(f"greatest(1, support div {RANGES})")).select(
+        "actual", "start", "end", *(f"p{k}" for k in range(len(approaches))), F.explode(F.expr("sequence(start div step, (end - 1) div step)")).alias("range")
+    )
+    met = picks.join(F.broadcast(ranged), ["actual", "range"]).where("number >= start and number < end")
+    hit = met.groupBy("replicate", "actual", *(f"p{k}" for k in range(len(approaches)))).agg(F.count("*").alias("times"))
     sides = F.explode(F.array(*(F.struct(F.lit(name).alias("approach"), F.col(f"p{k}").alias("predicted")) for k, name in enumerate(approaches))))
     return hit.select("replicate", "actual", "times", sides.alias("side")).groupBy(
         "replicate", "side.approach", "actual", "side.predicted"

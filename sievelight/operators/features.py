@@ -49,7 +49,8 @@ def term_frequencies(rows: DataFrame, key: str, text: str = "text", pattern: str
     """
     chosen = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull())
     words = chosen.select(F.col(key).alias("id"), F.regexp_extract_all(without_accents(F.col(text)), F.lit(pattern), F.lit(0)).alias("words"))
-    routed = words.where(F.size("words") > 0).repartition("id")
+    # As many partitions as are set, since each row becomes many terms only behind the shuffle.
+    routed = words.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").where(F.size("words") > 0)
     pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
     return routed.select("id", F.explode(F.concat("words", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 

@@ -290,7 +290,8 @@ def approach_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = bootstrap.outcome_cells(table(spark, sf_dir, "predictions"), [LEFT, RIGHT])
-    counts = bootstrap.replicate_counts(cells, [LEFT, RIGHT], REPLICATES, SEED)
+    # Read four times by the scores; as large as replicates x pairs of labels.
+    counts = bootstrap.replicate_counts(cells, [LEFT, RIGHT], REPLICATES, SEED).persist()
     return bootstrap.replicate_metrics(counts, table(spark, sf_dir, "routes"))
 
 
@@ -503,11 +504,12 @@ def _split_scope(rows: DataFrame) -> DataFrame:
 def _scope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "robustness_probes").select("id", "probe_group")
     scored = given.join(nearest_training_cosine(spark, sf_dir), "id").join(_word_votes(spark, sf_dir), "id")
-    return _split_scope(scored.select("id", "probe_group", F.col("cosine").alias("score"), F.col("predicted").isNotNull().alias("label_valid")))
+    rows = scored.select("id", "probe_group", F.col("cosine").alias("score"), F.col("predicted").isNotNull().alias("label_valid"))
+    return _split_scope(rows.persist()).persist()
 
 
 def _calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _scope_rows(spark, sf_dir).persist()
+    rows = _scope_rows(spark, sf_dir)
     return rows, scope.threshold_search(rows.where("part = 'calibration'"))
 
 

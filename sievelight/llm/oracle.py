@@ -77,7 +77,22 @@ targets AS (
   FROM sample_targets t LEFT JOIN counts c USING (source_split, category)
 )"""
 
+#: What each target needs, and one more for the largest remainders while rows of the plan's size are missing.
+_QUOTAS = f"""
+{_TARGETS},
+exact AS (
+  SELECT p.*, s.sample_size, p.needed * 10000 - s.sample_size * p.target_bp AS short, short < 0 AS below
+  FROM targets p JOIN (SELECT plan_id, max(sample_size) AS sample_size FROM sample_targets GROUP BY plan_id) s USING (plan_id)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY plan_id, below ORDER BY short, source_split, category) AS place,
+         sample_size - sum(needed) OVER (PARTITION BY plan_id) AS missing
+  FROM exact
+),
+drawn AS (SELECT *, least(needed + (below AND place <= missing)::INT, available)::BIGINT AS drawn FROM ranked)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p4_report": f"WITH {_QUOTAS} SELECT plan_id, source_split, category, target_bp, needed, available, drawn, drawn >= needed AS met FROM drawn",
     "p1_found": f"WITH {_OVERLAPS} SELECT DISTINCT least(held, train) AS left_id, greatest(held, train) AS right_id FROM pairs",
     "p1_report": f"""WITH {_OVERLAPS} SELECT split AS source_split, source, count(DISTINCT held) AS flagged, count(*) AS pairs,
       count_if(similarity = 1)::BIGINT AS equal_pairs, count_if(similarity < 1)::BIGINT AS near_pairs,

@@ -74,9 +74,13 @@ def tfidf_rows(frequencies: DataFrame, idf: DataFrame, *carried: str) -> DataFra
     entry = F.struct("term", ((1.0 + F.log("tf")) * F.col("idf")).alias("weight"), *carried)
     raw = frequencies.join(idf, "term").select("id", entry.alias("entry"))
     rows = raw.groupBy("id").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
-    norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"]))
-    scaled = rows.withColumn("norm", norm)
-    return scaled.select("id", F.transform("entries", lambda e: e.withField("weight", e["weight"] / F.col("norm"))).alias("entries"))
+
+    def scaled(square: Column) -> Column:
+        return F.transform("entries", lambda e: e.withField("weight", e["weight"] / F.sqrt(square)))
+
+    # The length is the aggregate's own variable: as a column, the optimizer would move it into the function of each entry.
+    entries = F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"], scaled)
+    return rows.select("id", entries.alias("entries"))
 
 
 def tfidf_weights(frequencies: DataFrame, idf: DataFrame) -> DataFrame:

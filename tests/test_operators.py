@@ -212,6 +212,24 @@ def test_route_rules_and_answers(spark):
     assert Counter(r.suggestion_status for r in requests.suggestions(asked, labels).collect()) == {"available": 3, "input_too_long": 1, "invalid_model_output": 1}
 
 
+def test_long_texts_have_length_one_in_linear_time(spark):
+    import math
+    import time
+
+    long = " ".join(f"w{k}" for k in range(8000))
+    rows = spark.createDataFrame([(1, long), (2, long), (3, ""), (4, None), (5, "w1 w2 w1")], "id long, text string")
+    counts = features.term_frequencies(rows, "id")
+    began = time.perf_counter()
+    found = features.tfidf_weights(counts, features.inverse_frequencies(counts, rows)).collect()
+    assert time.perf_counter() - began < 60  # the length worked out again for each term would take minutes
+    lengths: dict[int, float] = {}
+    for row in found:
+        lengths[row.id] = lengths.get(row.id, 0.0) + row.weight**2
+    assert lengths.keys() == {1, 2, 5}
+    assert all(math.isclose(x, 1.0) for x in lengths.values())
+    assert sum(row.id == 1 for row in found) == 2 * 8000 - 1
+
+
 def test_cosines_of_rows_with_themselves(spark, sf_dir):
     records = spark.read.parquet(f"{sf_dir}/records.parquet")
     counts = features.term_frequencies(records, "record_id")

@@ -13,21 +13,64 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievelight.functions.text import character_ngrams, comparison_text
-from sievelight.session import cut_lineage
+from sievelight.functions.text import comparison_text
+from sievelight.operators.packed import PACKED, meetings, pack, part_count, routed, unpack
+from sievelight.session import stored
 
+SYMBOLS = 37
 #: Sets of three characters of a-z, 0-9 and the blank.
-MOST_PIECES = 37**3
+MOST_PIECES = SYMBOLS**3
 #: One spare part for so many needed ones.
 SPARE = 4
 #: Words of 64 bits in which the pieces of a text are marked.
-MARKS = 2
+MARKS = 4
+#: Bits of a key and of a text's name in the join; others that share them are told apart when pairs are verified.
+KEY_BITS, NAME_BITS = 48, 40
+#: Keys are joined in passes, one for so many texts up to a number of them, as the files of a pass go before the next.
+PASS_TEXTS, MOST_PASSES = 150_000, 8
+ROWS_AT_ONCE, PAIRS_AT_ONCE, HELD_PAIRS = 512, 1 << 18, 1 << 20
+
+_SYMBOL = np.zeros(256, np.uint32)
+_SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
+_SYMBOL[ord("0") : ord("9") + 1] = np.arange(27, 37)
+
+
+def _piece_hashes() -> np.ndarray:
+    value = np.arange(1, MOST_PIECES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        value = (value ^ value >> np.uint64(shift)) * np.uint64(factor)
+    return value ^ value >> np.uint64(31)
+
+
+PIECE_HASHES = _piece_hashes()
+
+
+def piece_sets(forms: list[str]) -> np.ndarray:
+    """Of each non-empty comparison text its distinct pieces as ``row * MOST_PIECES + piece``, in order."""
+    found = [np.empty(0, np.int64)]
+    for start in range(0, len(forms), ROWS_AT_ONCE):
+        part = forms[start : start + ROWS_AT_ONCE]
+        flat = _SYMBOL[np.frombuffer((" " + "  ".join(part) + " ").encode(), np.uint8)]
+        lengths = np.fromiter(map(len, part), np.int64, len(part)) + 2
+        pieces = (flat[:-2] * np.uint32(SYMBOLS) + flat[1:-1]) * np.uint32(SYMBOLS) + flat[2:]
+        inside = np.ones(len(pieces), bool)
+        ends = np.cumsum(lengths)[:-1]
+        inside[ends - 1] = inside[ends - 2] = False
+        owner = np.repeat(np.arange(len(part), dtype=np.uint32), lengths)[: len(pieces)]
+        keys = (owner * np.uint32(MOST_PIECES) + pieces)[inside]
+        keys.sort()
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        found.append(keys[new].astype(np.int64) + start * MOST_PIECES)
+    return np.concatenate(found)
 
 
 class Signer:
@@ -66,30 +109,83 @@ class Signer:
         np.add.at(content, slot, hashes * np.uint64(0x9E3779B97F4A7C15))
         counts = np.bincount(slot, minlength=len(row))
         part = np.arange(len(row)) - starts[row]
-        # Rows stay together, so the place in a row is the number of its part.
-        kept = np.lexsort((part, counts, row))[part >= self.spare[classes][row]]
-        row, part = row[kept], part[kept]
-        key = content[kept] + (classes[row] << 20 | part).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        # Rows stay together, so the place in a row is the number of its part. One value holds the order, which sorts faster than three.
+        order = row << 40 | counts << 20 | part
+        order.sort()
+        kept = part >= self.spare[classes][row]
+        row, part = row[kept], order[kept] & ((1 << 20) - 1)
+        key = content[starts[row] + part] + (classes[row] << 20 | part).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
         key = (key ^ key >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
         return row, (key ^ key >> np.uint64(29)).view(np.int64)
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = batch.column(2)
-            sizes = np.diff(pieces.offsets.to_numpy()).astype(np.int64)
-            hashes = pieces.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            marks = self.marks(hashes, owner, len(sizes))
-            for step in (0, 1):
-                row, key = self.keys(hashes, owner, sizes, step)
-                place = pa.array(row)
-                words = [pa.array(np.ascontiguousarray(marks[row, k])) for k in range(MARKS)]
-                columns = [batch.column(0).take(place), batch.column(1).take(place), pa.array(sizes[row], pa.int32()), pa.array(np.full(len(row), step == 0)), pa.array(key), *words]
-                yield pa.RecordBatch.from_arrays(columns, list(KINDS))
-
-
-KINDS = {"side": "int", "h": "long", "size": "int", "own": "boolean", "key": "long"} | {f"m{k}": "long" for k in range(MARKS)}
-SIGNED = ", ".join(f"{name} {kind}" for name, kind in KINDS.items())
+    def signed(self, part: int, passes: int, parts: int):
+        """Packed keys of one pass of ``side, name, form``: with side, size and step, the text's name and its marks."""
+
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sides, names = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.uint64) for k in (0, 1))
+                owner, pieces = np.divmod(piece_sets(batch.column(2).to_pylist()), MOST_PIECES)
+                sizes = np.bincount(owner, minlength=len(names))
+                hashes = PIECE_HASHES[pieces]
+                marks = self.marks(hashes, owner, len(names)).view(np.uint64)
+                for step in (0, 1):
+                    row, key = self.keys(hashes, owner, sizes, step)
+                    key = key.view(np.uint64)
+                    chosen = key % np.uint64(passes) == part
+                    row, key = row[chosen], key[chosen] >> np.uint64(64 - KEY_BITS)
+                    kind = sizes[row].astype(np.uint64) << np.uint64(8) | sides[row] << np.uint64(1) | np.uint64(step == 0)
+                    yield pack(key, KEY_BITS, [(kind, 4), (names[row], NAME_BITS // 8), *((marks[row, k], 8) for k in range(MARKS))], parts)
+
+        return sign
+
+
+def _met(threshold: float, sides: int):
+    """Pairs of texts of different sides that have a key in common, and sizes and marks that allow the threshold."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, kinds, names, *marks in unpack(batches, KEY_BITS, [4, NAME_BITS // 8, *[8] * MARKS]).values():
+            size, side, own = (kinds >> np.uint64(8)).astype(np.int64), (kinds >> np.uint64(1) & np.uint64(127)).astype(np.int64), kinds & np.uint64(1) == 1
+            held: list[np.ndarray] = []
+
+            def found() -> pa.RecordBatch:
+                pairs = np.unique(np.concatenate(held), axis=0)
+                held.clear()
+                kinds_of = (pa.int32(), pa.int64()) * 2
+                return pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()).cast(kind) for k, kind in enumerate(kinds_of)], [c.split()[0] for c in MET.split(", ")])
+
+            for left, right in meetings(keys, np.flatnonzero(side < sides), np.flatnonzero(side > 1), PAIRS_AT_ONCE):
+                near = (side[left] < side[right]) & (own[left] | own[right]) & (names[left] != names[right])
+                left, right = left[near], right[near]
+                both = size[left] + size[right]
+                most = np.floor((1 - threshold) * both + 1e-9)
+                apart = np.where(2 * np.minimum(size[left], size[right]) >= threshold * both - 1e-9, 0, np.inf)
+                for words in marks:
+                    near = apart <= most
+                    left, right, most, apart = left[near], right[near], most[near], apart[near]
+                    apart = apart + np.bitwise_count(words[left] ^ words[right])
+                near = apart <= most
+                left, right = left[near], right[near]
+                held.append(np.stack((side[left], names[left].astype(np.int64), side[right], names[right].astype(np.int64)), axis=1))
+                if sum(map(len, held)) > HELD_PAIRS:
+                    yield found()
+            if held:
+                yield found()
+
+    return meet
+
+
+MET = "l_side int, l_h long, r_side int, r_h long"
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The Dice similarity of the first two columns, before the others."""
+    for batch in batches:
+        one, two = (piece_sets(batch.column(k).to_pylist()) for k in (0, 1))
+        both = np.concatenate((one, two))
+        both.sort()
+        common = both[1:][both[1:] == both[:-1]] // MOST_PIECES
+        similarity = 2.0 * np.bincount(common, minlength=batch.num_rows) / np.bincount(both // MOST_PIECES, minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(similarity), *batch.columns[2:]], ["similarity", *batch.schema.names[2:]])
 
 
 SPLITS = ("train", "validation", "test")
@@ -121,29 +217,23 @@ def near_duplicates(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     rows = _sided(records, splits, key, text, split)
-    texts = rows.groupBy("side", "form").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("h", F.xxhash64("form"))
-    # Four branches read it; without the cut each would make it anew.
-    texts = cut_lineage(texts)
-    hashed = texts.select("side", "h", F.transform(character_ngrams("form"), lambda piece: F.xxhash64(piece)).alias("pieces"))
-    signer = Signer(threshold)
-    left = hashed.where(F.col("side") < len(splits)).mapInArrow(signer, SIGNED).select(*(F.col(c).alias(f"l_{c}") for c in KINDS))
-    right = hashed.where(F.col("side") > 1).mapInArrow(signer, SIGNED).select(*(F.col(c).alias(f"r_{c}") for c in KINDS))
-    both = F.col("l_size") + F.col("r_size")
-    apart = sum((F.bit_count(F.col(f"l_m{k}").bitwiseXOR(F.col(f"r_m{k}"))) for k in range(MARKS)), F.lit(0))
-    near = (2 * F.least("l_size", "r_size") >= threshold * both - 1e-9) & (apart <= (1 - threshold) * both + 1e-9)
-    met = left.join(right, (F.col("l_key") == F.col("r_key")) & (F.col("l_side") < F.col("r_side")) & (F.col("l_own") | F.col("r_own")) & near & (F.col("l_h") != F.col("r_h")))
-    candidates = met.select("l_side", "l_h", "r_side", "r_h").distinct()
-    sets = texts.withColumn("pieces", character_ngrams("form")).withColumn("size", F.size("pieces"))
-    one = sets.select(*(F.col(c).alias(f"l_{c}") for c in sets.columns))
-    two = sets.select(*(F.col(c).alias(f"r_{c}") for c in sets.columns))
-    common = F.size(F.array_intersect("l_pieces", "r_pieces"))
-    similarity = 2.0 * common / (F.col("l_size") + F.col("r_size"))
+    texts = stored(rows.groupBy("side", "form").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    texts = texts.withColumn("h", F.shiftrightunsigned(F.xxhash64("form"), 64 - NAME_BITS))
+    passes, parts, signer = min(MOST_PASSES, texts.count() // PASS_TEXTS + 1), part_count(records), Signer(threshold)
+
+    def candidates(part: int) -> DataFrame:
+        packed = routed(texts.select("side", "h", "form").mapInArrow(signer.signed(part, passes, parts), PACKED), parts)
+        return stored(packed.mapInArrow(_met(threshold, len(splits)), MET).distinct())
+
+    met = reduce(DataFrame.union, map(candidates, range(passes))).distinct()
+    one = texts.select(*(F.col(c).alias(f"l_{c}") for c in texts.columns))
+    two = texts.select(*(F.col(c).alias(f"r_{c}") for c in texts.columns))
     short, long = F.least(F.length("l_form"), F.length("r_form")), F.greatest(F.length("l_form"), F.length("r_form"))
     bound = 2.0 * short / (short + long) >= threshold if length_bound else F.lit(True)
-    verified = (
-        candidates.join(one, ["l_side", "l_h"]).join(two, ["r_side", "r_h"])
-        .where(bound & (F.col("l_form") != F.col("r_form"))).withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
-    )
+    carried = [f"{m}_{c}" for c in ("side", "id", "n") for m in "lr"]
+    joined = met.join(one, ["l_side", "l_h"]).join(two, ["r_side", "r_h"]).where(bound & (F.col("l_form") != F.col("r_form")))
+    kinds = T.StructType([T.StructField("similarity", T.DoubleType()), *(joined.schema[c] for c in carried)])
+    verified = joined.select("l_form", "r_form", *carried).mapInArrow(_similar, kinds).where(F.col("similarity") >= threshold)
     names = F.array(*map(F.lit, splits))
     return verified.select(
         F.element_at(names, F.col("l_side")).alias("left_split"),

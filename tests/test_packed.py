@@ -1,12 +1,16 @@
 """Rows that meet on equal keys in packed form, and what the joins on them leave on disk."""
 
+import re
+import time
 from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sievelight import session
 from sievelight.llm import overlap
-from sievelight.operators import packed
+from sievelight.operators import near_duplicates, packed
 
 
 @pytest.mark.parametrize("parts", [1, 3, 40])
@@ -35,3 +39,34 @@ def test_overlaps_keep_nothing(spark):
     found = overlap.overlap_pairs(spark.createDataFrame(rows, "record_id long, text string, source_split string")).collect()
     assert [(r.held_out_id, r.train_id, r.similarity) for r in found] == [(2, 1, 1.0)]
     assert stored().size() == before
+
+
+TEXTS = ["where is my new card", "where is my new cards", "where is my newer card", "please close my old account", "please close my old accounts", "loan", "loans", "", None]
+
+
+def test_near_duplicates_do_not_depend_on_passes(spark, monkeypatch):
+    rows = [(i, t, ("train", "validation", "test")[i % 3]) for i, t in enumerate(TEXTS * 3 + TEXTS[:4])]
+    frame = spark.createDataFrame(rows, "record_id long, text string, source_split string")
+    found = []
+    for texts, held in ((1_000, 1_000), (5, 1), (1, 2)):
+        monkeypatch.setattr(near_duplicates, "PASS_TEXTS", texts)
+        monkeypatch.setattr(near_duplicates, "HELD_PAIRS", held)
+        found.append(sorted(map(tuple, near_duplicates.near_duplicates(frame, 0.8).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+
+
+def test_stored_frames_free_what_they_shuffle(spark):
+    """Keys of all passes at once took 10 times the input; the files of a pass go before the next."""
+
+    def shuffled() -> set[str]:
+        return set(re.findall(r"shuffle_\w+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    before = shuffled()
+    found = session.stored(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    for _ in range(50):  # they are removed in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert sorted(map(tuple, found.collect())) == [(k, 142 + (k < 6)) for k in range(7)]
+    assert spark.conf.get(session.CLEANUP) == "false"

@@ -70,3 +70,19 @@ def test_stored_frames_free_what_they_shuffle(spark):
     assert shuffled() <= before
     assert sorted(map(tuple, found.collect())) == [(k, 142 + (k < 6)) for k in range(7)]
     assert spark.conf.get(session.CLEANUP) == "false"
+
+
+COUNTED = {
+    "rollup": lambda pairs, frame: near_duplicates.near_duplicate_rollup(pairs.persist(), frame.withColumn("category", F.lit("x"))),
+}
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_counts_do_not_depend_on_passes(spark, monkeypatch, name):
+    rows = [(i, t, ("train", "validation", "test")[i % 3]) for i, t in enumerate(TEXTS * 3 + TEXTS[:4])]
+    frame = spark.createDataFrame(rows, "record_id long, text string, source_split string")
+    found = []
+    for texts in (1_000, 1):
+        monkeypatch.setattr(near_duplicates, "PASS_TEXTS", texts)
+        found.append(sorted(map(tuple, COUNTED[name](near_duplicates.near_duplicates(frame, 0.8), frame).collect())))
+    assert found[0] == found[1] and found[0]

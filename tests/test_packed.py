@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sievelight import session
 from sievelight.llm import overlap
 from sievelight.operators import near_duplicates, packed
+from sievelight.plans import catalog
 
 
 @pytest.mark.parametrize("parts", [1, 3, 40])
@@ -86,3 +87,11 @@ def test_counts_do_not_depend_on_passes(spark, monkeypatch, name):
         monkeypatch.setattr(near_duplicates, "PASS_TEXTS", texts)
         found.append(sorted(map(tuple, COUNTED[name](near_duplicates.near_duplicates(frame, 0.8), frame).collect())))
     assert found[0] == found[1] and found[0]
+
+
+def test_cosines_do_not_depend_on_slices(spark, sf_dir, monkeypatch):
+    found = []
+    for rows in (100_000, 60):
+        monkeypatch.setattr(catalog, "SLICE_ROWS", rows)
+        found.append(sorted(map(tuple, catalog.QUERIES["nearest_training_cosine"](spark, sf_dir).collect())))
+    assert found[0] == found[1] and any(cosine for _, cosine in found[0])

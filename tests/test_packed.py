@@ -74,6 +74,7 @@ def test_stored_frames_free_what_they_shuffle(spark):
 
 
 COUNTED = {
+    "records": lambda pairs, frame: near_duplicates.flagged_records(pairs),
     "links": lambda pairs, frame: near_duplicates.near_duplicate_links(pairs, frame),
     "rollup": lambda pairs, frame: near_duplicates.near_duplicate_rollup(pairs.persist(), frame.withColumn("category", F.lit("x"))),
 }

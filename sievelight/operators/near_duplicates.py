@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from sievelight.functions.text import comparison_text
 from sievelight.operators.packed import PACKED, meetings, pack, part_count, routed, unpack
-from sievelight.session import stored
+from sievelight.session import stored, unsent
 
 SYMBOLS = 37
 #: Sets of three characters of a-z, 0-9 and the blank.
@@ -231,7 +231,7 @@ def near_duplicates(
     short, long = F.least(F.length("l_form"), F.length("r_form")), F.greatest(F.length("l_form"), F.length("r_form"))
     bound = 2.0 * short / (short + long) >= threshold if length_bound else F.lit(True)
     carried = [f"{m}_{c}" for c in ("side", "id", "n") for m in "lr"]
-    joined = met.join(one, ["l_side", "l_h"]).join(two, ["r_side", "r_h"]).where(bound & (F.col("l_form") != F.col("r_form")))
+    joined = met.join(unsent(one), ["l_side", "l_h"]).join(unsent(two), ["r_side", "r_h"]).where(bound & (F.col("l_form") != F.col("r_form")))
     kinds = T.StructType([T.StructField("similarity", T.DoubleType()), *(joined.schema[c] for c in carried)])
     verified = joined.select("l_form", "r_form", *carried).mapInArrow(_similar, kinds).where(F.col("similarity") >= threshold)
     names = F.array(*map(F.lit, splits))
@@ -252,7 +252,7 @@ def record_classes(
     """``id, split, class_id`` and ``columns`` of each row with a comparison text: the smallest id of the rows of its split equal to it."""
     rows = _sided(records, splits, key, text, split, *columns)
     classes = rows.groupBy("side", "form").agg(F.min("id").alias("class_id"))
-    return rows.join(classes, ["side", "form"]).select("id", F.element_at(F.array(*map(F.lit, splits)), F.col("side")).alias("split"), "class_id", *columns)
+    return rows.join(unsent(classes), ["side", "form"]).select("id", F.element_at(F.array(*map(F.lit, splits)), F.col("side")).alias("split"), "class_id", *columns)
 
 
 def near_duplicate_links(pairs: DataFrame, records: DataFrame, **options) -> DataFrame:
@@ -263,7 +263,7 @@ def near_duplicate_links(pairs: DataFrame, records: DataFrame, **options) -> Dat
     sides = pairs.select(F.col("left_split").alias("split"), F.col("left_id").alias("class_id"), F.col("right_records").alias("n"))
     sides = sides.unionByName(pairs.select(F.col("right_split").alias("split"), F.col("right_id").alias("class_id"), F.col("left_records").alias("n")))
     links = sides.groupBy("split", "class_id").agg(F.sum("n").alias("links"))
-    joined = record_classes(records, **options).join(links, ["split", "class_id"], "left")
+    joined = record_classes(records, **options).join(unsent(links), ["split", "class_id"], "left")
     return joined.select("id", "split", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 

@@ -1,12 +1,13 @@
 """Queries that must do their whole job, on fixtures where a part of it would show."""
 
+import re
 from itertools import product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelight.operators import bootstrap, features
+from sievelight.operators import bootstrap, features, near_duplicates
 from sievelight.plans import catalog
 from sievelight.plans.catalog import LEFT, QUERIES, RIGHT
 
@@ -94,3 +95,26 @@ def test_manifest_lists_every_table(spark, tmp_path):
         (tmp_path / name).write_bytes(name.encode())
     found = {(r.name, r.bytes) for r in QUERIES["table_manifest"](spark, str(tmp_path)).collect()}
     assert found == {("routes.parquet", 14), ("records.parquet/part-0.parquet", 30)}
+
+
+#: What is as long as the number of records or texts.
+GROWING = re.compile(r"form|_h#|class_id|left_id|right_id|\bid#")
+
+
+def broadcast_keys(monkeypatch, build):
+    """Keys of the broadcast joins in the plans of a query: its own and those of what it stores."""
+    frames, stored = [], near_duplicates.stored
+    keep = lambda frame: (frames.append(frame), stored(frame))[1]
+    for module in (near_duplicates, catalog):
+        monkeypatch.setattr(module, "stored", keep)
+    frames.append(build())
+    plans = "\n".join(f._jdf.queryExecution().executedPlan().toString() for f in frames)
+    assert "SortMergeJoin" in plans
+    return re.findall(r"Broadcast\w+Join (\[.*?\])", plans)
+
+
+@pytest.mark.parametrize("name", ["near_duplicate_links"])
+def test_texts_and_classes_are_never_broadcast(spark, sf_dir, monkeypatch, name):
+    """The texts are small here, so without care Spark sends them to all tasks, as it does with large ones whose files are small."""
+    keys = broadcast_keys(monkeypatch, lambda: QUERIES[name](spark, sf_dir))
+    assert not [k for k in keys if GROWING.search(k)]

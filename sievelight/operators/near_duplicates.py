@@ -278,7 +278,7 @@ def near_duplicate_rollup(pairs: DataFrame, records: DataFrame, label: str = "ca
         for m in ("left", "right")
     )
     both = ["left_split", "right_split"]
-    met = pairs.join(left, ["left_split", "left_id"]).join(right, ["right_split", "right_id"]).where(F.col("left_label").eqNullSafe(F.col("right_label")))
+    met = pairs.join(unsent(left), ["left_split", "left_id"]).join(unsent(right), ["right_split", "right_id"]).where(F.col("left_label").eqNullSafe(F.col("right_label")))
     same = met.groupBy(*both).agg(F.sum(F.col("left_n") * F.col("right_n")).alias("same_label"))
     total = pairs.groupBy(*both).agg(F.sum(F.col("left_records") * F.col("right_records")).alias("pairs"))
     for side in ("left", "right"):

@@ -113,7 +113,7 @@ def broadcast_keys(monkeypatch, build):
     return re.findall(r"Broadcast\w+Join (\[.*?\])", plans)
 
 
-@pytest.mark.parametrize("name", ["near_duplicate_links", "near_duplicate_records"])
+@pytest.mark.parametrize("name", ["near_duplicate_links", "near_duplicate_records", "near_duplicate_rollup"])
 def test_texts_and_classes_are_never_broadcast(spark, sf_dir, monkeypatch, name):
     """The texts are small here, so without care Spark sends them to all tasks, as it does with large ones whose files are small."""
     keys = broadcast_keys(monkeypatch, lambda: QUERIES[name](spark, sf_dir))

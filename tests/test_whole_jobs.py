@@ -1,13 +1,17 @@
 """Queries that must do their whole job, on fixtures where a part of it would show."""
 
+import pickle
 import re
 from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievelight.operators import bootstrap, features, near_duplicates
+from sievelight.operators import bootstrap, features, logistic, near_duplicates
 from sievelight.plans import catalog
 from sievelight.plans.catalog import LEFT, QUERIES, RIGHT
 
@@ -118,3 +122,24 @@ def test_texts_and_classes_are_never_broadcast(spark, sf_dir, monkeypatch, name)
     """The texts are small here, so without care Spark sends them to all tasks, as it does with large ones whose files are small."""
     keys = broadcast_keys(monkeypatch, lambda: QUERIES[name](spark, sf_dir))
     assert not [k for k in keys if GROWING.search(k)]
+
+
+def test_regression_lies_in_files_and_agrees_with_another(spark, monkeypatch):
+    """Blocks and ranges of a few rows and slots; the model that comes to the driver has no coefficients."""
+    monkeypatch.setattr(logistic, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(logistic, "RANGE_SLOTS", 9)
+    chance, size = np.random.default_rng(11), 40
+    rows = []
+    for k in range(90):
+        dense = np.where(chance.random(size) < 0.2, chance.random(size), 0.0)
+        label = ["a", "b", "c"][int(dense[:3].argmax())] if k % 10 else None
+        rows.append((k, Vectors.dense(dense) if k % 7 == 0 else Vectors.sparse(size, np.flatnonzero(dense), dense[dense > 0]), label))
+    frame = spark.createDataFrame(rows, T.StructType().add("id", "long").add("features", VectorUDT()).add("category", "string"))
+    model = features.fit_logistic([frame.where("id < 50"), frame.where("id >= 50")], tolerance=1e-7)
+    assert len(pickle.dumps(model)) < 1_000
+    found = {r.id: (r.predicted, r.probability) for r in features.logistic_predictions(model, frame).collect()}
+    train = frame.where("category is not null").withColumn("label", F.expr("cast(ascii(category) - 97 as double)"))
+    other = LogisticRegression(family="multinomial", maxIter=1000, tol=1e-9, standardization=False, regParam=1 / train.count()).fit(train)
+    wanted = {r.id: r.probability for r in other.transform(frame).select("id", "probability").collect()}
+    assert {k: p for k, (_, p) in found.items()} == pytest.approx({k: max(p) for k, p in wanted.items()}, abs=2e-3)
+    assert all("abc"[int(np.argmax(wanted[k]))] == p for k, (p, _) in found.items() if np.ptp(sorted(wanted[k])[-2:]) > 4e-3)

@@ -143,3 +143,11 @@ def test_regression_lies_in_files_and_agrees_with_another(spark, monkeypatch):
     wanted = {r.id: r.probability for r in other.transform(frame).select("id", "probability").collect()}
     assert {k: p for k, (_, p) in found.items()} == pytest.approx({k: max(p) for k, p in wanted.items()}, abs=2e-3)
     assert all("abc"[int(np.argmax(wanted[k]))] == p for k, (p, _) in found.items() if np.ptp(sorted(wanted[k])[-2:]) > 4e-3)
+
+
+@pytest.mark.parametrize("name", ["classifier_group_scores"])
+def test_classifier_queries_keep_coefficients_off_the_driver(spark, sf_dir, monkeypatch, name):
+    fits, fit = [], features.fit_logistic
+    monkeypatch.setattr(features, "fit_logistic", lambda *given, **options: (fits.append(fit(*given, **options)), fits[-1])[1])
+    assert QUERIES[name](spark, sf_dir).count() > 0
+    assert [len(pickle.dumps(m)) < 10_000 for m in fits] == [True]

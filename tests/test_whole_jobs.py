@@ -145,7 +145,7 @@ def test_regression_lies_in_files_and_agrees_with_another(spark, monkeypatch):
     assert all("abc"[int(np.argmax(wanted[k]))] == p for k, (p, _) in found.items() if np.ptp(sorted(wanted[k])[-2:]) > 4e-3)
 
 
-@pytest.mark.parametrize("name", ["classifier_group_scores"])
+@pytest.mark.parametrize("name", ["classifier_group_scores", "probability_threshold"])
 def test_classifier_queries_keep_coefficients_off_the_driver(spark, sf_dir, monkeypatch, name):
     fits, fit = [], features.fit_logistic
     monkeypatch.setattr(features, "fit_logistic", lambda *given, **options: (fits.append(fit(*given, **options)), fits[-1])[1])

@@ -1,22 +1,25 @@
 """Multinomial logistic regression whose coefficients, labels x terms, lie in files of the shared checkpoint folder.
 
 Rows are cut into blocks and slots into ranges. Of each block and range a tile holds the entries that are not zero.
-A step has two passes: tasks of some blocks read coefficients range by range and write what their rows are off by,
-and tasks of a range read that block by block and write its next coefficients. The driver has a few numbers for each
-label. Steps are those of an accelerated gradient, scaled for each slot by a bound of its curvature.
+Steps are those of conjugate gradients, scaled for each slot by its squares. In each, tasks of some blocks read the
+direction range by range and write how it moves their rows' margins; once the length of the step is found on these,
+they write what the rows are off by, and tasks of a range read that block by block and write coefficients and
+gradient. The driver has a few numbers for each label.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow.fs import FileSelector, FileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +31,14 @@ from sievelight.session import checkpoint_dir, stored
 BLOCK_ROWS, RANGE_SLOTS, NUMBERS = 1 << 13, 1 << 15, 1 << 21
 #: Blocks that a task holds, and entries that it multiplies at once.
 HELD_BLOCKS, AT_ONCE = 16, 1 << 15
+#: A slot that more than this share of a tile's rows have is multiplied as a dense column.
+DENSE_SHARE = 0.015
 #: Runs of equal places that are summed up together.
 SHORT_RUN = 8
-#: Share of the curvature's bound that steps begin with, and its changes after each step that goes down and each that doesn't.
-FIRST_SHARE, EASING, STEADYING = 0.08, 0.99, 1.5
+#: Variance of a label's probability that the scales take for given, times the number of labels.
+VARIANCE = 0.25
+#: Lengths of a step are tried at a guess, and at it divided and multiplied by this, up to so many times.
+SPREAD, SEARCHES = 3.0, 12
 #: So many steps in a row must improve the loss by less than the tolerance.
 SLOW_STEPS = 3
 
@@ -58,9 +65,38 @@ def _table(uri: str, columns: int) -> np.ndarray:
     return np.frombuffer(_get(uri), np.float32).reshape(-1, columns)
 
 
-def _remove(uri: str) -> None:
+def _drop(uris: Iterable[str]) -> None:
+    """Removes those of the files that are still there."""
+    for system, path in map(FileSystem.from_uri, uris):
+        if system.get_file_info(path).type != FileType.NotFound:
+            system.delete_file(path)
+
+
+def _once(uri: str, work: Callable[[], object], old: Iterable[str] = ()) -> object:
+    """What ``work`` returns, kept in ``uri`` so that a repeated task doesn't do it again; the files ``old`` go after it."""
     system, path = FileSystem.from_uri(uri)
-    system.delete_dir(path)
+    if system.get_file_info(path).type == FileType.NotFound:
+        _put(f"{uri}.new", pickle.dumps(work()))
+        system.move(f"{path}.new", path)
+    _drop(old)
+    return pickle.loads(_get(uri))
+
+
+def _halves(numbers: np.ndarray) -> np.ndarray:
+    """The upper 16 bits of each number, rounded: its sign, its power of two and eight binary places."""
+    bits = numbers.view(np.uint32)
+    return ((bits + ((bits >> 16) & 1) + np.uint32(0x7FFF)) >> 16).astype(np.uint16)
+
+
+def _whole(uri: str, columns: int) -> np.ndarray:
+    """The table whose :func:`_halves` are in ``uri``."""
+    numbers = np.frombuffer(_get(uri), np.uint16).astype(np.uint32)
+    numbers <<= 16
+    return numbers.view(np.float32).reshape(-1, columns)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.einsum("ij,ij->i", a, b).sum(dtype=np.float64))
 
 
 def _entries(features: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +139,58 @@ def _add(target: np.ndarray, index: np.ndarray, source: np.ndarray, place: np.nd
         target[own[starts]] += _sums(products, starts, np.diff(starts, append=len(own)))
 
 
+def _dense(rows: int, slots: int, row: np.ndarray, slot: np.ndarray, load: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tile the slots that many rows have, a table of rows x these slots, and the entries that are not in it."""
+    busy = np.flatnonzero(np.bincount(slot, minlength=slots) > rows * DENSE_SHARE)
+    place = np.full(slots, -1, np.int32)
+    place[busy] = np.arange(len(busy))
+    to = np.take(place, slot)
+    within = to >= 0
+    table = np.zeros((rows, len(busy)), np.float32)
+    table[row[within], to[within]] = load[within]
+    return busy, table, np.flatnonzero(~within)
+
+
+def _add_rows(target: np.ndarray, own: np.ndarray, row: np.ndarray, slot: np.ndarray, load: np.ndarray) -> None:
+    """Adds a tile, rows x slots and in order of rows, times ``own``, slots x labels."""
+    busy, table, rest = _dense(len(target), len(own), row, slot, load)
+    target += table @ np.take(own, busy, axis=0)
+    _add(target, row[rest], own, slot[rest], load[rest])
+
+
+def _add_slots(target: np.ndarray, off: np.ndarray, row: np.ndarray, slot: np.ndarray, load: np.ndarray) -> None:
+    """Adds a tile, turned to slots x rows, times ``off``, rows x labels."""
+    busy, table, rest = _dense(len(off), len(target), row, slot, load)
+    target[busy] += table.T @ off
+    rest = rest[np.argsort(slot[rest], kind="stable")]
+    _add(target, slot[rest], off, row[rest], load[rest])
+
+
+def _length(slopes: Callable[[list[float]], list[tuple[float, float]]], guess: float) -> float:
+    """Where the slope, negative at 0, is zero: ``slopes`` gives it and its rise at some lengths. 0 if there is no such place."""
+    known: dict[float, tuple[float, float]] = {}
+    for _ in range(SEARCHES):
+        tried = [guess / SPREAD, guess, guess * SPREAD]
+        known |= dict(zip(tried, slopes(tried)))
+        low, high = max((a for a, s in known.items() if s[0] <= 0), default=0.0), min((a for a, s in known.items() if s[0] > 0), default=np.inf)
+        if not np.isfinite(high):
+            guess = max(known) * SPREAD**2
+        elif not low:
+            guess = high / SPREAD**2
+        else:
+            break
+    else:
+        return low
+    # The cubic that has the slopes and rises of both ends.
+    (a, rise_a), (b, rise_b), width = known[low], known[high], high - low
+    begin, end = 0.0, 1.0
+    for _ in range(40):
+        t = (begin + end) / 2
+        at = (1 + 2 * t) * (1 - t) ** 2 * a + t * (1 - t) ** 2 * width * rise_a + t * t * (3 - 2 * t) * b - t * t * (1 - t) * width * rise_b
+        begin, end = (t, end) if at <= 0 else (begin, t)
+    return low + width * begin
+
+
 def _softmax(margins: np.ndarray) -> np.ndarray:
     """The logarithm of each row's sum of exponents; ``margins`` become probabilities."""
     most = margins.max(axis=1, keepdims=True)
@@ -234,9 +322,10 @@ def _regrouped(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.R
         yield pa.concat_batches(held)
 
 
-def _fit(frames: list[DataFrame], size: int, inverse_strength: float, iterations: int, tolerance: float, labels: list[str]) -> LinearClassifier:
+def _fit(frames: Iterator[DataFrame], size: int, inverse_strength: float, iterations: int, tolerance: float, labels: list[str]) -> LinearClassifier:
     """The regression on ``features, category`` of all ``frames``, each of which is read once. Categories are among ``labels``."""
-    spark, columns = frames[0].sparkSession, len(labels)
+    first = next(frames)
+    spark, columns = first.sparkSession, len(labels)
     context = spark.sparkContext
     folder = f"{_qualified(spark, checkpoint_dir(spark))}/classifier-{uuid.uuid4().hex}"
     system, path = FileSystem.from_uri(folder)
@@ -244,134 +333,192 @@ def _fit(frames: list[DataFrame], size: int, inverse_strength: float, iterations
     width = max(1, min(RANGE_SLOTS, NUMBERS // columns, max(1 << 10, -(-size // tasks))))
     system.create_dir(f"{path}/train")
     tiles = Tiles(f"{folder}/train", size, width, labels)
-    blocks = [block for k, frame in enumerate(frames) for block in tiles.cut(frame)]
+    blocks = [block for frame in chain([first], frames) for block in tiles.cut(frame)]
     rows = sum(n for _, n in blocks)
     if not rows:
         raise ValueError("no train row has a label")
     names = [name for name, _ in blocks]
     held = max(1, min(HELD_BLOCKS, -(-len(names) // context.defaultParallelism)))
     groups = [names[k : k + held] for k in range(0, len(names), held)]
-    penalty = 1.0 / max(1.0, inverse_strength * rows)
+    penalty, variance = 1.0 / max(1.0, inverse_strength * rows), VARIANCE / columns
+    system.create_dir(f"{path}/fit")
 
     def spread(things: list, task) -> list:
         return context.parallelize(list(enumerate(things)), max(1, len(things))).map(lambda x: task(*x)).collect()
 
-    def coefficients(place: int, now: int, last: int, momentum: float) -> np.ndarray:
-        """Of a range, carried on beyond the step from ``last`` to ``now``."""
-        if not now:
-            return np.zeros((tiles.slots(place), columns), np.float32)
-        own = _table(f"{folder}/{now}/{place}", columns)
-        if not momentum:
-            return own
-        return own + np.float32(momentum) * (own - _table(f"{folder}/{last}/{place}", columns) if last else own)
-
-    def lengths(_: int, group: list[str]) -> np.ndarray:
-        """Writes the sum of each row's entries and the intercept's one; counts labels, and sums of lengths."""
-        counts = np.zeros(columns + 1)
-        for block in group:
-            given, label = tiles.open(block), tiles.label(block)
-            total = np.ones(len(label), np.float32)
-            for place in range(tiles.ranges):
-                row, _slot, load = tiles.tile(given, place)
-                total += np.bincount(row, np.abs(load), minlength=len(label)).astype(np.float32)
-            _put(f"{folder}/train/{block}.lengths", total.tobytes())
-            counts[:-1] += np.bincount(label, minlength=columns)
-            counts[-1] += total.sum(dtype=np.float64)
-        return counts
-
-    def curvatures(place: int, _) -> None:
-        bound = np.zeros(tiles.slots(place))
+    def file(kind: str, step: int, own: int | str) -> str:
+        return f"{folder}/fit/{kind}-{step}-{own}"
+
+    def coefficients(place: int, step: int) -> np.ndarray:
+        """Those of step 0 are zeros without files."""
+        return _table(f"{folder}/{step}/{place}", columns) if step else np.zeros((tiles.slots(place), columns), np.float32)
+
+    def count(_: int, group: list[str]) -> np.ndarray:
+        return sum(np.bincount(tiles.label(block), minlength=columns) for block in group)
+
+    def scales(place: int, _) -> None:
+        squares = np.zeros(tiles.slots(place))
         for block in names:
-            row, slot, load = tiles.tile(tiles.open(block), place)
-            length = _table(f"{folder}/train/{block}.lengths", 1).ravel()
-            bound += np.bincount(slot, np.abs(load) * length[row], minlength=len(bound))
-        _put(f"{folder}/train/{place}.curvature", (0.5 * bound / rows).astype(np.float32).tobytes())
-
-    def forward(now: int, last: int, momentum: float, intercepts: np.ndarray):
-        def task(number: int, group: list[str]) -> tuple[float, np.ndarray, float]:
-            opened = [tiles.open(block) for block in group]
-            labelled = [tiles.label(block) for block in group]
-            margins = [np.repeat(intercepts.astype(np.float32)[None], len(label), axis=0) for label in labelled]
-            squares = 0.0
-            for place in range(tiles.ranges if now else 0):
-                own = coefficients(place, now, last, momentum)
-                if not number:
-                    squares += float(np.square(own, dtype=np.float64).sum())
-                for given, margin in zip(opened, margins):
-                    row, slot, load = tiles.tile(given, place)
-                    _add(margin, row, own, slot, load)
-            loss, sums = 0.0, np.zeros(columns)
-            for block, label, margin in zip(group, labelled, margins):
+            _row, slot, load = tiles.tile(tiles.open(block), place)
+            squares += np.bincount(slot, np.square(load, dtype=np.float64), minlength=len(squares))
+        _put(f"{folder}/fit/{place}.scale", (variance * squares / rows + penalty).astype(np.float32).tobytes())
+
+    def advance(step: int, length: float, intercepts: np.ndarray):
+        """Writes the margins of the step and what rows are off by; the loss, and for each label the sum of these."""
+
+        def task(_: int, group: list[str]) -> tuple[float, np.ndarray]:
+            def work(block: str) -> tuple[float, np.ndarray]:
+                label = tiles.label(block)
+                if step:
+                    margin = _table(file("margin", step - 1, block), columns) + np.float32(length) * _table(file("along", step - 1, block), columns)
+                else:
+                    margin = np.repeat(intercepts.astype(np.float32)[None], len(label), axis=0)
+                _put(file("margin", step, block), margin.tobytes())
                 at = np.arange(len(label))
                 right = margin[at, label].astype(np.float64)
-                loss += float((_softmax(margin) - right).sum())
+                loss = float((_softmax(margin) - right).sum())
                 margin[at, label] -= 1
-                sums += margin.sum(axis=0, dtype=np.float64)
-                _put(f"{folder}/off/{block}", margin.tobytes())
-            return loss, sums, squares
+                _put(file("off", step, block), margin.tobytes())
+                return loss, margin.sum(axis=0, dtype=np.float64)
+
+            done = [_once(file("advanced", step, b), lambda b=b: work(b), [file(kind, step - 1, b) for kind in ("margin", "along", "advanced")]) for b in group]
+            return sum(d[0] for d in done), sum(d[1] for d in done)
 
         return task
 
-    def backward(now: int, last: int, momentum: float, following: int, share: float):
-        def task(place: int, _) -> None:
-            own = coefficients(place, now, last, momentum)
-            gradient = np.zeros(own.shape, np.float32)
-            for block in names:
-                row, slot, load = tiles.tile(tiles.open(block), place)
-                order = np.argsort(slot, kind="stable")
-                _add(gradient, slot[order], _table(f"{folder}/off/{block}", columns), row[order], load[order])
-            scale = np.float32(share) * _table(f"{folder}/train/{place}.curvature", 1) + np.float32(penalty)
-            gradient = gradient / np.float32(rows) + np.float32(penalty) * own
-            _put(f"{folder}/{following}/{place}", (own - gradient / scale).tobytes())
+    def backward(step: int, length: float, last: bool):
+        """Writes the step's coefficients, unless it is 0, and its scaled gradient, unless it is the last."""
+
+        def task(place: int, _) -> tuple[float, float, float]:
+            def work() -> tuple[float, float, float]:
+                own = coefficients(place, max(0, step - 1))
+                if step:
+                    own = own + np.float32(length) * _whole(file("direction", step - 1, place), columns)
+                    _put(f"{folder}/{step}/{place}", own.tobytes())
+                if last:
+                    return 0.0, 0.0, 0.0
+                gradient = np.zeros(own.shape, np.float32)
+                for block in names:
+                    _add_slots(gradient, _table(file("off", step, block), columns), *tiles.tile(tiles.open(block), place))
+                gradient /= np.float32(rows)
+                gradient += np.float32(penalty) * own
+                halves = _halves(gradient / _table(f"{folder}/fit/{place}.scale", 1))
+                _put(file("gradient", step, place), halves.tobytes())
+                before = _product(gradient, _whole(file("gradient", step - 1, place), columns)) if step else 0.0
+                return _product(gradient, _whole(file("gradient", step, place), columns)), before, _product(own, own)
+
+            old = [file("gradient", step - 1, place), file("stepped", step - 1, place), f"{folder}/{step - 1}/{place}"]
+            return _once(file("stepped", step, place), work, old)
 
         return task
 
-    counts = sum(spread(groups, lengths))
-    spread([None] * tiles.ranges, curvatures)
-    system.create_dir(f"{path}/off")
-    upright = 0.5 * counts[-1] / rows
-    bias = {0: np.log(np.maximum(counts[:-1], 0.5) / rows)}
-    # Coefficients are numbered; 0 are zeros without files.
-    now, last, newest, speed, best, share, slow = 0, 0, 0, 1.0, np.inf, FIRST_SHARE, 0
-    momentum = 0.0
-    for _ in range(iterations):
-        intercepts = bias[now] + momentum * (bias[now] - bias[last])
-        found = spread(groups, forward(now, last, momentum, intercepts))
-        value = sum(f[0] for f in found) / rows + 0.5 * penalty * found[0][2]
-        if value > best:
-            speed = 1.0
-            if momentum:
-                momentum, share = 0.0, min(1.0, STEADYING * share)
-            elif share < 1:  # the step was too long
-                _remove(f"{folder}/{now}")
-                share, now, best, slow = min(1.0, STEADYING * share), last, np.inf, 0
-            else:
-                now = last
+    def turn(step: int, share: float, again: bool):
+        """Writes the direction of the step: the scaled gradient downwards and a share of the last direction."""
+
+        def task(place: int, _) -> tuple[float, float, float]:
+            def work() -> tuple[float, float, float]:
+                gradient = _whole(file("gradient", step, place), columns)
+                direction = np.float32(share) * _whole(file("direction", step - 1, place), columns) - gradient if share else -gradient
+                _put(file("direction", step, place), _halves(direction).tobytes())
+                direction = _whole(file("direction", step, place), columns)
+                gradient *= _table(f"{folder}/fit/{place}.scale", 1)
+                return _product(gradient, direction), _product(coefficients(place, step), direction) if step else 0.0, _product(direction, direction)
+
+            return _once(file("turned-again" if again else "turned", step, place), work, [file(kind, step - 1, place) for kind in ("direction", "turned", "turned-again")])
+
+        return task
+
+    def slopes(step: int, lengths: list[float]):
+        """The loss's slope and its rise along the direction, at some lengths."""
+
+        def task(_: int, group: list[str]) -> np.ndarray:
+            found = np.zeros((len(lengths), 2))
+            for block in group:
+                label, margin, along = tiles.label(block), _table(file("margin", step, block), columns), _table(file("along", step, block), columns)
+                right, squared = along[np.arange(len(label)), label].sum(dtype=np.float64), np.square(along)
+                for k, length in enumerate(lengths):
+                    likely = margin + np.float32(length) * along
+                    _softmax(likely)
+                    mean = np.einsum("ij,ij->i", likely, along).astype(np.float64)
+                    found[k] += mean.sum() - right, _product(likely, squared) - np.square(mean).sum()
+            return found
+
+        return task
+
+    def forward(step: int, intercepts: np.ndarray, lengths: list[float]):
+        """Writes how the direction moves margins; the slopes."""
+
+        def task(number: int, group: list[str]) -> np.ndarray:
+            def work() -> None:
+                opened = [tiles.open(block) for block in group]
+                moves = [np.repeat(intercepts.astype(np.float32)[None], len(tiles.label(block)), axis=0) for block in group]
+                for place in range(tiles.ranges):
+                    own = _whole(file("direction", step, place), columns)
+                    for given, move in zip(opened, moves):
+                        _add_rows(move, own, *tiles.tile(given, place))
+                for block, move in zip(group, moves):
+                    _put(file("along", step, block), move.tobytes())
+
+            # What rows were off by isn't read any more, and makes room.
+            _drop(file("off", step, block) for block in group)
+            _once(file("moved", step, number), work, [file("moved", step - 1, number)])
+            return slopes(step, lengths)(number, group)
+
+        return task
+
+    ranges = [None] * tiles.ranges
+    bias = np.log(np.maximum(sum(spread(groups, count)), 0.5) / rows)
+    spread(ranges, scales)
+    found = spread(groups, advance(0, 0.0, bias))
+    best = sum(f[0] for f in found) / rows
+    stepped = spread(ranges, backward(0, 0.0, False))
+    now, slow, guess, before, ahead = 0, 0, 1.0, 0.0, np.zeros(columns)
+    uphill_before = np.zeros(columns)
+    for left in reversed(range(iterations)):
+        rise = sum(f[1] for f in found) / rows
+        uphill = rise / variance
+        size_now = sum(s[0] for s in stepped) + float(rise @ uphill)
+        share = max(0.0, (size_now - sum(s[1] for s in stepped) - float(rise @ uphill_before)) / before) if before > 0 else 0.0
+        for again in (False, True):
+            turned = spread(ranges, turn(now, share, again))
+            forth = share * ahead - uphill
+            if sum(t[0] for t in turned) + float(rise @ forth) < 0 or not share:
                 break
-            continue
+            share = 0.0
+        if not sum(t[0] for t in turned) + float(rise @ forth) < 0:
+            break
+        ahead, before, uphill_before = forth, size_now, uphill
+        square, with_own, own_square = sum(s[2] for s in stepped), sum(t[1] for t in turned), sum(t[2] for t in turned)
+        written = False
+
+        def along(lengths: list[float]) -> list[tuple[float, float]]:
+            nonlocal written
+            given = sum(spread(groups, slopes(now, lengths) if written else forward(now, ahead, lengths))) / rows
+            written = True
+            return [(float(g[0]) + penalty * (with_own + a * own_square), float(g[1]) + penalty * own_square) for a, g in zip(lengths, given)]
+
+        length = _length(along, guess)
+        if not length:
+            break
+        found = spread(groups, advance(now + 1, length, bias))
+        value = sum(f[0] for f in found) / rows + 0.5 * penalty * (square + length * (2 * with_own + length * own_square))
+        if not value < best:
+            break
         slow = slow + 1 if best - value <= tolerance * abs(value) else 0
-        best = value
+        now, guess, best, bias = now + 1, length, value, bias + length * ahead
+        system.create_dir(f"{path}/{now}")
+        stepped = spread(ranges, backward(now, length, slow >= SLOW_STEPS or not left))
         if slow >= SLOW_STEPS:
             break
-        newest += 1
-        system.create_dir(f"{path}/{newest}")
-        spread([None] * tiles.ranges, backward(now, last, momentum, newest, share))
-        bias[newest] = intercepts - sum(f[1] for f in found) / rows / (share * upright)
-        if last and last != now:
-            _remove(f"{folder}/{last}")
-        now, last = newest, now
-        faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
-        momentum, speed, share = (speed - 1) / faster, faster, share * EASING
     if not now:
-        newest = now = newest + 1
+        now = 1
         system.create_dir(f"{path}/{now}")
-        bias[now] = bias[0]
         for place in range(tiles.ranges):
-            _put(f"{folder}/{now}/{place}", np.zeros((tiles.slots(place), columns), np.float32).tobytes())
+            _put(f"{folder}/{now}/{place}", coefficients(place, 0).tobytes())
     for file in system.get_file_info(FileSelector(path)):
         if file.base_name != str(now):
             system.delete_dir(file.path)
-    return LinearClassifier(f"{folder}/{now}", size, width, labels, bias[now].tolist())
+    return LinearClassifier(f"{folder}/{now}", size, width, labels, bias.tolist())
 
 
 def fit_logistic(
@@ -390,16 +537,18 @@ def fit_logistic(
     train rows, whose shuffle files go before the next; each is read once if ``size``, the slots of ``features``, and
     ``labels`` are given.
     """
-    frames = [train] if isinstance(train, DataFrame) else list(train)
-    every = reduce(DataFrame.union, (f.select("features", "category") for f in frames)).where("category is not null")
-    if labels is None:
-        labels = [r.category for r in every.select("category").distinct().collect()]
-    if size is None:
-        first = every.select("features").first()
-        size = first.features.size if first else 0
+    frames = [train] if isinstance(train, DataFrame) else train
+    if labels is None or size is None:
+        frames = list(frames)
+        every = reduce(DataFrame.union, (f.select("features", "category") for f in frames)).where("category is not null")
+        if labels is None:
+            labels = [r.category for r in every.select("category").distinct().collect()]
+        if size is None:
+            first = every.select("features").first()
+            size = first.features.size if first else 0
     if not labels:
         raise ValueError("no train row has a label")
-    return _fit(frames, max(1, size), inverse_strength, iterations, tolerance, sorted(labels))
+    return _fit(iter(frames), max(1, size), inverse_strength, iterations, tolerance, sorted(labels))
 
 
 def logistic_predictions(model: LinearClassifier, rows: DataFrame) -> DataFrame:

@@ -155,16 +155,11 @@ def test_classifier_queries_keep_coefficients_off_the_driver(spark, sf_dir, monk
     assert [len(pickle.dumps(m)) < 10_000 for m in fits] == [True]
 
 
-def _steps_and_stored(spark, sf_dir, monkeypatch, name):
-    """Steps of the query's fit, by which its folder is named, and the columns of what it has stored and not removed."""
-    fits, fit, kept, store = [], features.fit_logistic, [], catalog.stored
-    monkeypatch.setattr(features, "fit_logistic", lambda *given, **options: (fits.append(fit(*given, **options)), fits[-1])[1])
+@pytest.mark.parametrize("name", ["classifier_group_scores", "probability_threshold"])
+def test_stored_texts_make_room_for_the_fit(spark, sf_dir, monkeypatch, name):
+    """Of what was stored for the features, texts are gone when the fit has begun; the terms are still needed."""
+    kept, store = [], catalog.stored
     monkeypatch.setattr(catalog, "stored", lambda frame: (kept.append(store(frame)), kept[-1])[1])
     assert QUERIES[name](spark, sf_dir).count() > 0
     left = [frame.columns for frame in kept if any(Path(unquote(urlparse(f).path)).exists() for f in frame.inputFiles())]
-    return [int(m.folder.rsplit("/", 1)[-1]) for m in fits], left
-
-
-def test_group_scores_make_room_for_the_fit(spark, sf_dir, monkeypatch):
-    """Of what was stored for the features, texts are gone when the fit has begun; the terms are still needed."""
-    assert _steps_and_stored(spark, sf_dir, monkeypatch, "classifier_group_scores")[1] == [["term", "idf", "slot"]]
+    assert left == [["term", "idf", "slot"]]

@@ -163,3 +163,14 @@ def test_stored_texts_make_room_for_the_fit(spark, sf_dir, monkeypatch, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
     left = [frame.columns for frame in kept if any(Path(unquote(urlparse(f).path)).exists() for f in frame.inputFiles())]
     assert left == [["term", "idf", "slot"]]
+
+
+def test_threshold_of_probabilities_has_a_small_plan(spark, sf_dir, monkeypatch):
+    """The classifier and the split of the probes aren't in the plan, which the driver holds anew for each stage that ends."""
+    rows, search = [], catalog.scope.threshold_search
+    monkeypatch.setattr(catalog.scope, "threshold_search", lambda given: (rows.append(given), search(given))[1])
+    found = QUERIES["probability_threshold"](spark, sf_dir)
+    assert found.count() == 1 and rows[0].count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall("InMemoryTableScan|MapInArrow|Parquet|WindowGroupLimit", plan)
+    assert len(plan) < 20_000

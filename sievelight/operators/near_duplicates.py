@@ -34,9 +34,11 @@ SPARE = 4
 MARKS = 4
 #: Bits of a key and of a text's name in the join; others that share them are told apart when pairs are verified.
 KEY_BITS, NAME_BITS = 48, 40
-#: Keys are joined in passes, one for so many texts up to a number of them, as the files of a pass go before the next.
+#: Keys are joined in passes, one for those of so many texts up to about so many passes, as the files of a pass go before the next.
 PASS_TEXTS, MOST_PASSES = 150_000, 8
 ROWS_AT_ONCE, PAIRS_AT_ONCE, HELD_PAIRS = 512, 1 << 18, 1 << 20
+#: Texts of one key are compared as a table from so many pairs on, in blocks of so many pairs.
+TABLE_PAIRS, TABLE_BLOCK = 512, 1 << 16
 
 _SYMBOL = np.zeros(256, np.uint32)
 _SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -73,17 +75,43 @@ def piece_sets(forms: list[str]) -> np.ndarray:
     return np.concatenate(found)
 
 
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``form`` and other columns with ``size``, the number of distinct pieces."""
+    for batch in batches:
+        sizes = np.bincount(piece_sets(batch.column(0).to_pylist()) // MOST_PIECES, minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32())], [*batch.schema.names, "size"])
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``piece, n``: how many of a task's texts hold each piece."""
+    counts = np.zeros(MOST_PIECES, np.int64)
+    for batch in batches:
+        counts += np.bincount(piece_sets(batch.column(0).to_pylist()) % MOST_PIECES, minlength=MOST_PIECES)
+    held = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(counts[held])], ["piece", "n"])
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """Of each possible piece, of which there are some fifty thousand, a weight from 1 up that grows the fewer texts hold it."""
+    counts, total = np.zeros(MOST_PIECES), texts.count()
+    for row in texts.select("form").mapInArrow(_held, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        counts[row.piece] = row.n
+    return 1 + np.rint(16 * np.log((total + 1) / (counts + 1))).clip(0)
+
+
 class Signer:
     """Keys on which texts of similar size meet, for sets of pieces at a Dice similarity of ``threshold`` or more.
 
     Texts are in classes of size, and a pair belongs to the class of its larger set; since a partner is at most one
     class away, a text is signed for its own class and the next. A pair of a class differs in at most d pieces.
     Hashes of the pieces spread them over d + 1 + e parts, so at least e + 1 parts of both are equal, and each text
-    may leave out its e parts of the fewest pieces (ties by number): the largest equal part of a pair is never left
-    out on either side. A key is the content of one part.
+    may leave out its e parts of least weight (ties by number): the heaviest equal part of a pair is never left out on
+    either side. A key is the content of one part. Weight is the sum of ``weights`` of the pieces, or their number; with
+    weights of rare pieces, parts that texts of a template have in common are the ones left out.
     """
 
-    def __init__(self, threshold: float):
+    def __init__(self, threshold: float, weights: np.ndarray | None = None):
+        self.weights = weights
         base = max((2 - threshold) / threshold, 1.05)
         lower = {math.ceil(base**c - 1e-9) for c in range(int(math.log(MOST_PIECES, base)) + 4)}
         self.lower = np.array(sorted(lower), np.int64)
@@ -98,16 +126,39 @@ class Signer:
         flips = np.bincount(owner * width + (hashes % np.uint64(width)).astype(np.int64), minlength=rows * width)
         return np.packbits((flips & 1).astype(np.uint8).reshape(rows, width), axis=1).view(np.int64)
 
-    def keys(self, hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and keys for the class ``step`` above each text's own."""
-        classes = np.searchsorted(self.lower, sizes, "right") - 1 + step
+    def classes(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.lower, sizes, "right") - 1
+
+    def passes(self, sizes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Passes of about as many keys, for so many texts of each size: first class, class behind the last, part of keys, parts.
+
+        Texts are signed only in passes of their own class and the next.
+        """
+        own = np.bincount(self.classes(sizes), weights=counts, minlength=len(self.lower))[: len(self.lower)]
+        keys = (own + np.append(0, own[:-1])) * (self.parts - self.spare)
+        most = max(keys.sum() * PASS_TEXTS / max(1, own.sum()), keys.sum() / MOST_PASSES)
+        found, first = [], 0
+        for c in np.flatnonzero(keys):
+            if keys[first : c + 1].sum() > most:
+                if keys[first:c].sum():
+                    found.append((first, int(c), 0, 1))
+                first = int(c)
+            if keys[c] > most:
+                parts = math.ceil(keys[c] / most)
+                found += [(int(c), int(c) + 1, k, parts) for k in range(parts)]
+                first = int(c) + 1
+        return found + [(first, len(keys), 0, 1)] if keys[first:].sum() or not found else found
+
+    def keys(self, hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, step: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and keys for the class ``step`` above each text's own; ``weights`` are those of the pieces."""
+        classes = self.classes(sizes) + step
         parts = self.parts[classes]
         starts = np.cumsum(parts) - parts
         slot = starts[owner] + ((hashes >> np.uint64(20)) % parts[owner].astype(np.uint64)).astype(np.int64)
         row = np.repeat(np.arange(len(sizes)), parts)
         content = np.zeros(len(row), np.uint64)
         np.add.at(content, slot, hashes * np.uint64(0x9E3779B97F4A7C15))
-        counts = np.bincount(slot, minlength=len(row))
+        counts = np.minimum(np.bincount(slot, weights, len(row)).astype(np.int64), (1 << 20) - 1)
         part = np.arange(len(row)) - starts[row]
         # Rows stay together, so the place in a row is the number of its part. One value holds the order, which sorts faster than three.
         order = row << 40 | counts << 20 | part
@@ -118,7 +169,7 @@ class Signer:
         key = (key ^ key >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
         return row, (key ^ key >> np.uint64(29)).view(np.int64)
 
-    def signed(self, part: int, passes: int, parts: int):
+    def signed(self, first: int, last: int, part: int, passes: int, parts: int):
         """Packed keys of one pass of ``side, name, form``: with side, size and step, the text's name and its marks."""
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,25 +178,62 @@ class Signer:
                 owner, pieces = np.divmod(piece_sets(batch.column(2).to_pylist()), MOST_PIECES)
                 sizes = np.bincount(owner, minlength=len(names))
                 hashes = PIECE_HASHES[pieces]
+                weights = None if self.weights is None else self.weights[pieces]
                 marks = self.marks(hashes, owner, len(names)).view(np.uint64)
+                classes = self.classes(sizes)
                 for step in (0, 1):
-                    row, key = self.keys(hashes, owner, sizes, step)
+                    texts = np.flatnonzero((classes + step >= first) & (classes + step < last))
+                    number = np.full(len(names), -1)
+                    number[texts] = np.arange(len(texts))
+                    own = number[owner] >= 0
+                    row, key = self.keys(hashes[own], number[owner[own]], sizes[texts], step, None if weights is None else weights[own])
                     key = key.view(np.uint64)
-                    chosen = key % np.uint64(passes) == part
-                    row, key = row[chosen], key[chosen] >> np.uint64(64 - KEY_BITS)
+                    if passes > 1:
+                        chosen = key % np.uint64(passes) == part
+                        row, key = row[chosen], key[chosen]
+                    row, key = texts[row], key >> np.uint64(64 - KEY_BITS)
                     kind = sizes[row].astype(np.uint64) << np.uint64(8) | sides[row] << np.uint64(1) | np.uint64(step == 0)
                     yield pack(key, KEY_BITS, [(kind, 4), (names[row], NAME_BITS // 8), *((marks[row, k], 8) for k in range(MARKS))], parts)
 
         return sign
 
 
+def _close(keys: np.ndarray, left: np.ndarray, right: np.ndarray, folds: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of :func:`meetings` whose ``folds`` differ in at most the ``most`` bits of the left place.
+
+    Texts of a template share keys, so nearly all pairs are of a few keys with many texts. Those are compared as tables,
+    block by block, and only places of pairs that are left are written out.
+    """
+    left, right = left[np.argsort(keys[left])], right[np.argsort(keys[right])]
+    low, high = (np.searchsorted(keys[right], keys[left], side) for side in ("left", "right"))
+    starts = np.flatnonzero(np.diff(keys[left], prepend=~keys[left[:1]]))
+    lefts = np.diff(starts, append=len(left))
+    dense = lefts * (high - low)[starts] >= TABLE_PAIRS
+    for first, last in zip(starts[dense], (starts + lefts)[dense]):
+        row = right[low[first] : high[first]]
+        fold = folds[row]
+        step = max(1, TABLE_BLOCK // len(row))
+        for begin in range(first, last, step):
+            column = left[begin : min(last, begin + step)]
+            near = np.flatnonzero(np.bitwise_count(folds[column, None] ^ fold) <= most[column, None])
+            if len(near):
+                one, two = np.divmod(near, len(row))
+                yield column[one], row[two]
+    for one, two in meetings(keys, left[~np.repeat(dense, lefts)], right, PAIRS_AT_ONCE):
+        near = np.bitwise_count(folds[one] ^ folds[two]) <= most[one]
+        yield one[near], two[near]
+
+
 def _met(threshold: float, sides: int):
     """Pairs of texts of different sides that have a key in common, and sizes and marks that allow the threshold."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, kinds, names, *marks in unpack(batches, KEY_BITS, [4, NAME_BITS // 8, *[8] * MARKS]).values():
             size, side, own = (kinds >> np.uint64(8)).astype(np.int64), (kinds >> np.uint64(1) & np.uint64(127)).astype(np.int64), kinds & np.uint64(1) == 1
+            # A partner is larger by (2 - threshold) / threshold at most, which bounds the pieces in which they differ.
+            folds, bound = np.bitwise_xor.reduce(marks), np.minimum((1 - threshold) * 2 / threshold * size + 1e-9, 64).astype(np.uint8)
             held: list[np.ndarray] = []
+            waiting = 0
 
             def found() -> pa.RecordBatch:
                 pairs = np.unique(np.concatenate(held), axis=0)
@@ -153,7 +241,7 @@ def _met(threshold: float, sides: int):
                 kinds_of = (pa.int32(), pa.int64()) * 2
                 return pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()).cast(kind) for k, kind in enumerate(kinds_of)], [c.split()[0] for c in MET.split(", ")])
 
-            for left, right in meetings(keys, np.flatnonzero(side < sides), np.flatnonzero(side > 1), PAIRS_AT_ONCE):
+            for left, right in _close(keys, np.flatnonzero(side < sides), np.flatnonzero(side > 1), folds, bound):
                 near = (side[left] < side[right]) & (own[left] | own[right]) & (names[left] != names[right])
                 left, right = left[near], right[near]
                 both = size[left] + size[right]
@@ -166,8 +254,10 @@ def _met(threshold: float, sides: int):
                 near = apart <= most
                 left, right = left[near], right[near]
                 held.append(np.stack((side[left], names[left].astype(np.int64), side[right], names[right].astype(np.int64)), axis=1))
-                if sum(map(len, held)) > HELD_PAIRS:
+                waiting += len(left)
+                if waiting > HELD_PAIRS:
                     yield found()
+                    waiting = 0
             if held:
                 yield found()
 
@@ -217,15 +307,20 @@ def near_duplicates(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     rows = _sided(records, splits, key, text, split)
-    texts = stored(rows.groupBy("side", "form").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    grouped = rows.groupBy("form", "side").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    texts = stored(grouped.mapInArrow(_sized, T.StructType([*grouped.schema, T.StructField("size", T.IntegerType())])))
     texts = texts.withColumn("h", F.shiftrightunsigned(F.xxhash64("form"), 64 - NAME_BITS))
-    passes, parts, signer = min(MOST_PASSES, texts.count() // PASS_TEXTS + 1), part_count(records), Signer(threshold)
+    parts, signer = part_count(records), Signer(threshold, _rarity(texts))
+    sizes = texts.groupBy("size").count().collect()
 
-    def candidates(part: int) -> DataFrame:
-        packed = routed(texts.select("side", "h", "form").mapInArrow(signer.signed(part, passes, parts), PACKED), parts)
+    def candidates(first: int, last: int, part: int, passes: int) -> DataFrame:
+        fitting = (F.col("size") >= int(signer.lower[max(0, first - 1)])) & (F.col("size") < int(signer.lower[last]) if last < len(signer.lower) else F.lit(True))
+        packed = routed(texts.where(fitting).select("side", "h", "form").mapInArrow(signer.signed(first, last, part, passes, parts), PACKED), parts)
         return stored(packed.mapInArrow(_met(threshold, len(splits)), MET).distinct())
 
-    met = reduce(DataFrame.union, map(candidates, range(passes))).distinct()
+    every = signer.passes(np.array([r["size"] for r in sizes], np.int64), np.array([r["count"] for r in sizes], np.int64))
+    met = reduce(DataFrame.union, (candidates(*given) for given in every)).distinct()
+    texts = texts.drop("size")
     one = texts.select(*(F.col(c).alias(f"l_{c}") for c in texts.columns))
     two = texts.select(*(F.col(c).alias(f"r_{c}") for c in texts.columns))
     short, long = F.least(F.length("l_form"), F.length("r_form")), F.greatest(F.length("l_form"), F.length("r_form"))

@@ -5,6 +5,7 @@ import time
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,55 @@ def test_stored_frames_free_what_they_shuffle(spark):
     assert spark.conf.get(session.CLEANUP) == "false"
 
 
+def test_texts_of_a_template_are_compared_as_tables(monkeypatch):
+    """Pairs of a key with many texts were all written out; now only those close enough are, and rare keys as before."""
+    chance, written = np.random.default_rng(8), []
+    meet = near_duplicates.meetings
+    monkeypatch.setattr(near_duplicates, "meetings", lambda *given: ((written.append(len(one)), (one, two))[1] for one, two in meet(*given)))
+    monkeypatch.setattr(near_duplicates, "TABLE_BLOCK", 1 << 10)
+    keys = np.concatenate((np.full(400, 7), chance.integers(0, 99, 300) * 2)).astype(np.uint64)
+    folds = chance.integers(0, 2**64, 700, dtype=np.uint64)
+    side, most = chance.integers(1, 4, 700), chance.integers(20, 30, 700).astype(np.uint8)
+    left, right = np.flatnonzero(side < 3), np.flatnonzero(side > 1)
+    found = [(int(a), int(b)) for one, two in near_duplicates._close(keys, left, right, folds, most) for a, b in zip(one, two)]
+    wanted = [(int(a), int(b)) for a in left for b in right if keys[a] == keys[b] and int(folds[a] ^ folds[b]).bit_count() <= most[a]]
+    assert sorted(found) == sorted(wanted) and len(wanted) > 100
+    assert sum(written) < 5_000  # some 70,000 pairs share a key
+    assert not list(near_duplicates._close(keys, left[:0], right, folds, most))
+
+
+def test_passes_take_each_class_once(monkeypatch):
+    """Each class of size is in one pass, or in all parts of its keys, and texts whose class isn't in a pass aren't signed there."""
+    signer = near_duplicates.Signer(0.9)
+    sizes, counts = np.array([3, 60, 108, 110, 300]), np.array([10, 500, 9_000, 8_000, 40])
+    monkeypatch.setattr(near_duplicates, "PASS_TEXTS", 4_000)
+    every = signer.passes(sizes, counts)
+    assert len(every) > 4
+    for step in (0, 1):
+        for c in signer.classes(sizes) + step:
+            own = [(part, parts) for first, last, part, parts in every if first <= c < last]
+            assert own == [(k, own[0][1]) for k in range(own[0][1])]
+    forms = ["where is my new card", "x" * 9 + " close my account please and thanks for all"]
+    for form in forms:
+        batch = pa.RecordBatch.from_pydict({"side": pa.array([1], pa.int32()), "h": [5], "form": [form]})
+        c = int(signer.classes(np.array([len(near_duplicates.piece_sets([form]))]))[0])
+        keys = [sum(sum(b.column(1).to_pylist()) for b in signer.signed(first, last, 0, 1, 2)(iter([batch]))) for first, last in ((0, c), (c, c + 1), (c + 1, c + 2), (c + 2, 99))]
+        assert keys[0] == keys[3] == 0 < min(keys[1], keys[2])
+
+
+def test_parts_of_common_pieces_are_left_out():
+    """Of ten parts a text leaves out those whose pieces are common, however many pieces they have."""
+    signer = near_duplicates.Signer(0.9)
+    hashes, sizes = np.random.default_rng(2).integers(0, 2**64, 108, dtype=np.uint64), np.array([108])
+    plain = set(signer.keys(hashes, np.zeros(108, np.int64), sizes, 0)[1].tolist())
+    c = int(signer.classes(sizes)[0])
+    part = (hashes >> np.uint64(20)) % np.uint64(signer.parts[c])
+    common = int(np.bincount(part.astype(np.int64)).argmax())
+    weights = np.where(part == common, 0, 50)
+    kept = set(signer.keys(hashes, np.zeros(108, np.int64), sizes, 0, weights)[1].tolist())
+    assert len(kept) == len(plain) and kept != plain
+
+
 COUNTED = {
     "records": lambda pairs, frame: near_duplicates.flagged_records(pairs),
     "links": lambda pairs, frame: near_duplicates.near_duplicate_links(pairs, frame),

@@ -350,6 +350,18 @@ def record_classes(
     return rows.join(unsent(classes), ["side", "form"]).select("id", F.element_at(F.array(*map(F.lit, splits)), F.col("side")).alias("split"), "class_id", *columns)
 
 
+def class_labels(
+    records: DataFrame, label: str, key: str = "record_id", text: str = "text", split: str = "source_split", splits: tuple[str, ...] = SPLITS
+) -> DataFrame:
+    """``split, class_id, label, n``: records of each label in each class of :func:`record_classes`, a null label being one.
+
+    Records are read once and not joined with their classes: labels are counted by text, and a text's labels go to its class.
+    """
+    counted = _sided(records, splits, key, text, split, label).groupBy("side", "form", F.col(label).alias("label")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    classes = counted.groupBy("side", "form").agg(F.min("id").alias("class_id"), F.collect_list(F.struct("label", "n")).alias("labels"))
+    return classes.select(F.element_at(F.array(*map(F.lit, splits)), F.col("side")).alias("split"), "class_id", F.inline("labels"))
+
+
 def near_duplicate_links(pairs: DataFrame, records: DataFrame, **options) -> DataFrame:
     """Each record with its class and ``links``, how many records of other splits are near-duplicates of it.
 
@@ -367,9 +379,9 @@ def near_duplicate_rollup(pairs: DataFrame, records: DataFrame, label: str = "ca
 
     Counted from pairs of classes and the labels of each class; a null label is one. ``pairs`` is read three times.
     """
-    labels = record_classes(records, columns=(label,), **options).groupBy("split", "class_id", label).agg(F.count("*").alias("n"))
+    labels = class_labels(records, label, **options)
     left, right = (
-        labels.select(F.col("split").alias(f"{m}_split"), F.col("class_id").alias(f"{m}_id"), F.col(label).alias(f"{m}_label"), F.col("n").alias(f"{m}_n"))
+        labels.select(F.col("split").alias(f"{m}_split"), F.col("class_id").alias(f"{m}_id"), F.col("label").alias(f"{m}_label"), F.col("n").alias(f"{m}_n"))
         for m in ("left", "right")
     )
     both = ["left_split", "right_split"]

@@ -147,3 +147,13 @@ def test_cosines_do_not_depend_on_slices(spark, sf_dir, monkeypatch):
         monkeypatch.setattr(catalog, "SLICE_ROWS", rows)
         found.append(sorted(map(tuple, catalog.QUERIES["nearest_training_cosine"](spark, sf_dir).collect())))
     assert found[0] == found[1] and any(cosine for _, cosine in found[0])
+
+
+def test_labels_of_classes_come_from_one_reading(spark):
+    """Records were read and their texts compared twice, and joined with their classes, once for each side of a pair."""
+    rows = [(9, "A b", "x", "train"), (4, "a  B", "x", "train"), (6, "a b", None, "train"), (3, "a b", "y", "test"), (5, "c", None, "test"), (8, "C", None, "test"), (1, "", "x", "test"), (2, None, "x", "train"), (7, "a b", "x", "other")]
+    frame = spark.createDataFrame(rows, "record_id long, text string, category string, source_split string")
+    found = near_duplicates.class_labels(frame, "category")
+    assert set(map(tuple, found.collect())) == {("train", 4, "x", 2), ("train", 4, None, 1), ("test", 3, "y", 1), ("test", 5, None, 2)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("== Initial Plan ==")[0].count("Scan ExistingRDD") <= 1
